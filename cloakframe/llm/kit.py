@@ -25,6 +25,8 @@ _PINV = pow(_P, -1, 1 << 64)
 _Q = 0xC2B2AE3D27D4EB4F
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Space, other control characters and ASCII punctuation.
+LOOSE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -84,10 +86,10 @@ class Texts:
         ends = ends - ends[0]
         self.lo, self.hi, self.n = ends[:-1], ends[1:], len(col)
 
-    def words(self) -> "Texts":
+    def words(self, space: np.ndarray = SPACE) -> "Texts":
         """Sets ws, we (bounds of each word in bytes) and first (n + 1 entries: index of each text's first word)."""
         buf = self.buf
-        black = ~SPACE[buf]
+        black = ~space[buf]
         head, tail = black.copy(), black.copy()
         if len(buf):
             head[1:] &= ~black[:-1]

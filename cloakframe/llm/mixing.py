@@ -118,7 +118,7 @@ def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int
         return pdf[["source", "size"]].assign(passes=passes, more=more)
 
     # Rows here are lengths, not documents.
-    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n")).join(F.broadcast(per_source), F.col("source").eqNullSafe(per_source["source"])).drop(per_source["source"])
+    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n")).join(per_source, F.col("source").eqNullSafe(per_source["source"])).drop(per_source["source"])
     chosen = kit.stored(histogram.groupBy("source").applyInPandas(choose, "source string, size long, passes long, more long"))
     # Documents of a length are ordered by bucket, then hash; only within the bucket at the border must they be ranked.
     by_bucket = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
@@ -131,7 +131,7 @@ def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int
     clear = r.where(~((F.col("quota") > 0) & (F.col("quota") < F.col("n")))).withColumn("extra", (F.col("quota") > 0).cast("long"))
     done = clear.unionByName(border.withColumn("extra", (rank <= F.col("quota")).cast("long")))
     done = done.withColumn("times", F.col("passes") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0))
-    out = done.alias("d").join(F.broadcast(per_source).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    out = done.alias("d").join(per_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     return out.select("doc_id", "d.source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *extra)
 
 
