@@ -100,14 +100,14 @@ def plan(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, at_mos
     return _plan(rows, weights, share, at_most, seed)
 
 
-def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int, extra: tuple = ()) -> DataFrame:
+def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int) -> DataFrame:
     spark = rows.sparkSession
     # Text is read once; later steps need only these few numbers.
     rows = kit.stored(rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")))
     # A row per source: as many as the weights are meant for, not a number that grows with documents.
     sizes = [(r.source, int(r.n)) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     goal = targets(sizes, weights, share, at_most)
-    per_source = spark.createDataFrame([(s, n, float(goal[s])) for s, n in sizes], "source string, source_size long, target double")
+    per_source = spark.createDataFrame([(s, n, float(goal[s])) for s, n in sizes], "__source string, source_size long, target double")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size").reset_index(drop=True)
@@ -118,7 +118,7 @@ def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int
         return pdf[["source", "size"]].assign(passes=passes, more=more)
 
     # Rows here are lengths, not documents.
-    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n")).join(per_source, F.col("source").eqNullSafe(per_source["source"])).drop(per_source["source"])
+    histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n")).join(per_source, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     chosen = kit.stored(histogram.groupBy("source").applyInPandas(choose, "source string, size long, passes long, more long"))
     # Documents of a length are ordered by bucket, then hash; only within the bucket at the border must they be ranked.
     by_bucket = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
@@ -131,8 +131,8 @@ def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int
     clear = r.where(~((F.col("quota") > 0) & (F.col("quota") < F.col("n")))).withColumn("extra", (F.col("quota") > 0).cast("long"))
     done = clear.unionByName(border.withColumn("extra", (rank <= F.col("quota")).cast("long")))
     done = done.withColumn("times", F.col("passes") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0))
-    out = done.alias("d").join(per_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    return out.select("doc_id", "d.source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *extra)
+    out = done.join(per_source, F.col("source").eqNullSafe(F.col("__source")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.llm import kit
 
@@ -97,12 +99,10 @@ def measure(col: pa.Array, bands: Bands, min_words: int, repeat_percent: int) ->
 
 def judge(docs: DataFrame, text: str = "text", bands: Bands = Bands(), min_words: int = 20, repeat_percent: int = 30, keep_columns: list[str] | None = None) -> DataFrame:
     """The columns asked for (default: all), then STATS, base_failed, ratio, bad_chunks and kept for every row."""
-    from pyspark.sql import types as T
-
     kit.small_batches(docs.sparkSession)
     results = [*((c, T.LongType()) for c in STATS), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()), ("bad_chunks", T.DoubleType()), ("kept", T.BooleanType())]
     names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in dict(results)]
-    source = docs.select(*dict.fromkeys([*(docs[f"`{c}`"] for c in names)]), docs[f"`{text}`"].alias("__text"))
+    source = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text}`"].cast("string").alias("__text"))
     schema = T.StructType([*(source.schema[c] for c in names), *(T.StructField(c, k) for c, k in results)])
 
     def run(batches):
@@ -117,10 +117,5 @@ def judge(docs: DataFrame, text: str = "text", bands: Bands = Bands(), min_words
 
 def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows whose text passes, with the columns they had."""
-    judged = judge(docs.withColumn("__passes", docs[f"`{text}`"]), "__passes", keep_columns=docs.columns, **options)
-    if set(docs.columns) & {*STATS, "base_failed", "ratio", "bad_chunks", "kept"}:
-        from pyspark.sql import functions as F
-
-        packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{text}`"].alias("__passes"))
-        return judge(packed, "__passes", keep_columns=["__row"], **options).where("kept").select("__row.*")
-    return judged.where("kept").select(*(f"`{c}`" for c in docs.columns))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{text}`"].alias("__passes"))
+    return judge(packed, "__passes", keep_columns=["__row"], **options).where("kept").select("__row.*")
