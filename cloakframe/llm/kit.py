@@ -51,7 +51,17 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(32))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * P**place before each place; a difference, times P**-start, is a hash of the bytes between."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(buf) + 1, U)
+        sums[1:] = buf
+        sums[1:] += U(1)
+        sums[1:] *= powers(_P, len(buf))
+        return np.cumsum(sums, out=sums)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with at most about `limit` bytes of text each (a longer row stands alone)."""
     sizes = batch.column(column)
     sizes = np.frombuffer(text_array(sizes).buffers()[1], np.int64)[: len(sizes) + 1]
@@ -112,8 +122,7 @@ class Texts:
         buf = self.buf if buf is None else buf
         n = len(buf)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, U)
-            np.cumsum((buf.astype(U) + U(1)) * powers(_P, n), out=sums[1:])
+            sums = prefix_sums(buf)
             h = (sums[self.we] - sums[self.ws]) * powers(_PINV, n + 1)[self.ws]
         return mix(h ^ (self.we - self.ws).astype(U) * U(_Q))
 

@@ -23,6 +23,7 @@ hashed ids; an empty table gives no file.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from functools import lru_cache
 
@@ -96,14 +97,68 @@ class Reader:
         return self.ids(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+class Encoder:
+    """Token ids of pieces of text, by the hash of their bytes; kept in flat arrays, so that a known piece makes no Python object."""
+
+    def __init__(self, path: str, entries: int = 1 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok, self.entries = Tokenizer.from_file(path), entries
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        # Byte-level vocabularies write the space as U+0120.
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for w, i in vocabulary.items() if w[:1] == "\u0120"]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, key: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
+        """Encodes pieces of unknown, sorted keys. Plain ones (a space, then no white space) are joined to one text: each begins with the only token that opens with a space."""
+        n, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        if len(self.key) + len(key) > self.entries:
+            self.forget()
+        flat, size, rest = [self.flat], len(self.flat), np.flatnonzero(~plain)
+        some = np.flatnonzero(plain)
+        for lo in range(0, len(some), 10_000):
+            part = some[lo : lo + 10_000]
+            got = np.array(self.tok.encode(b"".join(pieces[i] for i in part.tolist()).decode(), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(self.opens[got])
+            if len(cut) == len(part) and cut[0] == 0:
+                at[part], n[part] = size + cut, np.diff(np.append(cut, len(got)))
+                flat.append(got)
+                size += len(got)
+            else:
+                rest = np.concatenate([rest, part])
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo : lo + 10_000].tolist()
+            for i, e in zip(part, self.tok.encode_batch_fast([pieces[i].decode() for i in part], add_special_tokens=False)):
+                got = np.array(e.ids, np.uint32)
+                at[i], n[i] = size, len(got)
+                flat.append(got)
+                size += len(got)
+        order = np.argsort(key := np.concatenate([self.key, key]), kind="stable")
+        self.key, self.at, self.n = key[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.flat = np.concatenate(flat)
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 if it is unknown."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+#: First bytes, in UTF-8, of white space beyond ASCII.
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_BLANK = _LEAD | (np.arange(256) <= 0x20) | (np.arange(256) == 0x7F)
 
 
-_CACHE_ENTRIES = 400_000
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,40 +166,45 @@ def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarra
 
     The byte-level pre-tokenizer always starts a token at a space between two
     characters that are no white space, so text is cut there and every distinct
-    piece of the batch is encoded once.  Pieces are cached by their bytes.
+    piece is encoded once.
     """
-    tok, cache = tokenizer(path)
+    enc = encoder(path)
     t = kit.Texts(col)
     buf, n = t.buf, len(t.buf)
-    # Only ASCII counts here; bytes of other characters (among them Unicode spaces) never border a cut.
-    solid = (buf < 128) & ~kit.SPACE[buf] & (buf > 0x20) & (buf != 0x7F)
+    # Neither control characters nor anything with a lead byte that Unicode's spaces have may border a cut.
+    solid = ~_BLANK[buf]
+    lead = np.flatnonzero(_LEAD[buf])
+    for j in (1, 2):
+        solid[np.minimum(lead + j, n - 1)] = False
     head = np.zeros(n + 1, bool)
     if n > 2:
         head[1 : n - 1] = (buf[1:-1] == 0x20) & solid[:-2] & solid[2:]
+    cut = head.copy()
     edges = np.append(t.lo, n)
     head[edges] = True
     head[n] = False
     t.ws = np.flatnonzero(head)
-    t.we = np.append(t.ws[1:], n)
-    if n == 0:
-        t.ws = t.we = np.zeros(0, np.int64)
-    h = t.hashes()
-    _, where, back = np.unique(h, return_index=True, return_inverse=True)
-    pieces = [buf[a:b].tobytes() for a, b in zip(t.ws[where].tolist(), t.we[where].tolist())]
-    new = [p for p in pieces if p not in cache]
-    if len(cache) + len(new) > _CACHE_ENTRIES:
-        cache.clear()
-        new = pieces
-    for p, e in zip(new, tok.encode_batch([p.decode() for p in new], add_special_tokens=False)) if new else ():
-        cache[p] = np.array(e.ids, np.uint32)
-    found = [cache[p] for p in pieces]
-    lengths = np.array([len(x) for x in found], np.int64)
-    flat = np.concatenate([*found, np.zeros(0, np.uint32)])
-    starts = np.cumsum(lengths) - lengths
-    sizes = lengths[back]
+    t.we = np.append(t.ws[1:], n) if len(t.ws) else t.ws
+    key, where, back = np.unique(t.hashes(), return_index=True, return_inverse=True)
+    lo, hi = t.ws[where], t.we[where]
+    place = enc.place(key)
+    new = np.flatnonzero(place < 0)
+    if len(new):
+        if len(enc.key) + len(new) > enc.entries:
+            enc.forget()
+            new = np.arange(len(key))
+        # Plain: opens at a cut, and holds no white space after it; an added token may stand in none of them.
+        odd = np.concatenate([[0], np.cumsum(~solid)])
+        plain = cut[lo[new]] & (odd[hi[new]] - odd[lo[new]] == 1)
+        pieces = [buf[a:b].tobytes() for a, b in zip(lo[new].tolist(), hi[new].tolist())]
+        added = [w.encode() for w in _added(enc.tok)]
+        plain &= np.array([not any(w in x for w in added) for x in pieces]) if any(w in buf.tobytes() for w in added) else True
+        enc.learn(key[new], pieces, plain)
+        place = enc.place(key)
+    sizes = enc.n[place][back]
     per = kit.per_text(np.searchsorted(t.ws, edges), sizes)
     ends = np.cumsum(sizes)
-    body = flat[np.repeat(starts[back] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)] if len(sizes) else flat[:0]
+    body = enc.flat[np.repeat(enc.at[place][back] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(sizes) else enc.flat[:0]
     bounds = np.concatenate([[0], np.cumsum(per + 1)])
     ids = np.full(bounds[-1], end_id, np.uint32)
     inner = np.ones(bounds[-1], bool)
@@ -153,6 +213,11 @@ def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarra
     return ids, bounds
 
 
+@lru_cache(maxsize=2)
+def _added(tok) -> tuple:
+    return tuple(x.content for x in tok.get_added_tokens_decoder().values())
+
+
 def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text", key: str = "doc_id", block: int = BLOCK, shard_ids: int = 1 << 22) -> DataFrame:
     """Writes packed files of all texts in ascending order of the key (nulls first) and returns their table.
 
@@ -162,12 +227,12 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
     """
     spark = docs.sparkSession
     kit.small_batches(spark)
-    vocabulary = max(tokenizer(path)[0].get_vocab_size(), end_id + 1)
+    vocabulary = max(encoder(path).size, end_id + 1)
     small = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
     def encoded(batches):
         for batch in batches:
-            for part in kit.slices(batch, "__text", 4 << 20):
+            for part in kit.slices(batch, "__text", 2 << 20):
                 ids, b = encode(part.column("__text"), path, end_id)
                 ids = ids.astype(small)
                 yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary())], names=["__key", "__ids"])
@@ -180,13 +245,13 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
     rows = rows.select("__key", "__ids", F.spark_partition_id().alias("__part"))
 
     def shards(batches):
-        part, n, held, size = 0, 0, [], 0
+        part, n, before, held, size = 0, 0, 0, [], 0
 
         def out():
             ids = [np.frombuffer(x, small) for _, x in held]
             bounds = np.cumsum([0, *map(len, ids)])
             data = pack(np.concatenate(ids), bounds, vocabulary, block)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([int(bounds[-1])], pa.int64()), pa.array([[k for k, _ in held]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "shard", "n_ids", "doc_ids", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([int(bounds[-1])], pa.int64()), pa.array([[k for k, _ in held]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "shard", "before", "n_ids", "doc_ids", "file"])
 
         for batch in batches:
             for k, x, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -195,33 +260,29 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
                 size += x.size // small().itemsize
                 if size >= shard_ids:
                     yield out()
-                    n, held, size = n + 1, [], 0
+                    n, before, held, size = n + 1, before + size, [], 0
         if held:
             yield out()
 
-    files = rows.mapInArrow(shards, "part long, shard long, n_ids long, doc_ids array<long>, file binary")
+    files = rows.mapInArrow(shards, "part long, shard long, before long, n_ids long, doc_ids array<long>, file binary")
     return kit.stored(files, where)
 
 
 def read(files: DataFrame) -> DataFrame:
     """Reads packed files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark = files.sparkSession
-    # One row of three numbers per shard, of some million ids each, comes to the driver.
-    index = sorted((r.part, r.shard, r.n_ids) for r in files.select("part", "shard", "n_ids").collect())
-    ends = np.cumsum([n for *_, n in index])
-    first = {(p, s): int(e - n) for (p, s, n), e in zip(index, ends)}
-    base = spark.createDataFrame([(p, s, v) for (p, s), v in first.items()], "part long, shard long, base long")
+    # A number for each partition of the sort comes to the driver; shards know what lies before them in theirs.
+    totals = sorted((r.part, int(r.n)) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    base = dict(zip((p for p, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist()))
 
     def unpacked(batches):
         for batch in batches:
-            for base, keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for part, before, keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 r = Reader(data.as_buffer())
                 ids, b = r.ids(0, r.n).astype("<u4"), r.bounds
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(b[:-1].tolist(), b[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(base + b[:-1]), pa.array(np.diff(b)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(base[part] + before + b[:-1]), pa.array(np.diff(b)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batch = files.join(base, ["part", "shard"]).select("base", "doc_ids", "file")
-    return small_batch.mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "doc_ids", "file").mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(files: DataFrame, folder: str) -> list[str]:
