@@ -41,8 +41,8 @@ from cloakframe.llm import kit
 
 U = np.uint64
 LENGTH, K = 200, 40
-BLOCK_BYTES = 6 << 20
-CHUNK = 3 << 20  # bytes of one transform, unless one hash has more
+BLOCK_BYTES = 3 << 20
+CHUNK = 2 << 20  # bytes of one transform, unless one hash has more
 HOT = 4096
 UNIQUE, AGAIN, SEND, WINDOWS = 0, 1, 2, 4
 
@@ -59,8 +59,7 @@ class Stretches:
             self.a = self.n = np.zeros(0, np.int64)
             return
         with np.errstate(over="ignore"):
-            sums = np.zeros(size + 1, U)
-            np.cumsum((buf.astype(U) + U(1)) * kit.powers(kit._P, size), out=sums[1:])
+            sums = kit.prefix_sums(buf)
             h = kit.mix((sums[k:] - sums[:-k]) * kit.powers(kit._PINV, size + 1)[: size + 1 - k])
         least = self.sliding(h)
         ends = np.repeat(t.hi, t.hi - t.lo)[: len(least)]
@@ -123,10 +122,9 @@ def _by_bucket(m: np.ndarray, buckets: int):
     if not len(m):
         return
     which = ((m >> U(32)) * U(buckets)) >> U(32)
-    edges = np.searchsorted(which, np.arange(buckets + 1, dtype=U))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, slice(int(edges[b]), int(edges[b + 1]))
+    edges = np.flatnonzero(np.append(True, which[1:] != which[:-1])).tolist()
+    for lo, hi in zip(edges, [*edges[1:], len(m)]):
+        yield int(which[lo]), slice(lo, hi)
 
 
 def _delta(m: np.ndarray) -> bytes:
