@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chaining, decontam, html, jaccard, kit, mixing, quality, suffix, tokens, urls
+from cloakframe.llm import chaining, decontam, html, jaccard, kit, lm, mixing, quality, suffix, tokens, urls
 
 END_ID = 2
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -21,6 +21,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(kit.table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(kit.table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(kit.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,7 +59,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.find(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_mixing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_id_output, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_mixing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_id_output, op10_benchmark_decontamination)}
 
 _HOST = r"regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
