@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,49 +171,123 @@ def overlaps(i: np.ndarray, j: np.ndarray, bounds: np.ndarray, where: np.ndarray
     return out
 
 
-def _sides(part: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(part == p), np.flatnonzero(part == q)
-
-
-def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, HASHES)
-    cid, part, p, q = pdf["cid"].to_numpy(), pdf["part"].to_numpy(), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-    x, y = _sides(part, p, q)
-    up, out = np.arange(len(cid)), []
-    for i, j in surviving(sig[x], sig[y], p == q):
-        out += forest(x[i], y[j], up)
-    return pd.DataFrame({"a": [cid[a] for a, _ in out], "b": [cid[b] for _, b in out]}, dtype="int64")
-
-
-def _family_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (a, b, n): n documents are linked to class a; b a class that it is linked to (null in the counts)."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, HASHES)
-    cid, many, part, p, q = pdf["cid"].to_numpy(), pdf["many"].to_numpy(), pdf["part"].to_numpy(), int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-    raw = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
-    bounds = np.cumsum([0, *map(len, raw)])
-    size = np.diff(bounds)
-    values, where, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
-    # Shingles that only one member has add to no common part.
-    shared = held > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[where]
-    where, bounds = number[where[keep]], np.concatenate([[0], np.cumsum(keep)])[bounds]
-    x, y = _sides(part, p, q)
-    links, up, edges = np.zeros(len(cid), np.int64), np.arange(len(cid)), []
-    for i, j in surviving(sig[x], sig[y], p == q):
-        i, j = x[i], y[j]
-        # Sizes alone rule out many.
-        near = NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])
-        i, j = i[near], j[near]
-        common = overlaps(i, j, bounds, where, int(shared.sum()))
-        linked = DEN * common >= NUM * (size[i] + size[j] - common)
-        i, j = i[linked], j[linked]
-        links += np.bincount(i, many[j], len(cid)).astype(np.int64) + np.bincount(j, many[i], len(cid)).astype(np.int64)
-        edges += forest(i, j, up)
-    some = np.flatnonzero(links)
-    counts = pd.DataFrame({"a": cid[some], "b": pd.array([None] * len(some), "Int64"), "n": links[some]})
-    pairs = pd.DataFrame({"a": [cid[a] for a, _ in edges], "b": pd.array([cid[b] for _, b in edges], "Int64"), "n": 0})
-    return pd.concat([counts, pairs], ignore_index=True).astype({"a": "int64", "b": "Int64", "n": "int64"})
+def _groups_of(table: pa.Table, *names: str):
+    """Row numbers of each combination of these columns."""
+    cols = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(cols)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in cols], axis=0)
+    edges = np.flatnonzero(new).tolist()
+    return order, edges, [*edges[1:], len(order)]
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint16).reshape(-1, HASHES)
+
+
+def _small_pairs(order: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """All pairs of rows inside groups of few rows, some groups at a time."""
+    size = hi - lo
+    many = size * (size - 1) // 2
+    ends = np.cumsum(many)
+    k = 0
+    while k < len(lo):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 17), "right")))
+        i, j = [], []
+        for n in np.unique(size[k:stop]).tolist():
+            at = lo[k:stop][size[k:stop] == n]
+            x, y = np.triu_indices(n, 1)
+            i.append((at[:, None] + x).ravel())
+            j.append((at[:, None] + y).ravel())
+        yield order[np.concatenate(i)], order[np.concatenate(j)]
+        k = stop
+
+
+def _passing(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of given pairs those that pass every step."""
+    got, start = np.zeros(len(i), np.int16), 0
+    for stop, need in zip(STEPS, NEED):
+        got = got + (sig[i, start:stop] == sig[j, start:stop]).sum(1).astype(np.int16)
+        keep = got >= need
+        i, j, got, start = i[keep], j[keep], got[keep], stop
+    return i, j
+
+
+SMALL = 48  # rows of a group whose pairs are listed (in memory) together with those of other groups
+
+
+def _bucket_edges(t: pa.Table) -> pa.Table:
+    """Edges that join what is similar in each bucket, as a forest."""
+    sig, cid, part = _matrix(t.column("sig")), t.column("cid").to_numpy(), t.column("part").to_numpy()
+    order, lo, hi = _groups_of(t, "p", "q", "bucket")
+    lo, hi = np.array(lo), np.array(hi)
+    # Rows of one class in several buckets count as one node.
+    nodes, node = np.unique(cid, return_inverse=True)
+    up, out = np.arange(len(nodes)), []
+    small = (hi - lo <= SMALL) & (t.column("p").to_numpy()[order[lo]] == t.column("q").to_numpy()[order[lo]])
+    for i, j in _small_pairs(order, lo[small], hi[small]):
+        i, j = _passing(sig, i, j)
+        out += forest(node[i], node[j], up)
+    for a, b in zip(lo[~small].tolist(), hi[~small].tolist()):
+        rows = order[a:b]
+        p, q = t.column("p")[int(rows[0])].as_py(), t.column("q")[int(rows[0])].as_py()
+        x, y = rows[part[rows] == p], rows[part[rows] == q]
+        for i, j in surviving(sig[x], sig[y], p == q):
+            out += forest(node[x[i]], node[y[j]], up)
+    return pa.table({"a": nodes[[a for a, _ in out]].astype(np.int64), "b": nodes[[b for _, b in out]].astype(np.int64)})
+
+
+def _family_links(t: pa.Table) -> pa.Table:
+    """Rows (a, b, n): n documents are linked to class a (b null), or classes a and b are linked (n 0; a forest)."""
+    sig, cid = _matrix(t.column("sig")), t.column("cid").to_numpy()
+    many, part = t.column("many").to_numpy(), t.column("part").to_numpy()
+    shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+    order, starts, stops = _groups_of(t, "p", "q", "comp")
+    a_, b_, n_ = [], [], []
+    for lo, hi in zip(starts, stops):
+        rows = order[lo:hi]
+        raw = [shingles[k] for k in rows]
+        p, q = t.column("p")[int(rows[0])].as_py(), t.column("q")[int(rows[0])].as_py()
+        if len(raw) == 2 and p == q:
+            x, y = raw
+            common = len(x) + len(y) - len(np.union1d(x, y)) if NUM * max(len(x), len(y)) <= DEN * min(len(x), len(y)) else 0
+            if DEN * common >= NUM * (len(x) + len(y) - common):
+                a_ += [cid[rows[0]], cid[rows[1]], cid[rows[0]]]
+                b_ += [None, None, cid[rows[1]]]
+                n_ += [many[rows[1]], many[rows[0]], 0]
+            continue
+        own, weight = cid[rows], many[rows]
+        bounds = np.cumsum([0, *map(len, raw)])
+        size = np.diff(bounds)
+        _, where, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        # Shingles that only one member has add to no common part.
+        shared = held > 1
+        keep = shared[where]
+        where, bounds = (np.cumsum(shared) - 1)[where[keep]], np.concatenate([[0], np.cumsum(keep)])[bounds]
+        x, y = np.flatnonzero(part[rows] == p), np.flatnonzero(part[rows] == q)
+        links, up = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for i, j in surviving(sig[rows[x]], sig[rows[y]], p == q):
+            i, j = x[i], y[j]
+            # Sizes alone rule out many.
+            near = NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j])
+            i, j = i[near], j[near]
+            common = overlaps(i, j, bounds, where, int(shared.sum()))
+            linked = DEN * common >= NUM * (size[i] + size[j] - common)
+            i, j = i[linked], j[linked]
+            links += np.bincount(i, weight[j], len(rows)).astype(np.int64) + np.bincount(j, weight[i], len(rows)).astype(np.int64)
+            for a, b in forest(i, j, up):
+                a_.append(own[a])
+                b_.append(own[b])
+                n_.append(0)
+        some = np.flatnonzero(links)
+        a_ += own[some].tolist()
+        b_ += [None] * len(some)
+        n_ += links[some].tolist()
+    return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "n": pa.array(n_, pa.int64())})
+
+
+def _lot(lots: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(lots)).alias("lot")
 
 
 def _pieces(members: DataFrame, group: str, cid: str = "cid") -> DataFrame:
@@ -260,7 +333,8 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     bands = classes.select("cid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(values, b * 4 * ROWS + 1, F.lit(4 * ROWS)))).alias("band", "v"))
     bands = bands.select("cid", F.xxhash64("band", "v").alias("bucket"))
     meeting = _pieces(bands, "bucket").join(classes.select("cid", "sig"), "cid")
-    edges = meeting.groupBy("bucket", "p", "q").applyInPandas(_bucket_edges, "a long, b long")
+    lots = classes.count() * BANDS // 100_000 + 1  # buckets are worked on in lots, so that small ones cost little
+    edges = meeting.groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(_bucket_edges, "a long, b long")
     families = kit.stored(components(edges).withColumnRenamed("node", "cid").join(classes, "cid"))
 
     def shingled(batches):
@@ -273,7 +347,9 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("__id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
     wanted = families.join(texts, (F.col("rep.tkey") == F.col("__tkey")) & F.col("rep.doc_id").eqNullSafe(F.col("__id")))
     members = wanted.select("cid", "comp", "many", "sig", "__text").mapInArrow(shingled, "cid long, comp long, many long, sig binary, shingles binary").dropDuplicates(["cid"])
-    found = kit.stored(_pieces(kit.stored(members), "comp").groupBy("comp", "p", "q").applyInPandas(_family_links, "a long, b long, n long"))
+    members = kit.stored(members)
+    lots = members.count() // 1000 + 1
+    found = kit.stored(_pieces(members, "comp").groupBy(_lot(lots, "comp", "p", "q")).applyInArrow(_family_links, "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null")).withColumnRenamed("node", "cid")
     named = groups.join(classes.select("cid", "rep"), "cid")
