@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -100,7 +101,7 @@ class Reader:
 class Encoder:
     """Token ids of pieces of text, by the hash of their bytes; kept in flat arrays, so that a known piece makes no Python object."""
 
-    def __init__(self, path: str, entries: int = 1 << 20):
+    def __init__(self, path: str, entries: int = 2 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -124,7 +125,7 @@ class Encoder:
         some = np.flatnonzero(plain)
         for lo in range(0, len(some), 10_000):
             part = some[lo : lo + 10_000]
-            got = np.array(self.tok.encode(b"".join(pieces[i] for i in part.tolist()).decode(), add_special_tokens=False).ids, np.uint32)
+            got = np.array(self.tok.encode_batch_fast([b"".join(pieces[i] for i in part.tolist()).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.opens[got])
             if len(cut) == len(part) and cut[0] == 0:
                 at[part], n[part] = size + cut, np.diff(np.append(cut, len(got)))
@@ -221,28 +222,33 @@ def _added(tok) -> tuple:
 def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text", key: str = "doc_id", block: int = BLOCK, shard_ids: int = 1 << 22) -> DataFrame:
     """Writes packed files of all texts in ascending order of the key (nulls first) and returns their table.
 
-    Texts are encoded where they lie; only packed ids are sorted, by ranges of
-    (key, hash), so that neither a long text nor a key that many rows share
-    gathers in one task.  Shards hold about shard_ids ids each.
+    Texts are encoded where they lie; only ids are dealt out and sorted, by ranges
+    of (key, hash of the text), so that a key that many rows share does not
+    gather in one task.  Shards hold about shard_ids ids each.
     """
     spark = docs.sparkSession
     kit.small_batches(spark)
     vocabulary = max(encoder(path).size, end_id + 1)
     small = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
+    tie = F.xxhash64("__key", "__text")
+    source = docs.select(docs[f"`{key}`"].cast("long").alias("__key"), docs[f"`{text}`"].cast("string").alias("__text"))
+    # Ranges are cut at some 64 keys for each, from a hash sample, so that texts are encoded once; every row is dealt by the cuts.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    every = max(1, docs.count() // (64 * parts))
+    sample = sorted((k is not None, k or 0, h) for k, h in source.select("__key", tie).where(F.pmod(tie, F.lit(every)) == 0).collect())
+    cuts = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
+
     def encoded(batches):
         for batch in batches:
             for part in kit.slices(batch, "__text", 2 << 20):
                 ids, b = encode(part.column("__text"), path, end_id)
                 ids = ids.astype(small)
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary())], names=["__key", "__ids"])
+                where = [bisect_right(cuts, (k is not None, k or 0, h)) for k, h in zip(part.column("__key").to_pylist(), part.column("__tie").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__tie"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary()), pa.array(where, pa.int32())], names=["__key", "__tie", "__ids", "__part"])
 
-    source = docs.select(docs[f"`{key}`"].cast("long").alias("__key"), docs[f"`{text}`"].cast("string").alias("__text"))
-    # Stored, since dealing out by range reads its input twice.
-    rows = kit.stored(source.mapInArrow(encoded, "__key long, __ids binary").withColumn("__tie", F.xxhash64("__ids")))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(parts, F.col("__key").asc_nulls_first(), "__tie").sortWithinPartitions(F.col("__key").asc_nulls_first(), "__tie")
-    rows = rows.select("__key", "__ids", F.spark_partition_id().alias("__part"))
+    rows = source.withColumn("__tie", tie).mapInArrow(encoded, "__key long, __tie long, __ids binary, __part int")
+    rows = rows.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions(F.col("__key").asc_nulls_first(), "__tie").select("__key", "__ids", F.col("__part").cast("long"))
 
     def shards(batches):
         part, n, before, held, size = 0, 0, 0, [], 0
