@@ -154,6 +154,8 @@ def _ask(docs: pa.Table, length: int, buckets: int) -> pa.Table:
 
 def _answer(asked: pa.Table) -> pa.Table:
     """For each entry: UNIQUE, AGAIN (all of it is repeated), SEND (its bytes are needed from this block), WINDOWS."""
+    # This runs for two consumers, so it must not depend on the order in which blocks arrive.
+    asked = asked.take(np.argsort(asked["block"].to_numpy()))
     sizes, parts = [], []
     for i in range(asked.num_rows):
         m, c, f = _undelta(asked["m"][i].as_py()), kit.unsqueeze(asked["c"][i].as_py(), U), kit.unsqueeze(asked["flags"][i].as_py(), np.uint8)
