@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from cloakframe.operators import privatize as P
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event times without a zone count as times of the session's zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def privatized(stream: DataFrame, text: str) -> DataFrame:
     """The stream with its text masked."""
     return stream.withColumn(text, P.privatize(F.col(text))["text"])
@@ -16,12 +21,12 @@ def privatized(stream: DataFrame, text: str) -> DataFrame:
 
 def decisions(stream: DataFrame, time: str, kind: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Decisions by kind in tumbling windows; rows later than `late` are left out once their window has closed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), kind).agg(F.count("*").alias("n"))
+    return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, window), kind).agg(F.count("*").alias("n"))
 
 
 def distinct_texts(stream: DataFrame, time: str, text: str, late: str = "1 hour") -> DataFrame:
     """The first row of each text within the watermark."""
-    return stream.withWatermark(time, late).withColumn("__h", F.sha2(F.col(text), 256)).dropDuplicatesWithinWatermark(["__h"]).drop("__h")
+    return _timed(stream, time).withWatermark(time, late).withColumn("__h", F.sha2(F.col(text), 256)).dropDuplicatesWithinWatermark(["__h"]).drop("__h")
 
 
 def repeated_values(stream: DataFrame, author: str, value: str) -> DataFrame:
