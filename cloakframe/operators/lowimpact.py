@@ -1,0 +1,54 @@
+"""Masks for tokens that mark an author but do not matter to the classifier."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cloakframe import resources as R
+from cloakframe.functions import text as T
+from cloakframe.operators import signals
+
+NEVER = tuple(sorted({w for terms in (*R.TARGETS.values(), *R.CUES.values()) for t in terms for w in t.split()}))
+
+
+def choose(docs: DataFrame, key: str, author: str, text: str, per_row: int = 2, length: int = 7, count: int = 2, share: float = 0.75, impact: float = 0.003) -> DataFrame:
+    """key, token, concentration: up to per_row tokens of each row that are long, repeated by one author mostly, and without effect on the score."""
+    marks = signals.concentration(docs, author, text, count).where((F.length("token") >= length) & (F.col("concentration") >= share) & ~F.col("token").isin(*NEVER))
+    rows = docs.select(F.col(key).alias("key"), F.col(author).alias("who"), F.explode(T.token_set(F.col(text))).alias("token"))
+    hits = rows.join(marks.select("token", "author", "concentration"), "token").where(F.col("author") == F.col("who"))
+    important = signals.token_importance(docs, key, text).where(F.col("abs_delta") > impact).select("key", "token").distinct()
+    free = hits.join(important, ["key", "token"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("concentration"), "token"))
+    return free.withColumn("rank", rank).where(F.col("rank") <= per_row).select("key", "token", "concentration", "rank")
+
+
+def masked(docs: DataFrame, key: str, author: str, text: str, threshold: float = 0.5, drift: float = 0.1, **options) -> DataFrame:
+    """key, text, n_masked, reverted: tokens masked as [TERM]; a row whose label would flip or whose score drifts keeps its text."""
+    tokens = choose(docs, key, author, text, **options).groupBy("key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+
+    @F.udf("string", useArrow=True)
+    def mask(t, tokens):
+        for w in tokens or ():
+            t = re.sub(rf"(?<![a-z']){re.escape(w)}(?![a-z'])", "[TERM]", t or "", count=1, flags=re.I)
+        return t
+
+    j = docs.join(tokens, F.col(key) == F.col("key"), "left").select(F.col(key).alias("k"), F.col(text).alias("old"), mask(F.col(text), F.col("tokens")).alias("new"), F.coalesce(F.size("tokens"), F.lit(0)).alias("n"))
+    a, b = T.keyword_score(F.col("old")), T.keyword_score(F.col("new"))
+    bad = ((a >= threshold) != (b >= threshold)) | (F.abs(a - b) > drift)
+    j = j.withColumn("reverted", F.coalesce(bad, F.lit(False)))
+    return j.select(F.col("k").alias(key), F.when(F.col("reverted"), F.col("old")).otherwise(F.col("new")).alias("text"), F.when(F.col("reverted"), 0).otherwise(F.col("n")).alias("n_masked"), "reverted")
+
+
+def clusters(vectors: DataFrame, key: str, vector: str, author: str, k: int = 8, seed: int = 0) -> DataFrame:
+    """author, cluster, mass, concentration, rank: k-means clusters of vectors and how much each author has of each."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select(key, author, array_to_vector(F.col(vector)).alias("features"))
+    found = KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows)
+    mass = found.groupBy(F.col(author).alias("author"), "cluster").agg(F.count("*").alias("mass"))
+    total = F.sum("mass").over(Window.partitionBy("cluster"))
+    return mass.withColumn("concentration", F.round(F.col("mass") / total, 6)).withColumn("rank", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("mass"), "cluster")))

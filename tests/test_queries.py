@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from cloakframe.plans import more_queries  # noqa: F401
 from cloakframe.plans import queries as Q
 
 
@@ -33,7 +34,7 @@ def table(df):
     return sorted((tuple(plain(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.QUERIES), ids=str)
 def test_query(spark, sf, sql, name):
     got = Q.QUERIES[name](spark, sf).toPandas()
     if name in Q.ORACLE:
