@@ -111,14 +111,26 @@ def author_group_mask(docs: DataFrame, author: str, text: str, key: str, least:
     return joined.select(F.col(key), F.col(author), done.alias("m")).select(key, author, "m.text", "m.n_masked")
 
 
-def register(spark) -> None:
-    """The detectors as SQL functions: detect_spans(text), privatize_text(text)."""
-    spark.udf.register("privatize_text", F.pandas_udf(lambda s: s.map(lambda t: D.splice(t or "", D.detect(t or ""))[0]), "string"))
-    spark.udf.register("count_identifiers", F.pandas_udf(_count, "int"))
+@F.udtf(returnType=SPAN)
+class DetectSpans:
+    """SELECT * FROM detect_spans(text): a row for each span."""
+
+    def eval(self, text: str):
+        for s in D.detect(text or "", True):
+            yield tuple(s)
 
 
-def _count(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: len(D.detect(t or "")))
+def register(spark) -> None:
+    """The detectors for SQL: privatize_text(text), count_identifiers(text) and the table function detect_spans(text)."""
+
+    @F.pandas_udf("string")
+    def masked(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: D.splice(t or "", D.detect(t or ""))[0])
 
+    @F.pandas_udf("int")
+    def count(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(D.detect(t or "")))
 
-_count.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    spark.udf.register("privatize_text", masked)
+    spark.udf.register("count_identifiers", count)
+    spark.udtf.register("detect_spans", DetectSpans)

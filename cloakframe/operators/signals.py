@@ -17,8 +17,8 @@ def token_counts(df: DataFrame, author: str, text: str) -> DataFrame:
 def author_tfidf(df: DataFrame, author: str, text: str, top: int = 25) -> DataFrame:
     """Top tokens per author: sublinear tf, smooth idf, L2 norm; rank by weight, then token (a top-k report)."""
     counts = token_counts(df, author, text)
-    n = counts.select("author").distinct().agg(F.count("*").alias("n"))
-    idf = counts.groupBy("token").agg(F.count("*").alias("df")).join(n).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = counts.select("author").distinct().agg(F.count("*")).scalar()
+    idf = counts.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weights = counts.join(idf, "token").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norms = weights.groupBy("author").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scored = weights.join(norms, "author").select("author", "token", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))

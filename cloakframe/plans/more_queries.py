@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cloakframe import resources as R
 from cloakframe.functions import text as T
 from cloakframe.operators import lowimpact, restate, rows, verify
-from cloakframe.plans.queries import _DRIFT, _EFFECT, _IMP, _RATES, _SCORED, _TF, _TOK, _drifted, _list, _q, _scored, query, table
+from cloakframe.plans.queries import _DRIFT, _EFFECT, _IMP, _RATES, _SCORED, _TF, _TOK, _drifted, _list, _masked_sql, _q, _scored, query, table
 
 
 @query("SELECT coalesce(nullif(trim(doc_id::varchar), ''), (doc_id + 1)::varchar) AS row_id, substr(sha256(coalesce(source, '')), 1, 12) AS hash, length(coalesce(source, '')) AS length, trim(coalesce(source, '')) = '' AS blank FROM documents")
@@ -113,25 +113,26 @@ def semantic_clusters(spark, d):
     return lowimpact.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
-_CUT = "substr(text, 1, 300)"
-_TOK2 = _TOK.replace("text", _CUT)
+_CUT = _masked_sql("text")
+_TOK2 = _TOK.replace("lower(text)", f"lower({_CUT})")
 
 
 @query(f"""SELECT doc_id, round(lr, 6) AS length_ratio, round(j, 6) AS similarity, lr BETWEEN 0.35 AND 1.8 AND j >= 0.5 AND trim({_CUT}) <> '' AS ok FROM (SELECT doc_id, text,
  CASE WHEN length(text) = 0 THEN 1 ELSE length({_CUT})::double / length(text) END AS lr,
  CASE WHEN len(list_distinct(list_concat({_TOK}, {_TOK2}))) = 0 THEN 1 ELSE len(list_intersect(list_distinct({_TOK}), list_distinct({_TOK2})))::double / len(list_distinct(list_concat({_TOK}, {_TOK2}))) END AS j FROM documents)""")
 def restatement_gate(spark, d):
-    """Whether an excerpt would pass as a restatement."""
-    return table(spark, d, "documents").select("doc_id", *restate.gate(F.col("text"), F.substring("text", 1, 300)))
+    """Whether a masked copy would pass as a restatement."""
+    return table(spark, d, "documents").select("doc_id", *restate.gate(F.col("text"), T.guard_mask(F.col("text"))))
 
 
 _MAIL = R.GUARD[0][1]
+_REST = _masked_sql("text", R.GUARD[1:])
 
 
-@query(f"SELECT doc_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(text, {_q(_MAIL)}), lambda x: lower(x))), lambda x: contains(lower({_CUT}), x))) AS n_leaks FROM documents")
+@query(f"SELECT doc_id, len(list_filter(list_distinct(list_transform(regexp_extract_all(text, {_q(_MAIL)}), lambda x: lower(x))), lambda x: contains(lower({_REST}), x))) AS n_leaks FROM documents")
 def identifier_leaks(spark, d):
-    """E-mail addresses of each text that its excerpt still holds."""
-    return table(spark, d, "documents").select("doc_id", F.size(restate.leaks(F.col("text"), F.substring("text", 1, 300), _MAIL)).cast("long").alias("n_leaks"))
+    """E-mail addresses of each text that a copy masked for other identifiers still holds."""
+    return table(spark, d, "documents").select("doc_id", F.size(restate.leaks(F.col("text"), T.guard_mask(F.col("text"), R.GUARD[1:]), _MAIL)).cast("long").alias("n_leaks"))
 
 
 _TEMPLATES = ["template one", "template two", "template three"]

@@ -122,8 +122,8 @@ def profile_top_values(spark, d):
     return profile.top_values(table(spark, d, "events"), "event_type", "event_id")
 
 
-def _masked_sql(col: str) -> str:
-    for name, pattern in R.GUARD:
+def _masked_sql(col: str, patterns=R.GUARD) -> str:
+    for name, pattern in patterns:
         col = f"regexp_replace({col}, {_q(pattern)}, '[{name}]', 'g')"
     return col
 
@@ -309,7 +309,7 @@ def safe_label_counts(spark, d):
 
 _DRIFT_TERMS = ("the", "and", "hate", "attack", "not")
 _PAD = "' ' || " + _NORM + " || ' '"
-_AFTER = "substr(text, 1, 200)"
+_AFTER = _masked_sql(_SHORT_SQL)
 
 
 def _drift_sql() -> str:
@@ -325,12 +325,13 @@ _DRIFT = f"SELECT *, CASE WHEN deviation_score >= 5 THEN 'high' WHEN deviation_s
 
 def _drifted(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return rows.select("doc_id", *review.drift(F.col("text"), F.substring("text", 1, 200), F.col("toxic") == 1, list(_DRIFT_TERMS)))
+    after = T.guard_mask(F.regexp_replace("text", T.ascii_bounds(r"\b[Tt]he\b"), "[X]"))
+    return rows.select("doc_id", *review.drift(F.col("text"), after, F.col("toxic") == 1, list(_DRIFT_TERMS)))
 
 
 @query(_DRIFT)
 def drift_score(spark, d):
-    """What an excerpt of 200 characters loses of each labelled text."""
+    """What a masked copy without its articles loses of each labelled text."""
     return _drifted(spark, d)
 
 

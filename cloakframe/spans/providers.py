@@ -1,0 +1,53 @@
+"""Further sources of spans: a provider proposes spans of a text, and an audit says what was dropped and why."""
+
+from __future__ import annotations
+
+import importlib.util
+from collections import Counter
+from collections.abc import Callable
+
+from cloakframe.spans import detect as D
+
+Provider = Callable[[str], list[D.Span]]
+
+
+def deterministic() -> Provider:
+    return D.detect
+
+
+def from_library(module: str, make: Callable[[], Provider]) -> Callable[[], Provider | None]:
+    """A factory that gives no provider where its library is missing."""
+    return lambda: make() if importlib.util.find_spec(module) else None
+
+
+def load(names: list[str], factories: dict[str, Callable[[], Provider | None]]) -> tuple[dict[str, Provider], dict[str, str]]:
+    """Providers by name, each once and in order, and a status for each: ready, missing, unknown or failed."""
+    out, status = {}, {}
+    for name in dict.fromkeys(names):
+        if name not in factories:
+            status[name] = "unknown"
+            continue
+        try:
+            provider = factories[name]()
+        except Exception:
+            status[name] = "failed"
+            continue
+        status[name] = "ready" if provider else "missing"
+        if provider:
+            out[name] = provider
+    return out, status
+
+
+def propose(text: str, providers: dict[str, Provider]) -> tuple[list[D.Span], dict]:
+    """Fused spans of all providers over the engine's own, with counts by provider, reasons of rejection, and errors."""
+    own, proposed, audit = D.detect(text), [], {"proposed": Counter(), "errors": []}
+    for name, provider in providers.items():
+        try:
+            found = provider(text)
+        except Exception:
+            audit["errors"].append(name)
+            continue
+        audit["proposed"][name] += len(found)
+        proposed += [s._replace(source=name) for s in found]
+    spans, reasons = D.fuse(text, own, proposed)
+    return spans, audit | {"rejected": reasons, "kept": Counter(s.source for s in spans)}
