@@ -23,9 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, before = kit.stored(e), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Least neighbours are stored, so that the joins shuffle both sides and Spark can split the edges of a hub.
+        least = kit.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = kit.stored(large)
+        least = kit.stored(large.groupBy("u").agg(F.min("v").alias("m")))
         down = large.join(least, "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = kit.stored(small.where("u <> v").distinct())
