@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, 128)
 TOLERANCE = 1e-9
-PIECE = 1024  # most classes of a bucket or family on one side of a comparison
+PIECE = 512  # most classes of a bucket or family on one side of a comparison
 _rng = np.random.default_rng(20240229)
 FACTORS = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
@@ -216,6 +216,44 @@ def _passing(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 SMALL = 48  # rows of a group whose pairs are listed (in memory) together with those of other groups
 
 
+def _roots(up: np.ndarray, v: np.ndarray) -> np.ndarray:
+    r = up[v]
+    while not np.array_equal(r, n := up[r]):
+        r = n
+    return r
+
+
+def _large_bucket(sig: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool, up: np.ndarray) -> list:
+    """Edges that join what is similar between rows x and y.
+
+    Rows that are in one tree need no comparison, so a few leaders are compared
+    with all first; in a dense group that leaves few pairs.  Then every pair is
+    compared but those within the largest tree.
+    """
+    out, every = [], x if same else np.concatenate([x, y])
+    for _ in range(4):
+        tree = _roots(up, node[every])
+        names, size = np.unique(tree, return_counts=True)
+        rest = np.flatnonzero(tree != names[np.argmax(size)]) if size.max() > 1 else np.arange(len(every))
+        if not len(rest):
+            return out
+        lead = every[rest[:1]]
+        other = every if same else y if np.any(x == lead[0]) else x
+        for i, j in surviving(sig[lead], sig[other], False):
+            keep = node[other[j]] != node[lead[0]]
+            out += forest(np.full(int(keep.sum()), node[lead[0]]), node[other[j[keep]]], up)
+    tree = _roots(up, node[every])
+    names, size = np.unique(tree, return_counts=True)
+    largest = names[np.argmax(size)]
+    a, b = x[_roots(up, node[x]) != largest], y[_roots(up, node[y]) != largest]
+    inner = x[_roots(up, node[x]) == largest]
+    for left, right, own in ((a, a, True), (a, y[_roots(up, node[y]) == largest], False)) if same else ((a, y, False), (inner, b, False)):
+        if len(left) and len(right):
+            for i, j in surviving(sig[left], sig[right], own):
+                out += forest(node[left[i]], node[right[j]], up)
+    return out
+
+
 def _bucket_edges(t: pa.Table) -> pa.Table:
     """Edges that join what is similar in each bucket, as a forest."""
     sig, cid, part = _matrix(t.column("sig")), t.column("cid").to_numpy(), t.column("part").to_numpy()
@@ -232,8 +270,7 @@ def _bucket_edges(t: pa.Table) -> pa.Table:
         rows = order[a:b]
         p, q = t.column("p")[int(rows[0])].as_py(), t.column("q")[int(rows[0])].as_py()
         x, y = rows[part[rows] == p], rows[part[rows] == q]
-        for i, j in surviving(sig[x], sig[y], p == q):
-            out += forest(node[x[i]], node[y[j]], up)
+        out += _large_bucket(sig, node, x, y, p == q, up)
     return pa.table({"a": nodes[[a for a, _ in out]].astype(np.int64), "b": nodes[[b for _, b in out]].astype(np.int64)})
 
 
@@ -260,6 +297,7 @@ def _family_links(t: pa.Table) -> pa.Table:
         bounds = np.cumsum([0, *map(len, raw)])
         size = np.diff(bounds)
         _, where, held = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        where = where.astype(np.int32)
         # Shingles that only one member has add to no common part.
         shared = held > 1
         keep = shared[where]
@@ -319,7 +357,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 cols = [part.column("doc_id"), pa.array(one), pa.array(two), pa.array(n.astype(np.int64)), part.column("tkey"), pa.array([sig[i].tobytes() if n[i] else None for i in range(len(n))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "cid", "cid2", "n", "tkey", "sig"])
 
-    return kit.stored(rows.mapInArrow(run, "doc_id long, cid long, cid2 long, n long, tkey long, sig binary"))
+    return kit.stored(rows.mapInArrow(kit.trimmed(run), "doc_id long, cid long, cid2 long, n long, tkey long, sig binary"))
 
 
 def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -334,7 +372,7 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     bands = bands.select("cid", F.xxhash64("band", "v").alias("bucket"))
     meeting = _pieces(bands, "bucket").join(classes.select("cid", "sig"), "cid")
     lots = classes.count() * BANDS // 100_000 + 1  # buckets are worked on in lots, so that small ones cost little
-    edges = meeting.groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(_bucket_edges, "a long, b long")
+    edges = meeting.groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(kit.one(_bucket_edges), "a long, b long")
     families = kit.stored(components(edges).withColumnRenamed("node", "cid").join(classes, "cid"))
 
     def shingled(batches):
@@ -346,10 +384,10 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     texts = docs.select(docs[f"`{key}`"].cast("long").alias("__id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
     wanted = families.join(texts, (F.col("rep.tkey") == F.col("__tkey")) & F.col("rep.doc_id").eqNullSafe(F.col("__id")))
-    members = wanted.select("cid", "comp", "many", "sig", "__text").mapInArrow(shingled, "cid long, comp long, many long, sig binary, shingles binary").dropDuplicates(["cid"])
+    members = wanted.select("cid", "comp", "many", "sig", "__text").mapInArrow(kit.trimmed(shingled), "cid long, comp long, many long, sig binary, shingles binary").dropDuplicates(["cid"])
     members = kit.stored(members)
     lots = members.count() // 1000 + 1
-    found = kit.stored(_pieces(members, "comp").groupBy(_lot(lots, "comp", "p", "q")).applyInArrow(_family_links, "a long, b long, n long"))
+    found = kit.stored(_pieces(members, "comp").groupBy(_lot(lots, "comp", "p", "q")).applyInArrow(kit.one(_family_links), "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null")).withColumnRenamed("node", "cid")
     named = groups.join(classes.select("cid", "rep"), "cid")
