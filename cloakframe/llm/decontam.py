@@ -135,7 +135,7 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
                     cols = [part.column("doc_id").take(pa.array(m["text"])), items, *(pa.array(m[c]) for c in ("n_match", "n_span", "text_word", "item_word"))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_match", "n_span", "doc_word", "item_word"])
 
-        out = out.unionByName(source.mapInArrow(run, schema))
+        out = out.unionByName(source.mapInArrow(kit.trimmed(run), schema))
     return out
 
 
@@ -144,8 +144,10 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", bench_text: str
     spark = docs.sparkSession
     kit.small_batches(spark)
     out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{text}`"].cast("string").alias("__text"))
-    for ix in blocks(bench, bench_text, bench_key, block_words):
+    for k, ix in enumerate(blocks(bench, bench_text, bench_key, block_words)):
         sent = spark.sparkContext.broadcast(ix)
+        if k:
+            out = kit.stored(out)  # one block at a time in the executors' memory
 
         def run(batches, sent=sent):
             for batch in batches:
@@ -154,5 +156,5 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", bench_text: str
                     stays[matches(part.column("__text"), sent.value, least)["text"]] = False
                     yield part.filter(pa.array(stays))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(kit.trimmed(run), out.schema)
     return out.select("__row.*")

@@ -406,4 +406,4 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataF
             texts = [render(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], names=[key, "text", "n_lines"])
 
-    return source.mapInArrow(run, T.StructType([pages.schema[key], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())]))
+    return source.mapInArrow(kit.trimmed(run), T.StructType([pages.schema[key], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())]))

@@ -7,6 +7,7 @@ outside space and \\t..\\r; null texts count as empty ones.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,8 +62,10 @@ def prefix_sums(buf: np.ndarray) -> np.ndarray:
         return np.cumsum(sums, out=sums)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with at most about `limit` bytes of text each (a longer row stands alone)."""
+    if not batch.num_rows:
+        return
     sizes = batch.column(column)
     sizes = np.frombuffer(text_array(sizes).buffers()[1], np.int64)[: len(sizes) + 1]
     i, n = 0, batch.num_rows
@@ -180,17 +183,73 @@ def crc_mod(doc_ids: list, m: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % m for i in doc_ids], np.int64)
 
 
+def trim(powers: bool = True) -> None:
+    """Gives free memory back; Python workers wait for their next task with what they hold."""
+    if powers:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def trimmed(run):
+    """A function over batches that gives memory back at its end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
+def one(f):
+    """A function of a group's table that gives memory back after each."""
+
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            trim(False)
+
+    return run
+
+
+def two(f):
+    """The same for two tables."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            trim(False)
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python workers get at most so many rows at once; long texts then need little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+def scratch(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder below the one the cluster shares (spark.checkpoint.dir), removed when the application ends unless it is kept.
+
+    Where that is unset, as in tests, a local session gets a temporary folder; a cluster has none that all can see, so it must be set.
+    """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = os.path.join(tempfile.gettempdir(), "cloakframe-scratch")
-    return f"{top.rstrip('/')}/cloakframe-{uuid.uuid4().hex}"
+    where = f"{top.rstrip('/')}/cloakframe-{uuid.uuid4().hex}"
+    if not keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
 
 
 def stored(df: DataFrame, where: str | None = None) -> DataFrame:

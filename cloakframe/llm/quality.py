@@ -112,7 +112,7 @@ def judge(docs: DataFrame, text: str = "text", bands: Bands = Bands(), min_words
                 cols = [pa.array(m[c], from_pandas=c == "ratio") for c, _ in results]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *cols], names=[*names, *(c for c, _ in results)])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(kit.trimmed(run), schema)
 
 
 def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:

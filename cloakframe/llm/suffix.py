@@ -398,10 +398,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     blocks = buckets = int(total // BLOCK_BYTES) + 1
     rows = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(blocks)))
-    asked = rows.groupBy("__block").applyInArrow(lambda t: _ask(t, length, buckets), ASK_DDL)
-    told = asked.groupBy("bucket").applyInArrow(_answer, TELL_DDL)
-    sent = rows.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, length, buckets), ASK_DDL)
-    found = sent.groupBy("bucket").applyInArrow(lambda t: _search(t, length, buckets), TELL_DDL)
+    asked = rows.groupBy("__block").applyInArrow(kit.one(lambda t: _ask(t, length, buckets)), ASK_DDL)
+    told = asked.groupBy("bucket").applyInArrow(kit.one(_answer), TELL_DDL)
+    sent = rows.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets)), ASK_DDL)
+    found = sent.groupBy("bucket").applyInArrow(kit.one(lambda t: _search(t, length, buckets)), TELL_DDL)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     both = told.unionByName(found)
-    return rows.groupBy("__block").cogroup(both.groupBy("block")).applyInArrow(lambda a, b: _cover(a, b, length, buckets, with_text), out)
+    return rows.groupBy("__block").cogroup(both.groupBy("block")).applyInArrow(kit.two(lambda a, b: _cover(a, b, length, buckets, with_text)), out)

@@ -101,7 +101,7 @@ class Reader:
 class Encoder:
     """Token ids of pieces of text, by the hash of their bytes; kept in flat arrays, so that a known piece makes no Python object."""
 
-    def __init__(self, path: str, entries: int = 2 << 20):
+    def __init__(self, path: str, entries: int = 3 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,21 +111,22 @@ class Encoder:
         # Byte-level vocabularies write the space as U+0120.
         self.opens = np.zeros(self.size, bool)
         self.opens[[i for w, i in vocabulary.items() if w[:1] == "\u0120"]] = True
+        self.small = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.key, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, self.small)
 
     def learn(self, key: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
         """Encodes pieces of unknown, sorted keys. Plain ones (a space, then no white space) are joined to one text: each begins with the only token that opens with a space."""
-        n, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        n, at = np.zeros(len(pieces), np.uint32), np.zeros(len(pieces), np.uint32)
         if len(self.key) + len(key) > self.entries:
             self.forget()
         flat, size, rest = [self.flat], len(self.flat), np.flatnonzero(~plain)
         some = np.flatnonzero(plain)
         for lo in range(0, len(some), 10_000):
             part = some[lo : lo + 10_000]
-            got = np.array(self.tok.encode_batch_fast([b"".join(pieces[i] for i in part.tolist()).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            got = np.array(self.tok.encode_batch_fast([b"".join(pieces[i] for i in part.tolist()).decode()], add_special_tokens=False)[0].ids, self.small)
             cut = np.flatnonzero(self.opens[got])
             if len(cut) == len(part) and cut[0] == 0:
                 at[part], n[part] = size + cut, np.diff(np.append(cut, len(got)))
@@ -136,7 +137,7 @@ class Encoder:
         for lo in range(0, len(rest), 10_000):
             part = rest[lo : lo + 10_000].tolist()
             for i, e in zip(part, self.tok.encode_batch_fast([pieces[i].decode() for i in part], add_special_tokens=False)):
-                got = np.array(e.ids, np.uint32)
+                got = np.array(e.ids, self.small)
                 at[i], n[i] = size, len(got)
                 flat.append(got)
                 size += len(got)
@@ -202,10 +203,10 @@ def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarra
         plain &= np.array([not any(w in x for w in added) for x in pieces]) if any(w in buf.tobytes() for w in added) else True
         enc.learn(key[new], pieces, plain)
         place = enc.place(key)
-    sizes = enc.n[place][back]
+    sizes = enc.n[place][back].astype(np.int64)
     per = kit.per_text(np.searchsorted(t.ws, edges), sizes)
     ends = np.cumsum(sizes)
-    body = enc.flat[np.repeat(enc.at[place][back] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(sizes) else enc.flat[:0]
+    body = enc.flat[np.repeat(enc.at[place][back].astype(np.int64) - (ends - sizes), sizes) + np.arange(ends[-1])] if len(sizes) else enc.flat[:0]
     bounds = np.concatenate([[0], np.cumsum(per + 1)])
     ids = np.full(bounds[-1], end_id, np.uint32)
     inner = np.ones(bounds[-1], bool)
@@ -247,7 +248,7 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
                 where = [bisect_right(cuts, (k is not None, k or 0, h)) for k, h in zip(part.column("__key").to_pylist(), part.column("__tie").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__tie"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary()), pa.array(where, pa.int32())], names=["__key", "__tie", "__ids", "__part"])
 
-    rows = source.withColumn("__tie", tie).mapInArrow(encoded, "__key long, __tie long, __ids binary, __part int")
+    rows = source.withColumn("__tie", tie).mapInArrow(kit.trimmed(encoded), "__key long, __tie long, __ids binary, __part int")
     rows = rows.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions(F.col("__key").asc_nulls_first(), "__tie").select("__key", "__ids", F.col("__part").cast("long"))
 
     def shards(batches):
@@ -270,7 +271,7 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
         if held:
             yield out()
 
-    files = rows.mapInArrow(shards, "part long, shard long, before long, n_ids long, doc_ids array<long>, file binary")
+    files = rows.mapInArrow(kit.trimmed(shards), "part long, shard long, before long, n_ids long, doc_ids array<long>, file binary")
     return kit.stored(files, where)
 
 
@@ -288,7 +289,7 @@ def read(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(b[:-1].tolist(), b[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(base[part] + before + b[:-1]), pa.array(np.diff(b)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "before", "doc_ids", "file").mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "doc_ids", "file").mapInArrow(kit.trimmed(unpacked), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(files: DataFrame, folder: str) -> list[str]:

@@ -87,13 +87,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     source = pages.select(pages[f"`{key}`"].alias("__id"), pages[f"`{url}`"].cast("string").alias("__url"))
     schema = T.StructType([T.StructField("__id", kind), *(T.StructField(c, T.StringType()) for c in ("k", "host", "path"))])
-    urls = source.mapInArrow(keyed, schema).withColumn("salt", F.hex(F.xxhash64("__id")))
+    urls = source.mapInArrow(kit.trimmed(keyed), schema).withColumn("salt", F.hex(F.xxhash64("__id")))
     place = lambda d: F.concat(d["k"], F.lit("\x00"), d["path"], F.lit("\x00"), d["salt"])
     # About 64 keys for each cut, whatever the number of rows; they bound the ranges only.
     rows = pages.count()
     every = max(1, rows // (64 * ranges))
     some = pages.where(F.pmod(F.xxhash64(pages[f"`{key}`"], pages[f"`{url}`"].cast("string")), F.lit(every)) == 0)
-    some = some.select(some[f"`{key}`"].alias("__id"), some[f"`{url}`"].cast("string").alias("__url")).mapInArrow(keyed, schema).withColumn("salt", F.hex(F.xxhash64("__id")))
+    some = some.select(some[f"`{key}`"].alias("__id"), some[f"`{url}`"].cast("string").alias("__url")).mapInArrow(kit.trimmed(keyed), schema).withColumn("salt", F.hex(F.xxhash64("__id")))
     sample = sorted((r[0] for r in some.select(place(some)).collect()), key=lambda s: s.encode())
     cuts = [sample[i * len(sample) // ranges].encode() for i in range(1, ranges)] if sample else []
 
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     null = lambda t: F.lit(None).cast(t)
     ruled = rules.select(*(rules[f"`{c}`"].cast("string").alias(c) for c in ("host", "path", "verdict"))).dropDuplicates(["host", "path"])
-    ruled = ruled.mapInArrow(spread, "range int, k string, path string, rule string, verdict string").select("range", "k", F.lit(0).alias("kind"), "path", null(kind).alias("__id"), null("string").alias("host"), "rule", "verdict")
+    ruled = ruled.mapInArrow(kit.trimmed(spread), "range int, k string, path string, rule string, verdict string").select("range", "k", F.lit(0).alias("kind"), "path", null(kind).alias("__id"), null("string").alias("host"), "rule", "verdict")
     events = urls.select(range_of(place(urls)).alias("range"), "k", F.lit(1).alias("kind"), "path", "__id", "host", null("string").alias("rule"), null("string").alias("verdict")).unionByName(ruled)
     # Order within a range: by key, rules before urls; a rule of a range comes before all keys it covers.
     events = events.repartition(ranges, "range").sortWithinPartitions("range", "k", "kind", "path")
@@ -141,4 +141,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
-    return events.mapInArrow(swept, T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))]))
+    return events.mapInArrow(kit.trimmed(swept), T.StructType([T.StructField(key, kind), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))]))

@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token files are written and read back: doc_id, start, n_tokens, ids_crc32 of every document of the mix."""
-    return tokens.read(tokens.write(docs, queries.tokenizer_path(), queries.END_ID, kit.scratch(spark)))
+    return tokens.read(tokens.write(docs, queries.tokenizer_path(), queries.END_ID, kit.scratch(spark, keep=True)))
 
 
 STAGES = [
