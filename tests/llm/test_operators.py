@@ -100,6 +100,14 @@ def test_html_words_match_a_plain_parser(spark, sf):
         assert [w for w in got[r.page_id].split() if w != "-"] == [w for w in plain if w != "-"]
 
 
+def test_html_on_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_lines int"
+    odd = spark.createDataFrame([(1, None, None, "x", 3), (None, "u", "<p>a", None, None), (1, None, "", None, 1), (1, None, "<p>" + "b " * 200_000, None, 1)], schema)
+    got = [(r.page_id, r.text[:3], r.n_lines) for r in html.extract(odd).collect()]
+    assert sorted(got, key=str) == sorted([(1, "", 0), (None, "a", 1), (1, "", 0), (1, "b b", 1)], key=str)
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_urls(spark):
     assert urls.split("HTTP://A.Com:80/x?y#z") == ("a.com:80", "/x") and urls.split(None) == urls.split("nothing") == ("", "")
     rng = random.Random(2)

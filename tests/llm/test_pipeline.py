@@ -1,5 +1,6 @@
 """The pipeline against a plain version of each stage, and the registration of its queries."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import __spark_entry__
 import corpus_pipeline
 from cloakframe.llm import decontam, kit, mixing, quality, queries
-from tests.llm.test_operators import linked, words
+from tests.llm.test_operators import linked, prose, words
 
 
 def test_stages_have_their_effect(spark, sf, tmp_path):
@@ -60,6 +61,20 @@ def test_stages_have_their_effect(spark, sf, tmp_path):
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_stages_take_odd_tables(spark, sf, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, score double, times int, __row string"
+    text, long = prose(random.Random(3), 300), prose(random.Random(4), 20_000)
+    odd = [(1, text, "en", None, 1, 1, None, None, 1, None), (1, text, "en", None, 1, 1, None, None, 1, None), (2, text + " more", None, "s", None, 2, True, 0.1, 2, "x"), (None, None, None, None, None, None, None, None, None, None), (3, "", "", "", 0, 0, False, 0.0, 0, ""), (4, long, "en", "s", 1, 1, None, None, None, None)]
+    for name, rows in (("odd", odd), ("none", [])):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            docs = kit.stored(stage(spark, docs, sf), str(tmp_path / f"{name}{k}"))
+            assert k == 4 or docs.columns == columns
+        left = sorted(r.doc_id for r in docs.collect())
+        assert set(left) == ({1, 4} if rows else set()) and all(left.count(i) <= 2 for i in left)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
