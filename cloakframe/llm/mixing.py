@@ -6,8 +6,8 @@ every length in bulk, then a bounded-knapsack dynamic program over the lengths
 still available closes the gap to the word, where a subset allows it.  Which
 documents of a length are taken is decided by a seeded hash.
 
-Defined cases: null texts have no words; empty documents are never taken again
-and count as taken 0; null sources form one source, last in order; rows that
+Defined cases: null texts have no words; empty documents stand once where their
+source takes a whole pass, else not at all, and count as taken 0; null sources form one source, last in order; rows that
 share an id are told apart by nothing but are interchangeable, so as many of
 them are taken as the plan says; an empty table gives no row.
 """
@@ -130,7 +130,7 @@ def _plan(rows: DataFrame, weights: tuple, share: float, at_most: int, seed: int
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
     clear = r.where(~((F.col("quota") > 0) & (F.col("quota") < F.col("n")))).withColumn("extra", (F.col("quota") > 0).cast("long"))
     done = clear.unionByName(border.withColumn("extra", (rank <= F.col("quota")).cast("long")))
-    done = done.withColumn("times", F.col("passes") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0))
+    done = done.withColumn("times", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.least(F.col("passes"), F.lit(1))))
     out = done.join(per_source, F.col("source").eqNullSafe(F.col("__source")))
     return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
