@@ -314,6 +314,21 @@ def test_chaining(spark, none):
     assert chaining.passages(none).count() == 0
 
 
+def test_chaining_finds_edited_passages(spark):
+    """Passages with a word replaced in every 6 to 8, and with 10 to 20% of the words replaced at random."""
+    rng = random.Random(17)
+    edits = [lambda n, k=k: [i % k == k - 1 for i in range(n)] for k in (6, 7, 8)] + [lambda n, p=p: [rng.random() < p for _ in range(n)] for p in (0.1, 0.15, 0.2)]
+    made, n = [], 25
+    for e, edit in enumerate(edits):
+        for i in range(n):
+            passage = prose(rng, 60).split()
+            other = [f"edit{rng.random()}" if hit else w for w, hit in zip(passage, edit(60))]
+            made += [(1000 * e + 2 * i, f"{prose(rng, 30)} {' '.join(passage)} {prose(rng, 30)}"), (1000 * e + 2 * i + 1, f"{prose(rng, 45)} {' '.join(other)} {prose(rng, 15)}")]
+    found = Counter(r.doc_id // 1000 for r in chaining.passages(spark.createDataFrame(made, "doc_id long, text string")).collect() if r.other_id == r.doc_id ^ 1)
+    recall = [found[e] / (2 * n) for e in range(len(edits))]
+    assert recall[:3] == [1, 1, 1] and min(recall[3:5]) >= 0.95 and recall[5] >= 0.85, recall
+
+
 def test_chain_is_best():
     """The Fenwick chain scores as well as the best chain found by trying all pairs."""
     rng = random.Random(8)
