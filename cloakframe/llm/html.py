@@ -48,15 +48,18 @@ IMPLIES = {
     **{s: (CELLS | ROWS | SECTIONS | {"caption", "colgroup"}, frozenset(("table",))) for s in ("thead", "tbody", "tfoot", "caption", "colgroup")},
     "body": (frozenset(("head",)), frozenset()),
 }
+#: Open elements in which only rows, cells and the like may stand, and what else has no place of its own there.
+BARE = frozenset(("table", "tr")) | SECTIONS
+PARTS = CELLS | BARE | {"caption", "colgroup", "col", "script", "style", "template"}
 FENCE = frozenset(("td", "th", "caption", "table", "template", "object"))
 LIMIT = 8
 
 
 class Node:
-    __slots__ = ("name", "attrs", "kids")
+    __slots__ = ("name", "attrs", "kids", "up")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.attrs, self.kids = name, attrs, []
+        self.name, self.attrs, self.kids, self.up = name, attrs, [], None
 
     def get(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -73,8 +76,23 @@ def parse(page: str) -> Node:
     stack, at, end = [root], 0, len(page)
     open_ = {"html": 1}
 
+    def add(kid):
+        """Puts a node or text where it belongs: what stands in a table but in no cell goes before the table."""
+        up = stack[-1]
+        if up.name in BARE and (kid.name not in PARTS if isinstance(kid, Node) else kid.strip()):
+            table = next((x for x in reversed(stack) if x.name == "table"), None)
+            if table is not None:
+                up = table.up
+                up.kids.insert(len(up.kids) - 1, kid)
+            else:
+                up.kids.append(kid)
+        else:
+            up.kids.append(kid)
+        if isinstance(kid, Node):
+            kid.up = up
+
     def push(node):
-        stack[-1].kids.append(node)
+        add(node)
         stack.append(node)
         open_[node.name] = open_.get(node.name, 0) + 1
 
@@ -101,22 +119,14 @@ def parse(page: str) -> Node:
         if name is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
-                here = stack[-1].name
-                if (here == "table" or here == "tr" or here in SECTIONS) and text.strip():
-                    # Text that stands in a table but in no cell goes before the table.
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].name == "table":
-                            stack[i - 1].kids.insert(len(stack[i - 1].kids) - 1, unescape(text) if "&" in text else text)
-                            break
-                    else:
-                        stack[-1].kids.append(unescape(text))
-                else:
-                    stack[-1].kids.append(unescape(text) if "&" in text else text)
+                if stack[-1].name == "colgroup" and text.strip():
+                    pop_to(len(stack) - 1)
+                add(unescape(text) if "&" in text else text)
             continue
         name = name.lower()
         if m[1]:
             if name == "br":
-                stack[-1].kids.append(Node("br"))
+                add(Node("br"))
             elif open_.get(name) and name not in ("html", "body"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
@@ -133,6 +143,20 @@ def parse(page: str) -> Node:
             close(("p",), FENCE)
         if open_.get("head") and name not in ("base", "link", "meta", "title", "style", "script", "template", "noscript", "head"):
             close(("head",), ())
+        if stack[-1].name == "colgroup" and name not in ("col", "template"):
+            pop_to(len(stack) - 1)
+        if name in PARTS and name not in ("table", "script", "style", "template") and open_.get("table"):
+            # They end what was moved out of the table.
+            i = len(stack) - 1
+            while stack[i].name not in BARE and stack[i].name not in FENCE:
+                i -= 1
+            if stack[i].name in BARE:
+                pop_to(i + 1)
+        if stack[-1].name in BARE and open_.get("table"):
+            if name == "form":
+                continue  # its rows and cells are the table's
+            if name == "table":
+                pop_to(max(i for i, x in enumerate(stack) if x.name == "table"))
         # Cells and rows imply what must be around them.
         if name in CELLS and open_.get("table"):
             if stack[-1].name == "table":
@@ -143,10 +167,10 @@ def parse(page: str) -> Node:
             push(Node("tbody"))
         attrs = m[3]
         if name in VOID:
-            stack[-1].kids.append(Node(name, attrs))
+            add(Node(name, attrs))
         elif name in RAW:
             node = Node(name, attrs)
-            stack[-1].kids.append(node)
+            add(node)
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?|\Z", re.I).search(page, at)
             if name not in UNSEEN:
                 body = page[at : stop.start()]
@@ -261,7 +285,7 @@ def _rows(table: Node, seen: bool):
             elif kid.name in SECTIONS:
                 todo.append((kid, sees, iter(kid.kids)))
                 break
-            elif kid.name not in ("form",):
+            else:
                 rows.append([(kid, sees)])
         else:
             todo.pop()

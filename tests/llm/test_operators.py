@@ -100,6 +100,23 @@ def test_html_words_match_a_plain_parser(spark, sf):
         assert [w for w in got[r.page_id].split() if w != "-"] == [w for w in plain if w != "-"]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><form><tr><td>Hello<td>you</td></tr></form><tr><td>a<td>b</table>end", "Hello  you\na      b\n\nend"),
+        ("<table><tr><form action=x><td>x</td></form><td>y</tr></table>", "x  y"),
+        ("<table><tr><div>x</div><td>y</tr></table>", "x\n\ny"),
+        ("<table><tbody><tr><td>a</td><p>b<p>c<td>d<tr><td>e</table>", "b\n\nc\n\na  d\ne"),
+        ("<table><tr><td>o<table><tr><div>i</div><td>j</table></table>", "o\ni\nj"),
+        ("<table><tr><table><tr><td>in</table><tr><td>out</table>", "in\n\nout"),
+        ("<table><tr><input type=submit value=Go><textarea>t</textarea><td>x</table>", "Got\n\nx"),
+        ("<table><colgroup><col><div>x</div><tr><td>y</table>", "x\n\ny"),
+    ],
+)
+def test_html_elements_between_cells(page, text):
+    assert html.render(page) == text
+
+
 def test_html_on_odd_tables(spark):
     schema = "page_id long, url string, html string, text string, n_lines int"
     odd = spark.createDataFrame([(1, None, None, "x", 3), (None, "u", "<p>a", None, None), (1, None, "", None, 1), (1, None, "<p>" + "b " * 200_000, None, 1)], schema)
