@@ -117,6 +117,14 @@ def test_html_elements_between_cells(page, text):
     assert html.render(page) == text
 
 
+def test_html_stray_quotes():
+    assert html.render("<p title=it's>First</p> don't <b>go</b>") == "First\n\ndon't go"
+    assert html.render("""<p title = "a>b" class='c>d'>x</p>y""") == "x\n\ny"
+    assert html.render("<p ' >x</p> it's <b>y</b>") == "x\n\nit's y"
+    assert html.render("<p title=it's hidden>x</p>y") == "y"
+    assert html.Node("a", " x=it's y=2").get("x") == "it's"
+
+
 def test_html_on_odd_tables(spark):
     schema = "page_id long, url string, html string, text string, n_lines int"
     odd = spark.createDataFrame([(1, None, None, "x", 3), (None, "u", "<p>a", None, None), (1, None, "", None, 1), (1, None, "<p>" + "b " * 200_000, None, 1)], schema)
