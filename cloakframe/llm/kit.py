@@ -8,6 +8,8 @@ outside space and \\t..\\r; null texts count as empty ones.
 from __future__ import annotations
 
 import ctypes
+import gc
+import math
 import os
 import tempfile
 import uuid
@@ -230,9 +232,53 @@ def two(f):
     return run
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows at once; long texts then need little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BLOCK_BYTES = 3 << 20  # of texts in a block; some 100 times as much memory is at work on it
+COPIES = 256  # of rows equal in id and text, how many may lie in one block
+
+
+def id_types(docs: DataFrame, key: str) -> tuple[str, pa.DataType]:
+    """The key's own type, in DDL and in Arrow; ids are passed on as they are."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[key].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+class Dealt:
+    """Rows (doc_id, __text) dealt to blocks of about BLOCK_BYTES by a hash of both.
+
+    Rows equal in id and text would all fall in one block; of more than COPIES
+    of them every COPIES go to a block of their own.  They are counted first,
+    and only those are gathered, after Spark has merged them on the map side.
+    """
+
+    def __init__(self, docs: DataFrame, text: str, key: str, block_bytes: int | None = None):
+        rows = docs.select(docs[f"`{key}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("__text"))
+        self.ddl, self.arrow = id_types(docs, key)
+        keyed = rows.withColumn("__tkey", F.xxhash64("__text"))
+        same = keyed.groupBy("doc_id", "__tkey").agg(F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("bytes"))
+        total, most = same.agg(F.sum("bytes"), F.max("n")).first()
+        self.blocks = int((total or 0) // (block_bytes or BLOCK_BYTES)) + 1
+        # More blocks make messages smaller, so buckets grow with the root of their number.
+        self.buckets = min(self.blocks, max(256, math.isqrt(169 * self.blocks)))
+        self.parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) >> 26)
+        rows = rows.withColumn("__salt", F.lit(0))
+        if (most or 0) > COPIES:
+            many = stored(same.where(F.col("n") > COPIES).select(F.col("doc_id").alias("__id"), F.col("__tkey").alias("__many")))
+            on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__many"))
+            hot = keyed.join(many, on, "left_semi").groupBy("doc_id", "__text").agg(F.count("*").alias("n"))
+            hot = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / COPIES).cast("int"))))
+            hot = hot.withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("n") - COPIES * F.col("__salt")).cast("int"))))
+            rows = keyed.join(many, on, "left_anti").select("doc_id", "__text", F.lit(0).alias("__salt")).unionByName(hot.select("doc_id", "__text", "__salt"))
+        block = F.pmod(F.xxhash64("doc_id", "__text", "__salt"), F.lit(self.blocks)).alias("__block")
+        self.rows = rows.select("doc_id", "__text", block)
+
+    def by_block(self):
+        return self.rows.repartition(self.parts, "__block").groupBy("__block")
+
+    def by(self, messages: DataFrame, column: str):
+        """Messages to blocks or buckets, in as many partitions as the texts have."""
+        return messages.repartition(self.parts, column).groupBy(column)
 
 
 def scratch(spark: SparkSession, keep: bool = False) -> str:
@@ -260,6 +306,12 @@ def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that nothing refers to any more; it finds them when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,40 +1,50 @@
 """LM scoring: a hierarchical Pitman-Yor model.
 
-The model spells words: a text is its lower-cased (A-Z) words, each followed by
-a space, then an end sign, and every byte is drawn in the context of the ORDER
-bytes before it.  Each context is a restaurant; its customers are the bytes
-seen there and its tables are customers of the context that is one byte
-shorter, so contexts share parents, down to the empty one over a uniform base.
-Seating is started by the Chinese-restaurant process and then sampled by
-Gibbs: customers leave at random and sit down again given all others.  A text
-is scored with the predictive probabilities averaged over the samples.
+The model reads a text as its words (A-Z lower-cased) and one end.  Each word
+before is a context, and each context a restaurant whose customers are the
+words that follow it; its tables are customers of the restaurant of the empty
+context, which all share as parent, and whose own tables rest on a spelling
+model: again a hierarchical Pitman-Yor model, of the bytes of a word given
+two, one and no bytes before.  So every text has a probability, whatever its words.
+
+Seating is sampled by Gibbs.  All c customers of a kind (restaurant and word)
+leave and sit down again at once: given all others, t tables have a chance in
+proportion to S(c, t) times the product of the t weights of a new table, where
+S are generalised Stirling numbers, the sums over all seatings of c customers
+at t tables by the Chinese-restaurant process.  That draws the exact
+conditional of all seats of a kind with work that does not depend on c, so a
+sweep moves every customer.  Kinds of a level are drawn given the tables before the sweep.  S comes from a
+table up to TOP customers, and beyond from the law S(c, t + 1) / S(c, t) =
+f(t / c**d) / t that it tends to.  Uniforms are hashes of kind and sweep, so
+samples do not depend on blocks, buckets or partitions.
 
 All training text is used.  Documents are dealt to blocks; a block sends each
-of its distinct byte strings of ORDER + 1 bytes once, with its count, to a
-bucket chosen by the two bytes nearest to the predicted one, so that a bucket
-holds whole subtrees of restaurants.  Counts grow with the number of blocks,
-the model with the number of distinct strings.  The two lowest levels (at most
-65,792 kinds of customers, whatever the corpus) are seated on the driver,
-between a first and a second run over the buckets.  The second answers every
-string that a block asked about, and blocks add up the scores; no model is
-broadcast and no text is shuffled but once per pass.
-
-A sweep moves MOVES customers of each kind in each restaurant, chosen at
-random; they leave and sit down at once, given the state before, which keeps
-the work in proportion to the kinds.  Starting tables are drawn in blocks of
-doubling size.
-
-The word counts for the base score travel with the strings.
-
-Defined cases: a null or empty text is the end sign alone; without training
-text every byte has probability 1/256 and the base is 0 per token; repeated
-rows are scored and counted as rows of their own; null ids are as the empty
-text for the choice of held-out documents; white space within a text scores as
-single spaces.
+distinct pair of words and each distinct word once, with its count, to a
+bucket chosen by the first word's hash.  Buckets keep what they merged, and of
+each block's list only the places in it.  Contexts of very frequent words (HOT
+and more occurrences) are spread over all buckets by the second word; their
+numbers of tables are added up over the buckets after each run.  Buckets of
+contexts and of words exchange customers and probabilities; nothing is sent to
+the driver but sums, frequent words (at most 4,096) and the spelling model (at most
+256**3 counts), and only these are broadcast.
+
+A pair is known by 30 bits of the hash of its first word and 34 of the
+second's: contexts that share theirs are one restaurant, which leaves the
+model proper.
+
+The word counts for the base score travel with the words.
+
+Defined cases: a null or empty text is the end alone; without training text
+every byte of a word and the end of it has probability 1/256 and the base is 0
+per token; repeated rows are scored and counted as rows of their own; null ids
+are as the empty text for the choice of held-out documents; ids keep their
+type; white space within a text only parts words; no rows give no rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,435 +54,492 @@ from cloakframe.llm import kit
 from cloakframe.llm.suffix import _by_bucket, _delta, _rows, _undelta
 
 U = np.uint64
-ORDER = 5
-DISCOUNT = (0.2, 0.3, 0.45, 0.6, 0.7, 0.8)
-STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0, 1.0)
-BURN, SAMPLES, MOVES = 2, 3, 2
-BLOCK_BYTES = 3 << 20
-SPREAD, GATHER = 40503, pow(40503, -1, 1 << 16)  # scrambles the nearest two bytes, so that buckets are even
-SPACE, END = 0x20, 0x0A
+PAIR, WORD = (0.75, 1.0), (0.5, 1.0)  # discount, strength
+SPELL = ((0.2, 1.0), (0.3, 1.0), (0.5, 1.0))  # of contexts of no, one and two bytes
+BURN, SAMPLES = 4, 4
+HOT = 1 << 20
+TOP = 1024
+SPACE = 0x20
 END_WORD = kit.mix(np.array([0x0A], U))[0]
-
-
-def stream(t: kit.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts as the model reads them, ORDER end signs before each, and the bounds of what is predicted of each."""
-    words = np.diff(t.first)
-    size = kit.per_text(t.first, t.we - t.ws) + words + 1
-    ends = np.cumsum(size + ORDER)
-    out = np.full(int(ends[-1]) if t.n else 0, END, np.uint8)
-    shift = np.repeat(ends - size, words) + np.arange(len(t.ws)) - np.repeat(t.first[:-1], words)
-    sizes = t.we - t.ws
-    before = np.cumsum(sizes) - sizes
-    start = shift + before - np.repeat(before[np.minimum(t.first[:-1], max(0, len(before) - 1))] if len(before) else np.zeros(t.n, np.int64), words)
-    at = np.repeat(start - before, sizes) + np.arange(sizes.sum())
-    out[at] = kit.lower_ascii(t.buf)[t.black]
-    out[start + sizes] = SPACE
-    return out, np.stack([ends - size, ends])
-
-
-def strings(t: kit.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Of each predicted byte its string, and n + 1 bounds of the texts.
-
-    High to low: the context from the nearest byte on (the first two scrambled), then the byte itself, then 16 empty bits.
-    """
-    b, (lo, hi) = stream(t)
-    keep = np.zeros(len(b) + 1, np.int32)
-    np.add.at(keep, lo, 1)
-    np.add.at(keep, hi, -1)
-    at = np.flatnonzero(np.cumsum(keep[:-1]))
-    w = b.astype(U)
-    n = len(b) - ORDER
-    if n <= 0:
-        return np.zeros(0, U), np.zeros(t.n + 1, np.int64)
-    near = (((w[ORDER - 1 : ORDER - 1 + n] << U(8)) | w[ORDER - 2 : ORDER - 2 + n]) * U(SPREAD)) & U(0xFFFF)
-    key = near
-    for j in range(3, ORDER + 1):
-        key = (key << U(8)) | w[ORDER - j : ORDER - j + n]
-    key = ((key << U(8)) | w[ORDER:]) << U(64 - 8 * (ORDER + 1))
-    return key[at - ORDER], np.concatenate([[0], np.cumsum(hi - lo)])
-
-
-class Level:
-    """Restaurants of one context length: kinds of customers (restaurant, byte), their number and tables."""
-
-    def __init__(self, rest: np.ndarray, parent: np.ndarray, d: float, theta: float):
-        self.rest, self.parent, self.d, self.theta = rest, parent, d, theta
-        self.rests = int(rest[-1]) + 1 if len(rest) else 0
-        self.c = np.zeros(len(rest), np.int64)
-        self.kind, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    @property
-    def t(self) -> np.ndarray:
-        return np.bincount(self.kind, minlength=len(self.rest))
-
-    def totals(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rest, x, self.rests)
-
-    def chance(self, below: np.ndarray, t: np.ndarray | None = None) -> np.ndarray:
-        """Predictive probability of each kind; below: that of its parent."""
-        t = self.t if t is None else t
-        weight = (self.theta + self.d * self.totals(t))[self.rest]
-        return (self.c - self.d * t + weight * below) / (self.theta + self.totals(self.c))[self.rest]
-
-    def start(self, c: np.ndarray, below: np.ndarray, rng) -> None:
-        """Seats c customers of each kind anew."""
-        self.c = c.astype(np.int64)
-        a = (self.theta + self.d * self.totals(c > 0)[self.rest]) * below
-        t, n = (c > 0).astype(np.int64), (c > 0).astype(np.int64)
-        live = np.flatnonzero(c > n)
-        while len(live):
-            step = np.minimum(n[live], c[live] - n[live])
-            p = a[live] / (a[live] + n[live] + (step - 1) / 2 - self.d * t[live])
-            t[live] += rng.binomial(step, np.minimum(1.0, p))
-            n[live] += step
-            live = live[c[live] > n[live]]
-        self.kind = np.repeat(np.arange(len(c)), t)
-        g = rng.standard_exponential(len(self.kind))
-        total = np.bincount(self.kind, g, len(c))
-        self.size = 1 + np.floor((c - t)[self.kind] * g / total[self.kind]).astype(np.int64)
-        first = np.searchsorted(self.kind, np.flatnonzero(t))
-        self.size[first] += (c - np.bincount(self.kind, self.size, len(c)).astype(np.int64))[t > 0]
-
-    def _table(self, who: np.ndarray, rng, held: np.ndarray) -> np.ndarray:
-        """A table for each entry of who, chosen by its size; held: customers of each kind."""
-        ends = np.cumsum(self.size)
-        first = np.searchsorted(self.kind, who)
-        pick = ends[first] - self.size[first] + (rng.random(len(who)) * held[who]).astype(np.int64)
-        return np.searchsorted(ends, pick, "right")
-
-    def leave(self, who: np.ndarray, n: np.ndarray, rng) -> np.ndarray:
-        """n customers, chosen at random, of each of these distinct kinds leave; how many tables that closes."""
-        left, t = n.copy(), self.t
-        while (left > 0).any():
-            # Drawn together; what a table has not got is drawn again.
-            more = np.repeat(who, left)
-            drawn = np.bincount(self._table(more, rng, self.c), minlength=len(self.size))
-            gone = np.minimum(drawn, self.size)
-            self.size = self.size - gone
-            out = np.bincount(self.kind, gone, len(self.c)).astype(np.int64)[who]
-            self.c[who] -= out
-            left = left - out
-            keep = self.size > 0
-            self.kind, self.size = self.kind[keep], self.size[keep]
-        return t[who] - self.t[who]
-
-    def sit(self, who: np.ndarray, n: np.ndarray, below: np.ndarray, rng) -> np.ndarray:
-        """n customers of each of these distinct kinds sit down, given who sits already; how many tables that opens. below: chance of those kinds' parents."""
-        t = self.t
-        a = (self.theta + self.d * self.totals(t)[self.rest[who]]) * below
-        old = np.maximum(self.c[who] - self.d * t[who], 0.0)
-        opened = rng.binomial(n, a / (a + old))
-        opened = np.where(t[who] == 0, np.maximum(opened, 1), opened)
-        held, wait = self.c.copy(), np.repeat(who, n - opened)
-        if opened.any():
-            kind = np.concatenate([self.kind, np.repeat(who, opened)])
-            order = np.argsort(kind, kind="stable")
-            self.kind, self.size = kind[order], np.concatenate([self.size, np.ones(int(opened.sum()), np.int64)])[order]
-            held[who] += opened
-        ends, joined = np.cumsum(self.size), []
-        start = np.searchsorted(self.kind, wait)
-        start, room = ends[start] - self.size[start], held[wait]
-        while len(start):
-            # By size less discount: chosen by size, and taken with the chance that is left.
-            at = np.searchsorted(ends, start + (rng.random(len(start)) * room).astype(np.int64), "right")
-            taken = rng.random(len(start)) * self.size[at] < self.size[at] - self.d
-            joined.append(at[taken])
-            start, room = start[~taken], room[~taken]
-        if joined:
-            self.size = self.size + np.bincount(np.concatenate(joined), minlength=len(self.size))
-        self.c[who] += n
-        return opened
-
-
-class Tree:
-    """Levels from the deepest to `lowest`; the parents of the lowest have given probabilities."""
-
-    def __init__(self, contexts: list[np.ndarray], symbol: np.ndarray, lowest: int, rng):
-        """contexts: of each deepest kind, for every level from the deepest on, its restaurant's name."""
-        self.rng, self.levels = rng, []
-        key = [(c << U(8)) | symbol for c in contexts]
-        names, back = np.unique(key[0], return_inverse=True)
-        self.entry = back
-        first = np.unique(back, return_index=True)[1]
-        for k, level in enumerate(range(lowest + len(contexts) - 1, lowest - 1, -1)):
-            rest = np.cumsum(np.append(False, names[1:] >> U(8) != names[:-1] >> U(8))) if len(names) else np.zeros(0, np.int64)
-            if k + 1 < len(contexts):
-                below, parent = np.unique(key[k + 1][first], return_inverse=True)
-                nxt = first[np.unique(parent, return_index=True)[1]]
-            else:
-                below, parent, nxt = None, names, first
-            self.levels.append(Level(rest.astype(np.int64), parent, DISCOUNT[level], STRENGTH[level]))
-            names, first = below, nxt
-
-    def chances(self, base: np.ndarray, t: list | None = None) -> list[np.ndarray]:
-        """Of each level, deepest first; base: probabilities of the lowest level's parents."""
-        out, below = [], base
-        for k in range(len(self.levels) - 1, -1, -1):
-            lv = self.levels[k]
-            below = lv.chance(below if k == len(self.levels) - 1 else below[lv.parent], t[k] if t else None)
-            out.append(below)
-        return out[::-1]
-
-    def start(self, counts: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Seats all levels; number of tables of each of the lowest level's kinds."""
-        c = counts
-        for k, lv in enumerate(self.levels):  # one table a kind: a first guess of the probabilities
-            lv.c = c
-            c = np.bincount(lv.parent, c > 0).astype(np.int64) if k + 1 < len(self.levels) else None
-        guess = self.chances(base, [(lv.c > 0).astype(np.int64) for lv in self.levels])
-        c = counts
-        for k, lv in enumerate(self.levels):
-            last = k + 1 == len(self.levels)
-            lv.start(c, base if last else guess[k + 1][lv.parent], self.rng)
-            c = None if last else np.bincount(lv.parent, lv.t, len(self.levels[k + 1].rest)).astype(np.int64)
-        return self.levels[-1].t
-
-    def sweep(self, base: np.ndarray) -> None:
-        """One Gibbs sweep over all levels."""
-        for k, lv in enumerate(self.levels):
-            who = np.flatnonzero(lv.c > 1)  # a lone customer can only open its table again
-            if not len(who):
-                continue
-            below, n = self._below(k, base)[who], np.minimum(lv.c[who] - 1, MOVES)
-            change = -lv.leave(who, n, self.rng)
-            change += lv.sit(who, n, below, self.rng)
-            self._pass_on(k, who, change, base)
-
-    def _below(self, k: int, base: np.ndarray) -> np.ndarray:
-        return base if k + 1 == len(self.levels) else self.chances(base)[k + 1][self.levels[k].parent]
-
-    def _pass_on(self, k: int, who: np.ndarray, change: np.ndarray, base: np.ndarray) -> None:
-        """Tables that opened or closed are customers that come or go one level below."""
-        while k + 1 < len(self.levels) and change.any():
-            lv, nxt = self.levels[k], self.levels[k + 1]
-            net = np.bincount(lv.parent[who], change, len(nxt.rest)).astype(np.int64)
-            touched, tables = np.flatnonzero(net), nxt.t
-            go, come = touched[net[touched] < 0], touched[net[touched] > 0]
-            if len(go):
-                nxt.leave(go, -net[go], self.rng)
-            if len(come):
-                nxt.sit(come, net[come], self._below(k + 1, base)[come], self.rng)
-            change = (nxt.t - tables)[touched]
-            who, k = touched, k + 1
-
-
-ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("m", pa.binary()), ("n", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-ASK_DDL = "bucket long, block long, m binary, n binary, words binary, counts binary"
-
-
-def _held_out(docs: pa.Table) -> np.ndarray:
-    return kit.crc_mod(docs.column("doc_id").to_pylist(), 5) == 1
-
-
-def _words(t: kit.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token, the end of each text among them, and n + 1 bounds."""
-    h = t.hashes(kit.lower_ascii(t.buf))
-    bounds = t.first + np.arange(t.n + 1)
-    out = np.full(int(bounds[-1]), END_WORD, U)
-    inner = np.ones(len(out), bool)
-    inner[bounds[1:] - 1] = False
-    out[inner] = h
-    return out, bounds
-
-
-def _tally(values: np.ndarray, bounds: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, sorted, and how often each occurs in training texts."""
-    seen = np.sort(values[np.repeat(train, np.diff(bounds))])
-    new = np.append(True, seen[1:] != seen[:-1])[: len(seen)]
-    known, n = seen[new], np.diff(np.append(np.flatnonzero(new), len(seen)))
-    rest = np.setdiff1d(values[np.repeat(~train, np.diff(bounds))], known)
-    both = np.concatenate([known, rest])
-    order = np.argsort(both, kind="stable")
-    return both[order], np.concatenate([n, np.zeros(len(rest), np.int64)])[order].astype(np.uint32)
-
-
-def _ask(docs: pa.Table, buckets: int) -> pa.Table:
-    t = kit.Texts(docs.column("__text")).words()
-    train, block = ~_held_out(docs), docs.column("__block")[0].as_py()
-    m, n = _tally(*strings(t), train)
-    w, c = _tally(*_words(t), train)
-    a, b = dict(_by_bucket(m, buckets)), dict(_by_bucket(w, buckets))
-    none = slice(0, 0)
-    return _rows([(k, block, _delta(m[p]), kit.squeeze(n[p]), _delta(w[q]), kit.squeeze(c[q])) for k in sorted({*a, *b}) for p, q in [(a.get(k, none), b.get(k, none))]], ASK)
-
-
-TYPES = pa.schema([("bucket", pa.int64()), ("m", pa.binary()), ("n", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("known", pa.int64()), ("low", pa.list_(pa.int64()))])
-TYPES_DDL = "bucket long, m binary, n binary, words binary, counts binary, tokens long, known long, low array<long>"
-
-
-def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    values, back = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
-    return values, np.bincount(back, np.concatenate([n for _, n in parts]), len(values)).astype(np.int64)
-
-
-def _names(m: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Context names from the deepest to length 2, symbols, and the numbers (nearest byte << 8 | symbol) of the kinds of length 1."""
-    symbol = (m >> U(64 - 8 * (ORDER + 1))) & U(255)
-    near = ((m >> U(48)) * U(GATHER)) & U(0xFFFF)
-    return [m >> U(64 - 8 * k) for k in range(ORDER, 1, -1)], symbol, (near >> U(8)) << U(8) | symbol
-
-
-def _low(tree: Tree, m: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Pairs, flat: number of a kind of length 1, and the tables that its contexts of length 2 have for it."""
-    pair = _lowest(m)
-    values, back = np.unique(pair, return_inverse=True)
-    n = np.bincount(back, t, len(values)).astype(np.int64)
-    return np.stack([values.astype(np.int64), n], 1)[n > 0].ravel()
-
-
-def _lowest(m: np.ndarray) -> np.ndarray:
-    """Of each kind of length 2, in order, its parent's number."""
-    _, symbol, parent = _names(m)
-    _, first = np.unique((m >> U(48)) << U(8) | symbol, return_index=True)
-    return parent[first].astype(np.int64)
-
-
-def _merge(asked: pa.Table) -> pa.Table:
-    """What all blocks sent to a bucket; low: first customers of length 1, one for each context of length 2 that has them."""
-    parts = [[_undelta(asked[a][i].as_py()) if a in ("m", "words") else kit.unsqueeze(asked[a][i].as_py(), np.uint32) for a in ("m", "n", "words", "counts")] for i in range(asked.num_rows)]
-    m, n = _sum([(p[0], p[1]) for p in parts])
-    w, c = _sum([(p[2], p[3]) for p in parts])
-    _, symbol, _ = _names(m)
-    kinds, back = np.unique((m >> U(48)) << U(8) | symbol, return_inverse=True)
-    low = _low(None, m, np.bincount(back, n, len(kinds)) > 0) if len(m) else np.zeros(0, np.int64)
-    return _rows([(asked["bucket"][0].as_py(), _delta(m), kit.squeeze(n), _delta(w), kit.squeeze(c), int(c.sum()), int((c > 0).sum()), low.tolist())], TYPES)
-
-
-def _forest(m: np.ndarray, n: np.ndarray, base: np.ndarray, bucket: int, seed: int) -> tuple[Tree, np.ndarray]:
-    contexts, symbol, _ = _names(m)
-    tree = Tree(contexts, symbol, 2, np.random.default_rng([seed, bucket]))
-    counts = np.bincount(tree.entry, n, len(tree.levels[0].rest)).astype(np.int64)
-    low = base[_lowest(m)]
-    tree.start(counts, low)
-    for _ in range(BURN):
-        tree.sweep(low)
-    return tree, low
-
-
-def _burned(types: pa.RecordBatch, base: np.ndarray, seed: int) -> list:
-    out = []
-    for i in range(types.num_rows):
-        m, n = _undelta(types["m"][i].as_py()), kit.unsqueeze(types["n"][i].as_py(), np.int64)
-        if len(m):
-            tree, _ = _forest(m, n, base, types["bucket"][i].as_py(), seed)
-            out.append(_low(tree, m, tree.levels[-1].t).tolist())
+NONE = np.zeros(0, U)
+
+
+def uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """One number in (0, 1) for each key and draw."""
+    with np.errstate(over="ignore"):
+        x = kit.mix(key * U(0x9E3779B97F4A7C15) + U(draw) * U(0xC2B2AE3D27D4EB4F))
+    return ((x >> U(11)).astype(float) + 0.5) / (1 << 53)
+
+
+@lru_cache(maxsize=8)
+def stirling(d: float) -> np.ndarray:
+    """log of S(c, t + 1) / S(c, t) for c and t up to TOP; S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
+    t, row, out = np.arange(TOP + 2), np.full(TOP + 2, -np.inf), np.full((TOP + 1, TOP + 1), -np.inf)
+    row[1] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, TOP + 1):
+            if c > 1:
+                stay = np.where(t < c, np.log(np.maximum(c - 1 - d * t, 1e-300)) + row, -np.inf)
+                row = np.logaddexp(np.append(-np.inf, row[:-1]), stay)
+            out[c] = np.where(np.arange(TOP + 1) < c, row[1:] - row[:-1], -np.inf)
     return out
 
 
-def _model(types: pa.RecordBatch, bases: list[np.ndarray], seed: int) -> list:
-    """(bucket, strings, log10 of their averaged probabilities, words, counts)."""
-    out = []
-    for i in range(types.num_rows):
-        m, n = _undelta(types["m"][i].as_py()), kit.unsqueeze(types["n"][i].as_py(), np.int64)
-        p = np.zeros(len(m))
-        if len(m):
-            tree, low = _forest(m, n, bases[0], types["bucket"][i].as_py(), seed)
-            for base in bases[1:]:
-                low = base[_lowest(m)]
-                tree.sweep(low)
-                p += tree.chances(low)[0][tree.entry]
-        out.append((types["bucket"][i].as_py(), types["m"][i].as_py(), np.log10(p / max(1, len(bases) - 1), where=p > 0, out=np.zeros(len(m))).tobytes(), types["words"][i].as_py(), types["counts"][i].as_py()))
+def step(c: np.ndarray, t: int, d: float) -> np.ndarray:
+    """log of S(c, t + 1) / S(c, t), t below c."""
+    table = stirling(d)
+    out = table[np.minimum(c, TOP), min(t, TOP)]
+    large = np.flatnonzero(c > TOP)
+    if len(large):
+        x = t * (TOP / c[large]) ** d
+        low = np.clip(x.astype(np.int64), 1, TOP - 2)
+        part = np.clip(x - low, 0.0, 1.0)
+        law = (table[TOP, low] + np.log(low)) * (1 - part) + (table[TOP, low + 1] + np.log(low + 1)) * part
+        out[large] = law - np.log(t)
     return out
 
 
-def roots(low: np.ndarray, seed: int, sweeps: int) -> list[np.ndarray]:
-    """Samples of the probabilities of all 65,536 kinds of length 1, from their customers (65,536 counts)."""
-    rng = np.random.default_rng([seed, 1 << 32])
-    number = np.arange(1 << 16, dtype=U)
-    tree = Tree([number >> U(8), np.zeros(1 << 16, U)], number & U(255), 0, rng)
-    base = np.full(256, 1 / 256)
-    tree.start(low, base)
-    out = []
-    for _ in range(sweeps):
-        tree.sweep(base)
-        out.append(tree.chances(base)[0][tree.entry])
+def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, below: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """New numbers of tables of all kinds: c customers, now at t tables of the restaurant's total; below: chance of the kind's parent.
+
+    The number with the greatest log weight plus Gumbel noise is a draw from the weights; each is looked at until they have fallen by 30 from their peak.
+    """
+    out = np.minimum(c, 1)
+    live = np.flatnonzero(c > 1)
+    c, key, below, rest = c[live], key[live], below[live], theta + d * (total[live] - t[live])
+    weight = np.zeros(len(live))
+    peak, best, n = weight.copy(), -np.log(-np.log(uniform(key, sweep << 32 | 1))), 1
+    while len(live):
+        weight = weight + np.log(np.maximum((rest + d * n) * below, 1e-300)) + step(c, n, d)
+        n += 1
+        found = weight - np.log(-np.log(uniform(key, sweep << 32 | n)))
+        out[live[found > best]] = n
+        best, peak = np.maximum(best, found), np.maximum(peak, weight)
+        go = (weight > peak - 30) & (c > n)
+        live, c, key, below, rest, weight, peak, best = (v[go] for v in (live, c, key, below, rest, weight, peak, best))
     return out
 
 
-REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("p", pa.binary()), ("c", pa.binary())])
-REPLY_DDL = "block long, bucket long, p binary, c binary"
+def chance(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, below: np.ndarray, d: float, theta: float) -> np.ndarray:
+    """Predictive probability of a kind."""
+    return (c - d * t + (theta + d * tables) * below) / (theta + customers)
 
 
-def _reply(asked: pa.Table, model: pa.Table) -> pa.Table:
-    if not asked.num_rows:
-        return REPLY.empty_table()
-    m, p = _undelta(model["m"][0].as_py()), np.frombuffer(model["p"][0].as_py(), np.float64)
-    w, c = _undelta(model["words"][0].as_py()), kit.unsqueeze(model["counts"][0].as_py(), np.int64)
-    bucket, rows = asked["bucket"][0].as_py(), []
-    for i in range(asked.num_rows):
-        a, b = _undelta(asked["m"][i].as_py()), _undelta(asked["words"][i].as_py())
-        rows.append((asked["block"][i].as_py(), bucket, kit.squeeze(p[np.searchsorted(m, a)].astype(np.float32)), kit.squeeze(c[np.searchsorted(w, b)])))
-    return _rows(rows, REPLY)
+class Spelling:
+    """log probability of words, from how often two bytes and a third follow one another in the distinct words of the training texts.
 
+    The bytes before a word and after it are spaces.  kinds: (two bytes, byte), sorted; n: their counts.
+    """
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
-RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    def __init__(self, kinds: np.ndarray, n: np.ndarray, seed: int):
+        low = np.arange(1 << 16, dtype=np.int64)
+        near, c2 = (kinds & 0xFFFF).astype(np.int64), n.astype(np.int64)
+        rest, t2, t1 = (kinds >> 8).astype(np.int64), np.minimum(n, 1).astype(np.int64), None
+        self.kinds, self.own, self.back, self.low = kinds, np.zeros(len(kinds)), np.zeros(1 << 16), np.zeros(1 << 16)
+        for sweep in range(BURN + SAMPLES):
+            c1 = np.bincount(near, t2, 1 << 16).astype(np.int64)
+            t1 = np.minimum(c1, 1) if t1 is None else t1
+            c0 = np.bincount(low & 255, t1, 256).astype(np.int64)
+            t0 = np.minimum(c0, 1) if sweep == 0 else seat(c0, t0, np.full(256, t0.sum()), np.full(256, 1 / 256), *SPELL[0], low[:256].astype(U), 3 * (seed + sweep))
+            p0 = chance(c0, t0, c0.sum(), t0.sum(), 1 / 256, *SPELL[0])
+            tables1 = np.bincount(low >> 8, t1, 256)[low >> 8]
+            t1 = seat(c1, np.minimum(t1, c1), tables1, p0[low & 255], *SPELL[1], low.astype(U) + U(1 << 20), 3 * (seed + sweep) + 1)
+            p1 = chance(c1, t1, np.bincount(low >> 8, c1, 256)[low >> 8], np.bincount(low >> 8, t1, 256)[low >> 8], p0[low & 255], *SPELL[1])
+            t2 = seat(c2, t2, np.bincount(rest, t2, 1 << 16)[rest], p1[near], *SPELL[2], kinds.astype(U) + U(1 << 30), 3 * (seed + sweep) + 2)
+            if sweep >= BURN:
+                d, theta = SPELL[2]
+                customers = theta + np.bincount(rest, c2, 1 << 16)
+                self.own += (c2 - d * t2) / customers[rest] / SAMPLES
+                self.back += (theta + d * np.bincount(rest, t2, 1 << 16)) / customers / SAMPLES
+                self.low += p1 / SAMPLES
+
+    def log10(self, kinds: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.kinds, kinds), max(0, len(self.kinds) - 1))
+        own = np.where(self.kinds[at] == kinds, self.own[at], 0.0) if len(self.kinds) else np.zeros(len(kinds))
+        return np.log10(own + self.back[kinds >> 8] * self.low[kinds & 0xFFFF])
+
+
+def letters(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds (two bytes before, byte) of all bytes of words and the space that ends each, and the words' bounds."""
+    ends = np.cumsum(sizes + 3)
+    text = np.full(int(ends[-1]) if len(sizes) else 0, SPACE, np.int64)
+    inner = np.repeat(ends - sizes - 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(data))
+    text[inner] = data
+    own = np.ones(len(text), bool)
+    own[ends - sizes - 3] = own[ends - sizes - 2] = False
+    at = np.flatnonzero(own)
+    return text[at - 2] << 16 | text[at - 1] << 8 | text[at], np.concatenate([[0], np.cumsum(sizes + 1)])
+
+
+# ---- texts
+
+
+class Tokens:
+    """Of a block's texts: words and pairs, and the distinct ones, sorted, with the place of each token's."""
+
+    def __init__(self, docs: pa.Table, hot: np.ndarray):
+        self.t = t = kit.Texts(docs.column("__text")).words()
+        self.low = kit.lower_ascii(t.buf)
+        h = t.hashes(self.low)
+        self.bounds = t.first + np.arange(t.n + 1)
+        self.inner = np.ones(int(self.bounds[-1]), bool)
+        self.inner[self.bounds[1:] - 1] = False
+        self.w = np.full(len(self.inner), END_WORD, U)
+        self.w[self.inner] = h
+        before = np.append(END_WORD, self.w[:-1])[: len(self.w)]
+        before[self.bounds[:-1]] = END_WORD
+        at = np.minimum(np.searchsorted(hot, before), max(0, len(hot) - 1))
+        self.hot = hot[at] == before if len(hot) else np.zeros(len(before), bool)
+        second = self.w >> U(30)
+        self.hot_at = at
+        self.key = np.where(self.hot, second << U(30) | at.astype(U), (before >> U(34)) << U(34) | second)
+
+    def lists(self):
+        """(distinct, place of each) of the plain pairs, the hot ones, and the words."""
+        return [np.unique(x, return_inverse=True) for x in (self.key[~self.hot], self.key[self.hot], self.w)]
+
+
+ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("m", "n", "hm", "hn", "w", "c", "sizes", "data"))])
+ASK_DDL = "bucket long, block long, m binary, n binary, hm binary, hn binary, w binary, c binary, sizes binary, data binary"
+_z = kit.squeeze
+
+
+def _slices(lists: list, buckets: int):
+    """(bucket, slices of the three lists)."""
+    cut = [dict(_by_bucket(x, buckets)) for x in lists]
+    for b in sorted({k for c in cut for k in c}):
+        yield b, [c.get(b, slice(0, 0)) for c in cut]
+
+
+def _ask(docs: pa.Table, hot: np.ndarray, buckets: int) -> pa.Table:
+    x, block = Tokens(docs, hot), docs.column("__block")[0].as_py()
+    train = np.repeat(~docs.column("__held").to_numpy(), np.diff(x.bounds))
+    (m, mi), (hm, hi), (w, wi) = x.lists()
+    n, hn, c = (np.bincount(i, k, len(v)).astype(np.uint32) for v, i, k in ((m, mi, train[~x.hot]), (hm, hi, train[x.hot]), (w, wi, train)))
+    # Where each distinct word is first spelt.
+    first, order = np.full(len(w), -1), np.flatnonzero(x.inner)
+    first[wi[order][::-1]] = np.arange(len(order))[::-1]
+    lo = np.where(first < 0, 0, x.t.ws[np.maximum(first, 0)] if len(order) else 0)
+    sizes = np.where(first < 0, 0, (x.t.we[np.maximum(first, 0)] if len(order) else 0) - lo)
+    rows = []
+    for b, (p, h, q) in _slices([m, hm, w], buckets):
+        s = sizes[q]
+        at = np.repeat(lo[q] - (np.cumsum(s) - s), s) + np.arange(s.sum())
+        rows.append((b, block, _delta(m[p]), _z(n[p]), _delta(hm[h]), _z(hn[h]), _delta(w[q]), _z(c[q]), _z(s.astype(np.uint32)), _z(x.low[at], 3)))
+    return _rows(rows, ASK)
+
+
+# ---- buckets
+
+TYPES = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("m", "n", "hm", "hn", "w", "c", "sizes", "data")), ("blocks", pa.list_(pa.int64())), *((c, pa.list_(pa.binary())) for c in ("pm", "ph", "pw")), *((c, pa.int64()) for c in ("tokens", "known", "kinds")), ("frequent", pa.list_(pa.int64()))])
+TYPES_DDL = "bucket long, m binary, n binary, hm binary, hn binary, w binary, c binary, sizes binary, data binary, blocks array<long>, pm array<binary>, ph array<binary>, pw array<binary>, tokens long, known long, kinds long, frequent array<long>"
+
+
+def _sum(parts: list, counts: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Distinct values, their summed counts, and of each part its places among them, packed."""
+    values, back = np.unique(np.concatenate(parts), return_inverse=True)
+    edges = np.cumsum([0, *map(len, parts)])
+    places = [_z(np.diff(back[a:b], prepend=0).astype(np.uint32)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return values, np.bincount(back, np.concatenate(counts), len(values)).astype(np.int64), places
 
 
-def _score(docs: pa.Table, told: pa.Table, tokens: int, known: int, buckets: int) -> pa.Table:
-    if not docs.num_rows:
-        return RESULT.empty_table()
-    t = kit.Texts(docs.column("__text")).words()
-    got = {told["bucket"][i].as_py(): i for i in range(told.num_rows)}
-
-    def looked_up(values, column, dtype):
-        order = np.argsort(values)
-        ranked = values[order]
-        new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
-        distinct = ranked[new]
-        found = np.zeros(len(distinct), np.float64)
-        for b, q in _by_bucket(distinct, buckets):
-            found[q] = kit.unsqueeze(told[column][got[b]].as_py(), dtype)
-        out = np.empty(len(values))
-        out[order] = found[np.cumsum(new) - 1]
+def _merge(asked: pa.Table) -> pa.Table:
+    """What all blocks sent to a bucket; frequent: (place in the list of frequent words, distinct second words, occurrences), flat."""
+    get = lambda c, f: [f(x.as_py()) for x in asked[c]]
+    counts = lambda b: kit.unsqueeze(b, np.uint32)
+    m, n, pm = _sum(get("m", _undelta), get("n", counts))
+    hm, hn, ph = _sum(get("hm", _undelta), get("hn", counts))
+    words, sizes, data = get("w", _undelta), get("sizes", counts), get("data", lambda b: kit.unsqueeze(b, np.uint8))
+    w, c, pw = _sum(words, get("c", counts))
+    # Spelling: from any block that sent the word.
+    every, size = np.concatenate(words), np.concatenate(sizes).astype(np.int64)
+    start = np.cumsum(size) - size
+    _, first = np.unique(every, return_index=True)
+    size = size[first]
+    at = np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    who, seen = (hm & U((1 << 30) - 1)).astype(np.int64), hn > 0
+    ids = np.unique(who[seen])
+    frequent = np.stack([ids, np.bincount(who[seen], minlength=1)[ids], np.bincount(who, hn, len(np.bincount(who, minlength=1)))[ids].astype(np.int64)], 1) if len(ids) else np.zeros((0, 3), np.int64)
+    row = (asked["bucket"][0].as_py(), _delta(m), _z(n), _delta(hm), _z(hn), _delta(w), _z(c), _z(size.astype(np.uint32)), _z(np.concatenate(data)[at], 3))
+    return _rows([(*row, asked["block"].to_pylist(), pm, ph, pw, int(c.sum()), int((c > 0).sum()), int((n > 0).sum() + seen.sum()), frequent.ravel().tolist())], TYPES)
+
+
+class Pairs:
+    """Kinds of a bucket: plain ones, whose restaurants are whole, then those of frequent words."""
+
+    def __init__(self, row: dict):
+        m, hm = _undelta(row["m"]), _undelta(row["hm"])
+        self.plain, self.key = len(m), np.concatenate([m, hm | U(1 << 63)])
+        self.n = np.concatenate([kit.unsqueeze(row["n"], np.int64), kit.unsqueeze(row["hn"], np.int64)])
+        self.second = np.concatenate([m & U((1 << 34) - 1), hm >> U(30)])
+        new = np.append(True, m[1:] >> U(34) != m[:-1] >> U(34))[: len(m)]
+        self.own = int(new.sum())
+        self.rest = np.concatenate([np.cumsum(new) - 1, self.own + (hm & U((1 << 30) - 1)).astype(np.int64)])
+
+    def message(self, t: np.ndarray, buckets: int, need: bool):
+        """(bucket of words, second words, their tables, which of them need their probability)."""
+        at = np.flatnonzero(self.n)
+        second, back = np.unique(self.second[at], return_inverse=True)
+        tables = np.bincount(back, t[at], len(second)).astype(np.uint32)
+        wanted = np.bincount(back, self.n[at] > 1, len(second)) > 0
+        for b, q in _by_bucket(second << U(30), buckets):
+            yield b, _delta(second[q]), _z(tables[q]), _z(np.packbits(wanted[q])) if need else None
+
+    def below(self, told: list, buckets: int) -> np.ndarray:
+        """Of each kind with several customers the probability of its second word; told: (bucket of words, probabilities)."""
+        many = self.n > 1
+        second, got = np.unique(self.second[many]), dict(told)
+        p = np.ones(len(second))
+        for b, q in _by_bucket(second << U(30), buckets):
+            p[q] = kit.unsqueeze(got[b], np.float32)
+        out = np.ones(len(self.n))
+        out[many] = p[np.searchsorted(second, self.second[many])]
         return out
 
-    (m, edges), (w, bounds) = strings(t), _words(t)
-    score = kit.per_text(edges, looked_up(m, "p", np.float32))
-    c = looked_up(w, "c", np.int64)
-    base = kit.per_text(bounds, np.log10((c + 0.5) / (tokens + 0.5 * (known + 1))))
-    n = np.diff(bounds)
-    cols = [docs.column("doc_id"), pa.array(_held_out(docs)), pa.array(n), pa.array(kit.per_text(bounds, c > 0).astype(np.int64)), pa.array(np.full(t.n, tokens)), pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(300, -score / n))]
-    return pa.table(cols, schema=RESULT)
-
+    def sample(self, below: np.ndarray, frequent: np.ndarray, seed: int):
+        """Runs the sweeps; (averaged customers less discounts, customers and averaged tables of each restaurant, last tables).
+
+        frequent: tables of the restaurants of frequent words in all buckets, at the start.
+        """
+        d, theta = PAIR
+        size = self.own + len(frequent)
+        customers, t = np.bincount(self.rest, self.n, size), np.minimum(self.n, 1)
+        tables = start = np.bincount(self.rest, t, size)
+        others = np.concatenate([np.zeros(self.own), frequent]) - np.where(np.arange(size) < self.own, 0, start)
+        own, total = np.zeros(len(t)), np.zeros(size)
+        for sweep in range(BURN + SAMPLES):
+            t = seat(self.n, t, (others + tables)[self.rest], below, d, theta, self.key, (seed << 8) + sweep)
+            tables = np.bincount(self.rest, t, size)
+            if sweep >= BURN:
+                own += (self.n - d * t) / SAMPLES
+                total += tables / SAMPLES
+        return own, customers, total, t
+
+
+class Words:
+    """Words of a bucket and the customers that pairs send them."""
+
+    def __init__(self, row: dict, spelling: Spelling, told: pa.Table):
+        self.h, self.c = _undelta(row["w"]), kit.unsqueeze(row["c"], np.int64)
+        kinds, bounds = letters(kit.unsqueeze(row["sizes"], np.uint32).astype(np.int64), kit.unsqueeze(row["data"], np.uint8))
+        self.base = np.zeros(len(self.h))
+        for i in range(0, len(self.h), 1 << 16):
+            some = bounds[i : i + (1 << 16) + 1]
+            self.base[i : i + len(some) - 1] = kit.per_text(some - some[0], spelling.log10(kinds[some[0] : some[-1]]))
+        self.second, self.customers = self.h >> U(30), np.zeros(len(self.h), np.int64)
+        self.asked = []
+        for i in range(told.num_rows):
+            at = np.searchsorted(self.second, _undelta(told["w"][i].as_py()))
+            np.add.at(self.customers, at, kit.unsqueeze(told["t"][i].as_py(), np.uint32).astype(np.int64))
+            self.asked.append((told["sender"][i].as_py(), at, told["need"][i].as_py()))
+
+    def tables(self, start: int, sweeps: int, seed: int):
+        """Numbers of tables after each sweep; start: tables of all words."""
+        t, total, g = np.minimum(self.customers, 1), np.full(len(self.h), start), 10.0 ** np.maximum(self.base, -290)
+        for sweep in range(sweeps):
+            t = seat(self.customers, t, total, g, *WORD, self.h, (seed << 8) + sweep)
+            yield t
+
+
+NOTE = pa.schema([("target", pa.int64()), ("step", pa.int64()), ("sender", pa.int64()), *((c, pa.binary()) for c in ("w", "t", "need", "a")), ("totals", pa.list_(pa.float64()))])
+NOTE_DDL = "target long, step long, sender long, w binary, t binary, need binary, a binary, totals array<double>"
+FOR_BLOCK, FOR_WORDS, TOTALS = 1, 2, 3
+
+
+def _requests(types: pa.RecordBatch, buckets: int):
+    """What pairs tell the buckets of words: each kind is one customer, and some must know the word's probability."""
+    for row in types.to_pylist():
+        pairs = Pairs(row)
+        yield [(b, FOR_WORDS, row["bucket"], w, t, need, None, None) for b, w, t, need in pairs.message(np.minimum(pairs.n, 1), buckets, True)]
+
+
+def _first(words: pa.Table, asked: pa.Table, spelling: Spelling, kinds: int, known: int, seed: int) -> pa.Table:
+    """Probabilities of words, from one customer for each kind of pair."""
+    if not words.num_rows or not asked.num_rows:
+        return NOTE.empty_table()
+    row = words.to_pylist()[0]
+    x = Words(row, spelling, asked)
+    *_, t = x.tables(known, BURN, seed)
+    d, theta = WORD
+    p = chance(x.customers, t, kinds, known, 10.0 ** np.maximum(x.base, -290), d, theta)
+    out = []
+    for sender, at, need in x.asked:
+        wanted = np.unpackbits(kit.unsqueeze(need, np.uint8), count=len(at)).astype(bool)
+        out.append((sender, FOR_WORDS, row["bucket"], None, None, None, _z(p[at[wanted]].astype(np.float32)), None))
+    return _rows(out, NOTE)
+
+
+def _sampled(types: pa.Table, told: pa.Table, frequent: np.ndarray, buckets: int, seed: int) -> pa.Table:
+    """Runs the sweeps of a bucket's pairs; answers to the blocks, last tables to the buckets of words, totals of frequent words."""
+    if not types.num_rows:
+        return NOTE.empty_table()
+    row = types.to_pylist()[0]
+    pairs = Pairs(row)
+    below = pairs.below([(told["sender"][i].as_py(), told["a"][i].as_py()) for i in range(told.num_rows)], buckets)
+    own, customers, total, t = pairs.sample(below, frequent, seed)
+    out = [(b, FOR_WORDS, row["bucket"], w, n, None, None, None) for b, w, n, _ in pairs.message(t, buckets, False)]
+    for block, pm, ph in zip(row["blocks"], row["pm"], row["ph"]):
+        at, hot = (np.cumsum(kit.unsqueeze(x, np.uint32), dtype=np.int64) for x in (pm, ph))
+        rest = pairs.rest[at]
+        rest = rest[np.append(True, rest[1:] != rest[:-1])[: len(rest)]]
+        out.append((block, FOR_BLOCK, row["bucket"], _z(customers[rest].astype(np.uint64)), _z(total[rest].astype(np.float32)), _z(own[pairs.plain + hot].astype(np.float32)), _z(own[at].astype(np.float32)), None))
+    held = np.flatnonzero(customers[pairs.own :])
+    if len(held):
+        out.append((-1, TOTALS, row["bucket"], None, None, None, None, np.stack([held, customers[pairs.own + held], total[pairs.own + held]], 1).ravel().tolist()))
+    return _rows(out, NOTE)
+
+
+SEATED = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("base", "customers", "c")), ("t", pa.list_(pa.binary())), ("tables", pa.list_(pa.int64())), ("total", pa.int64()), ("blocks", pa.list_(pa.int64())), ("pw", pa.list_(pa.binary()))])
+SEATED_DDL = "bucket long, base binary, customers binary, c binary, t array<binary>, tables array<long>, total long, blocks array<long>, pw array<binary>"
+
+
+def _seated(words: pa.Table, told: pa.Table, spelling: Spelling, known: int, seed: int) -> pa.Table:
+    """Samples of the words' tables, given the last tables of the pairs."""
+    if not words.num_rows:
+        return SEATED.empty_table()
+    row = words.to_pylist()[0]
+    x = Words(row, spelling, told)
+    t = [*x.tables(known, BURN + SAMPLES, seed)][BURN:]
+    return _rows([(row["bucket"], x.base.tobytes(), _z(x.customers), row["c"], [_z(v.astype(np.uint32)) for v in t], [int(v.sum()) for v in t], int(x.customers.sum()), row["blocks"], row["pw"])], SEATED)
+
+
+def _words_told(seated: pa.RecordBatch, customers: int, tables: list):
+    """To each block, log10 of the averaged probability and the count of each of its words."""
+    d, theta = WORD
+    for row in seated.to_pylist():
+        base, own, c = np.frombuffer(row["base"], np.float64), kit.unsqueeze(row["customers"], np.int64), kit.unsqueeze(row["c"], np.int64)
+        less = sum(own - d * kit.unsqueeze(t, np.uint32) for t in row["t"]) / SAMPLES / (theta + customers)
+        back = np.log10((theta + d * sum(tables) / SAMPLES) / (theta + customers)) + base
+        p = np.where(less > 0, np.log10(np.maximum(less, 1e-300) + 10.0 ** np.maximum(back, -290)), back).astype(np.float32)
+        out = []
+        for block, pw in zip(row["blocks"], row["pw"]):
+            at = np.cumsum(kit.unsqueeze(pw, np.uint32), dtype=np.int64)
+            out.append((block, FOR_WORDS, row["bucket"], None, _z(c[at]), None, _z(p[at]), None))
+        yield out
+
+
+def _score(docs: pa.Table, told: pa.Table, hot: np.ndarray, frequent: np.ndarray, tokens: int, known: int, buckets: int, schema: pa.Schema) -> pa.Table:
+    """frequent: customers and tables of the restaurants of frequent words."""
+    if not docs.num_rows:
+        return schema.empty_table()
+    x = Tokens(docs, hot)
+    (m, mi), (hm, hi), (w, wi) = x.lists()
+    got = {(told["step"][i].as_py(), told["sender"][i].as_py()): i for i in range(told.num_rows)}
+    own, own_hot, c, p = np.zeros(len(m)), np.zeros(len(hm)), np.zeros(len(w), np.int64), np.zeros(len(w))
+    first = np.append(True, m[1:] >> U(34) != m[:-1] >> U(34))[: len(m)]
+    rest = np.cumsum(first) - 1
+    customers, tables = np.zeros(int(first.sum())), np.zeros(int(first.sum()))
+    for b, (q, h, v) in _slices([m, hm, w], buckets):
+        get = lambda step, column, kind: kit.unsqueeze(told[column][got[step, b]].as_py(), kind)  # noqa: B023, E731
+        if q.stop > q.start or h.stop > h.start:
+            own[q], own_hot[h] = get(FOR_BLOCK, "a", np.float32), get(FOR_BLOCK, "need", np.float32)
+            if q.stop > q.start:
+                r = slice(rest[q.start], rest[q.stop - 1] + 1)
+                customers[r], tables[r] = get(FOR_BLOCK, "w", np.uint64), get(FOR_BLOCK, "t", np.float32)
+        if v.stop > v.start:
+            c[v], p[v] = get(FOR_WORDS, "t", np.int64), get(FOR_WORDS, "a", np.float32)
+    d, theta = PAIR
+    n, k, less = np.empty(len(x.w)), np.empty(len(x.w)), np.empty(len(x.w))
+    n[~x.hot], k[~x.hot], less[~x.hot] = customers[rest][mi], tables[rest][mi], own[mi]
+    if len(hm):
+        n[x.hot], k[x.hot], less[x.hot] = frequent[0][x.hot_at[x.hot]], frequent[1][x.hot_at[x.hot]], own_hot[hi]
+    back = np.log10((theta + d * k) / (theta + n)) + p[wi]
+    less = less / (theta + n)
+    log = np.where(less > 0, np.log10(np.maximum(less, 1e-300) + 10.0 ** np.maximum(back, -290)), back)
+    size, of = np.diff(x.bounds), c[wi]
+    score = kit.per_text(x.bounds, log)
+    base = kit.per_text(x.bounds, np.log10((of + 0.5) / (tokens + 0.5 * (known + 1))))
+    cols = [docs.column("doc_id"), docs.column("__held"), pa.array(size), pa.array(kit.per_text(x.bounds, of > 0).astype(np.int64)), pa.array(np.full(len(size), tokens)), pa.array(base), pa.array(score), pa.array(10.0 ** np.minimum(300, -score / size))]
+    return pa.table(cols, schema=schema)
+
+
+def _frequent(rows: DataFrame, threshold: int) -> np.ndarray:
+    """Hashes of the words with at least so many occurrences, and at least a 4,096th of all: sorted, 4,096 at most.
+
+    A word counts in a piece of text (2 MB) where it makes up 2**-14 of the tokens or more.
+    """
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part in kit.slices(batch, "__text"):
+                t = kit.Texts(part.column(0)).words()
+                h, n = np.unique(t.hashes(kit.lower_ascii(t.buf)), return_counts=True)
+                h, n = np.append(h, END_WORD), np.append(n, t.n)
+                some = n >= n.sum() >> 14
+                h, n = np.append(h[some], U(0)), np.append(n[some], n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = rows.select("__text").mapInArrow(kit.trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= threshold)
+    total = counts.where("h = 0").first()
+    if total is None:
+        return NONE
+    return np.sort(np.array([r.h for r in counts.where(f"h <> 0 and n * 4096 >= {total.n}").collect()], np.int64).view(U))
+
+
+def _each(batches, f, schema):
+    """f of each batch gives lists of rows; a record batch for each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for rows in f(batch.slice(i, 1)):
+                yield from _rows(rows, schema).to_batches()
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 0, hot_from: int = HOT) -> DataFrame:
     """Scores every row; learns from those that are not held out (crc32 of the id as text, modulo 5, is 1).
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability), perplexity (per token).
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("__text"))
-    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    blocks = int(total // BLOCK_BYTES) + 1
-    buckets = min(blocks, 1 << 16)
-    by_block = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(blocks))).groupBy("__block")
-    asked = kit.stored(by_block.applyInArrow(kit.one(lambda t: _ask(t, buckets)), ASK_DDL))
-    types = kit.stored(asked.groupBy("bucket").applyInArrow(kit.one(_merge), TYPES_DDL))
-    tokens, known = types.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-
-    def sums(pairs: DataFrame) -> np.ndarray:
-        """Customers of length 1: at most 65,536 rows come to the driver."""
-        flat = pairs.select(F.explode(F.transform(F.sequence(F.lit(0), (F.size("low") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("low", 2 * i + 1).alias("kind"), F.element_at("low", 2 * i + 2).alias("n")))).alias("x"))
-        out = np.zeros(1 << 16, np.int64)
-        for r in flat.groupBy("x.kind").agg(F.sum("x.n").alias("n")).collect():
-            out[r.kind] = r.n
+    dealt = kit.Dealt(docs, text, key)
+    hot, buckets = _frequent(dealt.rows, hot_from), dealt.buckets
+    dealt.rows = dealt.rows.withColumn("__held", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1)
+    asked = dealt.by_block().applyInArrow(kit.one(lambda t: _ask(t, hot, buckets)), ASK_DDL)
+    types = kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(_merge), TYPES_DDL))
+    kit.forget(spark)
+    sums = types.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "kinds"))).first()
+    tokens, known, kinds = map(int, sums)
+
+    def totals(rows: DataFrame, column: str) -> np.ndarray:
+        """Sums of (place, x, y) over the buckets; a row for each frequent word."""
+        of = lambda i: F.element_at(column, (3 * F.col("i") + i).cast("int"))
+        flat = rows.where(F.size(column) > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.size(column) / 3) - 1)))
+        out = np.zeros((2, len(hot)))
+        for r in flat.groupBy(of(1).cast("int").alias("k")).agg(F.sum(of(2)).alias("x"), F.sum(of(3)).alias("y")).collect():
+            out[:, r.k] = r.x, r.y
         return out
 
-    first = spark.sparkContext.broadcast(roots(sums(types.where("size(low) > 0")), seed, BURN)[-1])
-
-    def burn(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_burned(batch, first.value, seed), pa.list_(pa.int64()))], names=["low"])
-
-    low = sums(types.select("bucket", "m", "n").mapInArrow(kit.trimmed(burn), "low array<long>").where("size(low) > 0"))
-    bases = spark.sparkContext.broadcast([first.value, *roots(low, seed + 1, BURN + SAMPLES)[BURN:]])
+    frequent = totals(types, "frequent")[0] if len(hot) else np.zeros(0)
 
-    def sample(batches):
+    def spelt(batches):
         for batch in batches:
-            got = _model(batch, bases.value, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate((pa.int64(), *[pa.binary()] * 4))], names=["bucket", "m", "p", "words", "counts"])
-
-    model = kit.stored(types.select("bucket", "m", "n", "words", "counts").mapInArrow(kit.trimmed(sample), "bucket long, m binary, p binary, words binary, counts binary"))
-    told = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(kit.two(_reply), REPLY_DDL)
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _score(a, b, tokens, known, buckets)), RESULT_DDL)
+            for row in batch.to_pylist():
+                size, c = kit.unsqueeze(row["sizes"], np.uint32).astype(np.int64), kit.unsqueeze(row["c"], np.int64)
+                k, bounds = letters(size, kit.unsqueeze(row["data"], np.uint8))
+                k, n = np.unique(k[np.repeat(c > 0, np.diff(bounds))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["kind", "n"])
+
+    # 256**3 kinds at most come to the driver.
+    spelt_ = types.select("c", "sizes", "data").mapInArrow(kit.trimmed(spelt), "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
+    k, n = spelt_["kind"].to_numpy(), spelt_["n"].to_numpy()
+    order = np.argsort(k)
+    spelling = spark.sparkContext.broadcast(Spelling(k[order], n[order], seed))
+
+    words = types.select("bucket", "w", "c", "sizes", "data")
+    asks = types.select("bucket", "m", "n", "hm", "hn").mapInArrow(kit.trimmed(lambda b: _each(b, lambda x: _requests(x, buckets), NOTE)), NOTE_DDL)
+    told = words.groupBy("bucket").cogroup(dealt.by(asks, "target")).applyInArrow(kit.two(lambda a, b: _first(a, b, spelling.value, kinds, known, seed + 1)), NOTE_DDL)
+    pairs = types.select("bucket", "m", "n", "hm", "hn", "blocks", "pm", "ph")
+    run = kit.stored(pairs.groupBy("bucket").cogroup(dealt.by(told, "target")).applyInArrow(kit.two(lambda a, b: _sampled(a, b, frequent, buckets, seed + 2)), NOTE_DDL))
+    kit.forget(spark)
+    whole = totals(run.where(F.col("step") == TOTALS), "totals") if len(hot) else np.zeros((2, 0))
+    words = types.select("bucket", "w", "c", "sizes", "data", "blocks", "pw")
+    seated = words.groupBy("bucket").cogroup(dealt.by(run.where(F.col("step") == FOR_WORDS), "target")).applyInArrow(kit.two(lambda a, b: _seated(a, b, spelling.value, known, seed + 3)), SEATED_DDL)
+    seated = kit.stored(seated)
+    at = seated.select(F.posexplode("tables").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    tables = [int(r.x) for r in sorted(at, key=lambda r: r.i)] or [0] * SAMPLES
+    customers = int(seated.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+    told2 = seated.mapInArrow(kit.trimmed(lambda b: _each(b, lambda x: _words_told(x, customers, tables), NOTE)), NOTE_DDL)
+    notes = run.where(F.col("step") == FOR_BLOCK).unionByName(told2)
+    schema = pa.schema([("doc_id", dealt.arrow), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), *((c, pa.float64()) for c in ("base_score", "score", "perplexity"))])
+    ddl = f"doc_id {dealt.ddl}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return dealt.by_block().cogroup(notes.groupBy("target")).applyInArrow(kit.two(lambda a, b: _score(a, b, hot, whole, tokens, known, buckets, schema)), ddl)
