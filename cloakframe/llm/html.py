@@ -10,15 +10,20 @@ script, style, template, fallback content of media, attributes `hidden`, inline
 display:none, visibility:hidden (which a descendant may lift), closed dialogs,
 and closed details but for their summary.
 
-Defined cases: null and empty pages give an empty text; broken, unclosed and
-very deep mark-up is read to its end (no recursion on depth, but for tables
-inside tables, which are laid out as blocks from the eighth on); repeated rows
-are rendered alike; null ids stay.
+Work is linear in the page but for what is aligned.  As in browsers, no more
+than DEPTH elements are open at once: what is nested deeper stands beside what
+it is in, with all its text.  Cells of a table are padded to columns unless
+that would make it wider than WIDEST characters; then two spaces part them.
+
+Defined cases: null and empty pages give an empty text; broken and unclosed
+mark-up is read to its end, and a tag that never ends shows as text; repeated
+rows are rendered alike; null ids stay, and ids keep their type.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +31,9 @@ from pyspark.sql import DataFrame
 
 from cloakframe.llm import kit
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+#: No part gives a character back, so a page is read once: a tag ends at its first > outside quoted values, or with the page.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]+|<", re.S)
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{8,});?")  # of no character
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -52,7 +59,14 @@ IMPLIES = {
 BARE = frozenset(("table", "tr")) | SECTIONS
 PARTS = CELLS | BARE | {"caption", "colgroup", "col", "script", "style", "template"}
 FENCE = frozenset(("td", "th", "caption", "table", "template", "object"))
-LIMIT = 8
+#: Fixed value: browsers keep 512 elements open at most.
+DEPTH = 512
+WIDEST = 2000
+
+
+def decoded(text: str) -> str:
+    """Text with its character references replaced."""
+    return unescape(_LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
 
 
 class Node:
@@ -66,7 +80,7 @@ class Node:
             return None
         for m in _ATTR.finditer(self.attrs):
             if m[1].lower() == name:
-                return unescape(m[2] or m[3] or m[4] or "")
+                return decoded(m[2] or m[3] or m[4] or "")
         return None
 
 
@@ -74,15 +88,14 @@ def parse(page: str) -> Node:
     """The tree of a page; text lies in it as plain strings."""
     root = Node("html")
     stack, at, end = [root], 0, len(page)
-    open_ = {"html": 1}
+    open_ = {"html": [0]}  # places in the stack, by name
 
     def add(kid):
         """Puts a node or text where it belongs: what stands in a table but in no cell goes before the table."""
         up = stack[-1]
         if up.name in BARE and (kid.name not in PARTS if isinstance(kid, Node) else kid.strip()):
-            table = next((x for x in reversed(stack) if x.name == "table"), None)
-            if table is not None:
-                up = table.up
+            if open_.get("table"):
+                up = stack[open_["table"][-1]].up
                 up.kids.insert(len(up.kids) - 1, kid)
             else:
                 up.kids.append(kid)
@@ -92,26 +105,26 @@ def parse(page: str) -> Node:
             kid.up = up
 
     def push(node):
+        if len(stack) >= DEPTH:
+            pop_to(DEPTH - 1)
         add(node)
+        open_.setdefault(node.name, []).append(len(stack))
         stack.append(node)
-        open_[node.name] = open_.get(node.name, 0) + 1
 
     def pop_to(depth):
         while len(stack) > depth:
-            open_[stack.pop().name] -= 1
+            open_[stack.pop().name].pop()
+
+    def nearest(names):
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((open_[x][-1] for x in names if open_.get(x)), default=0)
 
     def close(names, fences):
         """Ends the outermost open element of these names inside the nearest fence."""
-        if not any(open_.get(x) for x in names):
-            return
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                found = i
-            elif stack[i].name in fences:
-                break
-        if found:
-            pop_to(found)
+        fence = nearest(fences)
+        inside = [open_[x][bisect_right(open_[x], fence)] for x in names if open_.get(x) and open_[x][-1] > fence]
+        if inside:
+            pop_to(min(inside))
 
     while at < end:
         m = _TOKEN.match(page, at)
@@ -121,19 +134,18 @@ def parse(page: str) -> Node:
             if text[0] != "<" or len(text) == 1:
                 if stack[-1].name == "colgroup" and text.strip():
                     pop_to(len(stack) - 1)
-                add(unescape(text) if "&" in text else text)
+                add(decoded(text))
+            continue
+        if not m[4]:
+            add(decoded(m[0]))
             continue
         name = name.lower()
         if m[1]:
             if name == "br":
                 add(Node("br"))
             elif open_.get(name) and name not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        pop_to(i)
-                        break
-                    if stack[i].name in FENCE and not (name == "table" or name in ROWS or name in SECTIONS or name in CELLS):
-                        break
+                if name == "table" or name in ROWS or name in SECTIONS or name in CELLS or open_[name][-1] >= nearest(FENCE):
+                    pop_to(open_[name][-1])
             continue
         if name in ("html", "body") and open_.get(name):
             continue
@@ -147,16 +159,14 @@ def parse(page: str) -> Node:
             pop_to(len(stack) - 1)
         if name in PARTS and name not in ("table", "script", "style", "template") and open_.get("table"):
             # They end what was moved out of the table.
-            i = len(stack) - 1
-            while stack[i].name not in BARE and stack[i].name not in FENCE:
-                i -= 1
+            i = nearest(BARE | FENCE)
             if stack[i].name in BARE:
                 pop_to(i + 1)
         if stack[-1].name in BARE and open_.get("table"):
             if name == "form":
                 continue  # its rows and cells are the table's
             if name == "table":
-                pop_to(max(i for i, x in enumerate(stack) if x.name == "table"))
+                pop_to(open_["table"][-1])
         # Cells and rows imply what must be around them.
         if name in CELLS and open_.get("table"):
             if stack[-1].name == "table":
@@ -174,7 +184,7 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?|\Z", re.I).search(page, at)
             if name not in UNSEEN:
                 body = page[at : stop.start()]
-                node.kids.append(unescape(body) if name == "textarea" else body)
+                node.kids.append(decoded(body) if name == "textarea" else body)
             at = stop.end()
         else:
             push(Node(name, attrs))
@@ -297,45 +307,48 @@ def _span(node: Node, name: str) -> int:
     return min(max(int(v), 1), 1000) if v.isascii() and v.isdigit() else 1
 
 
-def _table(node: Node, seen: bool, depth: int) -> list[str]:
+def _table(node: Node, seen: bool) -> list[str]:
     captions, rows = _rows(node, seen)
-    out = [line for c, s in captions for line in _render(c, s, depth + 1)]
-    grid, taken = [], {}
+    out = [line for c, s in captions for line in _render(c, s)]
+    grid, busy = [], []  # busy: (from, to, first row in which it is free) of columns that cells of earlier rows reach into
     for y, row in enumerate(rows):
-        cells, x = {}, 0
+        cells, x, k, more = [], 0, 0, []
+        busy = [b for b in busy if b[2] > y]
         for c, s in row:
-            while taken.get((y, x)):
-                x += 1
+            while k < len(busy) and busy[k][0] <= x:
+                x, k = max(x, busy[k][1]), k + 1
             wide, tall = _span(c, "colspan"), _span(c, "rowspan")
-            for dy in range(1, min(tall, len(rows) - y)):
-                for dx in range(wide):
-                    taken[y + dy, x + dx] = True
-            cells[x] = (_render(c, s, depth + 1), wide)
+            cells.append((x, _render(c, s), wide))
+            if tall > 1:
+                more.append((x, x + wide, y + tall))
             x += wide
+        if more:
+            busy = sorted(busy + more)
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
-        for x, (lines, wide) in cells.items():
-            if wide == 1:
-                width[x] = max([width.get(x, 0), *map(len, lines)])
+        for x, lines, wide in cells:
+            if wide == 1 and lines:
+                width[x] = max(width.get(x, 0), *map(len, lines))
+    columns = sorted(width)
+    place = [0]
+    for x in columns:
+        place.append(place[-1] + width[x] + 2)
+    aligned = place[-1] <= WIDEST
     for cells in grid:
-        deep = max([0, *(len(lines) for lines, _ in cells.values())])
-        for k in range(deep):
-            line, at = "", 0
-            for x in sorted(cells):
-                lines, wide = cells[x]
-                left = sum(width.get(i, 0) + 2 for i in range(at, x))
-                if left:
-                    line += " " * left
-                room = sum(width.get(i, 0) + 2 for i in range(x, x + wide))
-                text = lines[k] if k < len(lines) else ""
-                line += text.ljust(room - 2) + "  " if room >= 2 else text + "  "
-                at = x + wide
-            out.append(line.rstrip())
+        at = [place[bisect_left(columns, x)] if aligned else 0 for x, _, _ in cells]
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            line, size = [], 0
+            for (_, lines, _), left in zip(cells, at):
+                if k < len(lines) and lines[k]:
+                    gap = max(left - size, 2 if size else 0)
+                    line += " " * gap, lines[k]
+                    size += gap + len(lines[k])
+            out.append("".join(line))
     return out
 
 
-def _render(root: Node, seen: bool = True, depth: int = 0) -> list[str]:
+def _render(root: Node, seen: bool = True) -> list[str]:
     out = _Lines()
     lists: list[list] = []  # [next number or None, indent outside]
     todo = [(root, iter(root.kids), seen, False, None)]
@@ -366,9 +379,9 @@ def _render(root: Node, seen: bool = True, depth: int = 0) -> list[str]:
         if name == "input" and sees and (kid.get("type") or "text").lower() in ("submit", "button", "reset") and kid.get("value"):
             out.text(kid.get("value"), False)
             continue
-        if name == "table" and depth < LIMIT:
+        if name == "table":
             out.block(2)
-            for line in _table(kid, sees, depth):
+            for line in _table(kid, sees):
                 out.put(line) if line else None
                 out.block(1)
             out.block(2)
@@ -422,12 +435,12 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataF
     """key, text, n_lines of every row."""
     from pyspark.sql import types as T
 
-    kit.small_batches(pages.sparkSession, 500)
     source = pages.select(pages[f"`{key}`"], pages[f"`{html}`"].cast("string").alias("__html"))
 
     def run(batches):
         for batch in batches:
-            texts = [render(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], names=[key, "text", "n_lines"])
+            for part in kit.slices(batch, "__html", 4 << 20):
+                texts = [render(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], names=[key, "text", "n_lines"])
 
     return source.mapInArrow(kit.trimmed(run), T.StructType([pages.schema[key], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())]))

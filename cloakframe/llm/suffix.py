@@ -9,23 +9,29 @@ whose boundary is still open then share at least that many bytes.
 The text is far too large for one transform, so strings are dealt out first.
 Each window of `length` bytes belongs to the least hash of the K-byte strings in
 it; windows in a row that share it make a stretch.  Equal windows have equal
-least hashes and so meet in one bucket.  Three steps, in one plan that shuffles
-the texts once:
+least hashes and so meet in one bucket.  Three steps:
 
 1. each block of documents tells the buckets its distinct stretches (hashes and
    whether there are several), and learns which are unique, which occur again
    as a whole, and which must be looked at;
 2. of the latter, each distinct stretch is sent once and the bucket builds the
-   transform of its stretches and finds repeated windows.  A hash with more
-   than HOT distinct stretches would fill a task: of those, the hashes of the
-   windows are counted instead, spread over all buckets;
+   transform of its stretches and finds repeated windows;
 3. each block covers the repeated windows and removes the bytes.
 
+A hash with more than HOT distinct stretches (or LOCAL in one block, which then
+sends but one entry of it) would fill a task.  Its windows are dealt out again,
+by more of their bytes: around the string that the hash is of, half of what is
+left of the window is added, on the right where the window has as much there,
+else on the left.  Windows in a row share these bytes too, so stretches are
+halved, and equal windows still meet.  That is repeated while there are such
+hashes, until the whole window is known, of which there is one stretch only.
+
 Equal stretches are merged in the block before anything is sent, so a passage
 or a group of copies costs each block one entry, however many rows hold it.
 
 Defined cases: a null text is empty; a text shorter than `length` has nothing
-removed; repeated rows are repeats of each other; null ids are kept.
+removed; repeated rows are repeats of each other; ids keep their type, null
+ones too.
 """
 
 from __future__ import annotations
@@ -41,21 +47,21 @@ from cloakframe.llm import kit
 
 U = np.uint64
 LENGTH, K = 200, 40
-BLOCK_BYTES = 3 << 20
 CHUNK = 2 << 20  # bytes of one transform, unless one hash has more
-HOT = 4096
-UNIQUE, AGAIN, SEND, WINDOWS = 0, 1, 2, 4
+HOT, LOCAL = 4096, 1024
+UNIQUE, AGAIN, SEND, SPLIT = 0, 1, 2, 4
+RANGES = 100
 
 
 class Stretches:
-    """The stretches of a block's texts: m (least hash), c (hash of the bytes), a (start), n (bytes)."""
+    """The stretches of a block's texts: m (least hash), a (start), n (bytes)."""
 
     def __init__(self, t: kit.Texts, length: int):
         k = min(K, length)
         self.t, self.length, self.w = t, length, length - k + 1
         buf, size = t.buf, len(t.buf)
         if size < length:
-            self.m = self.c = np.zeros(0, U)
+            self.m = np.zeros(0, U)
             self.a = self.n = np.zeros(0, np.int64)
             return
         with np.errstate(over="ignore"):
@@ -77,7 +83,6 @@ class Stretches:
         self.least_at = np.flatnonzero(~top == h)
         self.least_m = kit.mix(h[self.least_at])
         self.k = k
-        self.c = self.hashes(self.a, self.n)
 
     def sliding(self, h: np.ndarray) -> np.ndarray:
         """Least of each w successive values."""
@@ -94,27 +99,78 @@ class Stretches:
             x = (self.sums[a + n] - self.sums[a]) * kit.powers(kit._PINV, len(self.sums))[a]
             return kit.mix(x ^ (n.astype(U) * U(kit._Q)))
 
-    def distinct(self) -> "Stretches":
-        """Sets order (by m, c), first (in order, of each distinct one), entry (of each stretch, its distinct one)."""
-        self.order = np.lexsort((self.c, self.m))
-        m, c = self.m[self.order], self.c[self.order]
+    def levels(self, told: pa.Table | None, buckets: int) -> list["Level"]:
+        """The distinct stretches, and those that hashes with too many of them were split to, with what is known of them."""
+        out = [Level(self, self.m, self.a, self.n)]
+        while told is not None and out[-1].judge(told, len(out) - 1, buckets) and (out[-1].verdict & SPLIT).any():
+            out.append(out[-1].split())
+        return out
+
+    def anchors(self, m: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretch, place) of each stretch's least string, in order."""
+        lo = np.searchsorted(self.least_at, a)
+        size = np.searchsorted(self.least_at, a + n - self.k, "right") - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        which = np.repeat(np.arange(len(a)), size)
+        same = self.least_m[at] == m[which]
+        return which[same], self.least_at[at[same]]
+
+
+class Level:
+    """Stretches of a block: em, ec (of distinct ones, sorted), one (a stretch of each), entry (of each stretch, its distinct one), many, inner."""
+
+    def __init__(self, s: Stretches, m: np.ndarray, a: np.ndarray, n: np.ndarray, known: tuple | None = None):
+        self.s, self.m, self.a, self.n, self.known = s, m, a, n, known
+        c = s.hashes(a, n) if len(m) else np.zeros(0, U)
+        order = np.lexsort((c, m))
+        ms, cs = m[order], c[order]
         new = np.ones(len(m), bool)
-        new[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
-        self.first = np.flatnonzero(new)
+        new[1:] = (ms[1:] != ms[:-1]) | (cs[1:] != cs[:-1])
+        first = np.flatnonzero(new)
         self.entry = np.empty(len(m), np.int64)
-        self.entry[self.order] = np.cumsum(new) - 1
-        self.em, self.ec = m[self.first], c[self.first]
-        self.one = self.order[self.first]
-        self.many = np.diff(np.append(self.first, len(m))) > 1
-        if not len(self.m):
-            self.inner = np.zeros(0, bool)
-            return self
-        # A stretch repeats windows of its own only where its least string occurs in it twice.
-        lo = np.searchsorted(self.least_at, self.a[self.one])
-        size = np.searchsorted(self.least_at, self.a[self.one] + self.n[self.one] - self.k, "right") - lo
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        self.inner = np.bincount(np.repeat(np.arange(len(lo)), size), self.least_m[at] == np.repeat(self.em, size), len(lo)) > 1
-        return self
+        self.entry[order] = np.cumsum(new) - 1
+        self.em, self.ec, self.one = ms[first], cs[first], order[first]
+        self.many = np.diff(np.append(first, len(m))) > 1
+        self.inner = np.zeros(len(first), bool)
+        if known is None and len(m):
+            # A stretch repeats windows of its own only where its least string occurs in it twice.
+            self.inner = np.bincount(s.anchors(self.em, a[self.one], n[self.one])[0], minlength=len(first)) > 1
+        new = np.append(True, self.em[1:] != self.em[:-1])[: len(first)]
+        lead = np.flatnonzero(new)
+        size = np.diff(np.append(lead, len(first)))
+        self.crowded = np.repeat(size > LOCAL, size)
+        self.told = np.flatnonzero(~self.crowded | new)  # entries that are sent
+
+    def judge(self, told: pa.Table, level: int, buckets: int) -> bool:
+        """Sets the verdict of each entry, if there is one yet."""
+        got = {told["bucket"][i].as_py(): told["flags"][i].as_py() for i in range(told.num_rows) if told["step"][i].as_py() == level}
+        if not got:
+            self.verdict = np.zeros(len(self.em), np.uint8)
+            return False
+        self.verdict = np.where(self.crowded, SPLIT, 0).astype(np.uint8)
+        for b, q in _by_bucket(self.em[self.told], buckets):
+            self.verdict[self.told[q]] = kit.unsqueeze(got[b], np.uint8)
+        return True
+
+    def split(self) -> "Level":
+        s = self.s
+        some = np.flatnonzero((self.verdict & SPLIT > 0)[self.entry])
+        a, last = self.a[some], self.a[some] + self.n[some] - s.length
+        if self.known is None:
+            # Each window has its first least string.
+            which, at = s.anchors(self.m[some], a, self.n[some])
+            before = np.where(np.append(True, which[1:] != which[:-1])[: len(at)], -1, np.append(-1, at[:-1])[: len(at)])
+            lo, hi = np.maximum(a[which], before + 1), np.minimum(last[which], at)
+            left, right = at, at + s.k
+        else:
+            lo, hi, (left, right) = a, last, (v[some] for v in self.known)
+        half = (s.length - (right - left) + 1) // 2
+        turn = right + half - s.length  # the first window with so much on the right
+        lo, hi = np.concatenate([np.maximum(lo, turn), lo]), np.concatenate([hi, np.minimum(hi, turn - 1)])
+        left, right = np.concatenate([left, left - half]), np.concatenate([right + half, right])
+        real = lo <= hi
+        lo, hi, left, right = (v[real] for v in (lo, hi, left, right))
+        return Level(s, kit.mix(s.hashes(left, right - left) if len(lo) else np.zeros(0, U)), lo, hi - lo + s.length, (left, right))
 
 
 def _by_bucket(m: np.ndarray, buckets: int):
@@ -137,24 +193,28 @@ def _undelta(b: bytes) -> np.ndarray:
 
 ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("m", pa.binary()), ("c", pa.binary()), ("flags", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
 ASK_DDL = "bucket long, block long, m binary, c binary, flags binary, size binary, data binary"
-TELL = pa.schema([("block", pa.int64()), ("step", pa.int64()), ("bucket", pa.int64()), ("flags", pa.binary()), ("ranges", pa.binary())])
-TELL_DDL = "block long, step long, bucket long, flags binary, ranges binary"
+TELL = pa.schema([("block", pa.int64()), ("step", pa.int64()), ("bucket", pa.int64()), ("flags", pa.binary()), ("ranges", pa.binary()), ("split", pa.bool_())])
+TELL_DDL = "block long, step long, bucket long, flags binary, ranges binary, split boolean"
 
 
 def _rows(rows: list, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _ask(docs: pa.Table, length: int, buckets: int) -> pa.Table:
-    s = Stretches(kit.Texts(docs.column("__text")), length).distinct()
-    block = docs.column("__block")[0].as_py()
-    flags = (s.many * 1 + s.inner * 2).astype(np.uint8)
-    return _rows([(b, block, _delta(s.em[q]), kit.squeeze(s.ec[q]), kit.squeeze(flags[q]), None, None) for b, q in _by_bucket(s.em, buckets)], ASK)
+def _ask(docs: pa.Table, told: pa.Table | None, length: int, buckets: int) -> pa.Table:
+    """The entries of the last level; none if no hash of the level before must be split."""
+    if not docs.num_rows or told is not None and not any(told["split"].to_pylist()):
+        return ASK.empty_table()
+    block, levels = docs.column("__block")[0].as_py(), Stretches(kit.Texts(docs.column("__text")), length).levels(told, buckets)
+    x = levels[-1]
+    flags = (x.many * 1 + x.inner * 2 + x.crowded * 4).astype(np.uint8)[x.told]
+    m, c = x.em[x.told], x.ec[x.told]
+    return _rows([(b, block, _delta(m[q]), kit.squeeze(c[q]), kit.squeeze(flags[q]), None, None) for b, q in _by_bucket(m, buckets)], ASK)
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """For each entry: UNIQUE, AGAIN (all of it is repeated), SEND (its bytes are needed from this block), WINDOWS."""
-    # This runs for two consumers, so it must not depend on the order in which blocks arrive.
+def _answer(asked: pa.Table, level: int) -> pa.Table:
+    """For each entry: UNIQUE, AGAIN (all of it is repeated), SEND (its bytes are needed from this block), SPLIT."""
+    # Who sends a stretch must not depend on the order in which blocks arrive.
     asked = asked.take(np.argsort(asked["block"].to_numpy()))
     sizes, parts = [], []
     for i in range(asked.num_rows):
@@ -171,45 +231,34 @@ def _answer(asked: pa.Table) -> pa.Table:
     again = (np.bincount(entry) + np.bincount(entry, f & 1)) > 1
     variants = np.bincount(group[new])
     look = (variants > 1)[group] | (f & 2 > 0)
-    hot = (variants > HOT)[group]
-    verdict = again[entry] * AGAIN | np.where(look & new & ~hot, SEND, 0) | np.where(look & hot, WINDOWS, 0)
+    split = ((variants > HOT) | (np.bincount(group, f & 4) > 0))[group]
+    verdict = np.where(split, SPLIT, again[entry] * AGAIN | np.where(look & new, SEND, 0))
     out = np.empty(len(m), np.uint8)
     out[order] = verdict
     edges = np.cumsum([0, *sizes])
-    return _rows([(asked["block"][i].as_py(), 1, asked["bucket"][i].as_py(), kit.squeeze(out[edges[i] : edges[i + 1]]), None) for i in range(asked.num_rows)], TELL)
+    return _rows([(asked["block"][i].as_py(), level, asked["bucket"][i].as_py(), kit.squeeze(v), None, bool((v & SPLIT).any())) for i in range(asked.num_rows) for v in [out[edges[i] : edges[i + 1]]]], TELL)
 
 
-def _verdicts(s: Stretches, told: pa.Table, buckets: int) -> np.ndarray:
-    got = {told["bucket"][i].as_py(): told["flags"][i].as_py() for i in range(told.num_rows) if told["step"][i].as_py() == 1}
-    out = np.zeros(len(s.em), np.uint8)
-    for b, q in _by_bucket(s.em, buckets):
-        out[q] = kit.unsqueeze(got[b], np.uint8)
-    return out
-
-
-def _windows(s: Stretches, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of stretches under a hot hash: the window starts, and their distinct hashes, whether each occurs again here, and of each window its hash's place."""
-    hot = np.flatnonzero((verdict & WINDOWS > 0)[s.entry]) if len(verdict) else np.zeros(0, np.int64)
-    per = s.n[hot] - s.length + 1
-    starts = np.repeat(s.a[hot] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-    values, place, many = np.unique(s.hashes(starts, np.full(len(starts), s.length)) if len(starts) else np.zeros(0, U), return_inverse=True, return_counts=True)
-    return starts, values, many > 1, place
+def _sent(levels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start, bytes and verdict of the stretches whose bytes are sent, sorted by hash."""
+    parts = []
+    for x in levels:
+        at = np.flatnonzero(x.verdict & SEND)
+        parts.append((x.em[at], x.a[x.one[at]], x.n[x.one[at]], x.verdict[at] & AGAIN))
+    m, a, n, again = (np.concatenate(v) for v in zip(*parts))
+    order = np.argsort(m, kind="stable")
+    return m[order], a[order], n[order], again[order]
 
 
 def _send(docs: pa.Table, told: pa.Table, length: int, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return ASK.empty_table()
-    s = Stretches(kit.Texts(docs.column("__text")), length).distinct()
-    block = docs.column("__block")[0].as_py()
-    verdict, rows = _verdicts(s, told, buckets), []
-    sent = np.flatnonzero(verdict & SEND)
-    for b, q in _by_bucket(s.em[sent], buckets):
-        which = s.one[sent[q]]
-        data = b"".join(s.t.buf[a : a + n].tobytes() for a, n in zip(s.a[which].tolist(), s.n[which].tolist()))
-        rows.append((b, block, _delta(s.m[which]), None, kit.squeeze(verdict[sent[q]] & AGAIN), kit.squeeze(s.n[which]), kit.squeeze(np.frombuffer(data, np.uint8), 3)))
-    _, values, many, _ = _windows(s, verdict)
-    for b, q in _by_bucket(values, buckets):
-        rows.append((buckets + b, block, _delta(values[q]), None, kit.squeeze(many[q].astype(np.uint8)), None, None))
+    s = Stretches(kit.Texts(docs.column("__text")), length)
+    block, rows = docs.column("__block")[0].as_py(), []
+    m, a, n, again = _sent(s.levels(told, buckets))
+    for b, q in _by_bucket(m, buckets):
+        at = np.repeat(a[q] - (np.cumsum(n[q]) - n[q]), n[q]) + np.arange(n[q].sum())
+        rows.append((b, block, _delta(m[q]), None, kit.squeeze(again[q]), kit.squeeze(n[q]), kit.squeeze(s.t.buf[at], 3)))
     return _rows(rows, ASK)
 
 
@@ -302,14 +351,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _search(asked: pa.Table, length: int, buckets: int) -> pa.Table:
+def _search(asked: pa.Table, length: int) -> pa.Table:
     bucket = asked["bucket"][0].as_py()
-    if bucket >= buckets:
-        parts = [(_undelta(asked["m"][i].as_py()), kit.unsqueeze(asked["flags"][i].as_py(), np.uint8)) for i in range(asked.num_rows)]
-        values, place = np.unique(np.concatenate([m for m, _ in parts]), return_inverse=True)
-        again = np.bincount(place) + np.bincount(place, np.concatenate([f for _, f in parts])) > 1
-        edges = np.cumsum([0, *(len(m) for m, _ in parts)])
-        return _rows([(asked["block"][i].as_py(), 2, bucket, kit.squeeze(again[place[edges[i] : edges[i + 1]]].astype(np.uint8)), None) for i in range(asked.num_rows)], TELL)
     entries, m, again, size, data = [], [], [], [], []
     for i in range(asked.num_rows):
         m.append(_undelta(asked["m"][i].as_py()))
@@ -344,41 +387,30 @@ def _search(asked: pa.Table, length: int, buckets: int) -> pa.Table:
                 if len(b):
                     i, j = entries[e]
                     found[i].append(np.stack([np.full(len(b), j), b, f], 1))
-    rows = [(asked["block"][i].as_py(), 2, bucket, None, kit.squeeze(np.concatenate(x).astype(np.int64).ravel())) for i, x in enumerate(found) if x]
+    rows = [(asked["block"][i].as_py(), RANGES, bucket, None, kit.squeeze(np.concatenate(x).astype(np.int64).ravel()), False) for i, x in enumerate(found) if x]
     return _rows(rows, TELL)
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.large_string())])
-
-
-def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, with_text: bool) -> pa.Table:
-    schema = RESULT if with_text else pa.schema([RESULT.field(i) for i in range(5)])
+def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, schema: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return schema.empty_table()
     t = kit.Texts(docs.column("__text"))
-    s = Stretches(t, length).distinct()
-    verdict = _verdicts(s, told, buckets)
+    levels = Stretches(t, length).levels(told, buckets)
     step = np.zeros(len(t.buf) + 1, np.int32)
 
     def cover(lo, hi):
         np.add.at(step, lo, 1)
         np.add.at(step, hi, -1)
 
-    whole = np.flatnonzero((verdict & AGAIN > 0)[s.entry]) if len(verdict) else np.zeros(0, np.int64)
-    cover(s.a[whole], s.a[whole] + s.n[whole])
-    got = {told["bucket"][i].as_py(): i for i in range(told.num_rows) if told["step"][i].as_py() == 2}
-    sent = np.flatnonzero(verdict & SEND)
-    for b, q in _by_bucket(s.em[sent], buckets):
-        if b in got and (ranges := told["ranges"][got[b]].as_py()):
-            j, lo, hi = kit.unsqueeze(ranges, np.int64).reshape(-1, 3).T
-            a = s.a[s.one[sent[q][j]]]
-            cover(a + lo, a + hi - 1 + length)
-    starts, values, _, place = _windows(s, verdict)
-    again = np.zeros(len(values), bool)
-    for b, q in _by_bucket(values, buckets):
-        again[q] = kit.unsqueeze(told["flags"][got[buckets + b]].as_py(), np.uint8) > 0
-    hit = starts[again[place]] if len(starts) else starts
-    cover(hit, hit + length)
+    for x in levels:
+        whole = np.flatnonzero((x.verdict & AGAIN > 0)[x.entry]) if len(x.verdict) else np.zeros(0, np.int64)
+        cover(x.a[whole], x.a[whole] + x.n[whole])
+    got = {told["bucket"][i].as_py(): i for i in range(told.num_rows) if told["step"][i].as_py() == RANGES}
+    m, a, *_ = _sent(levels)
+    for b, q in _by_bucket(m, buckets):
+        if b in got:
+            j, lo, hi = kit.unsqueeze(told["ranges"][got[b]].as_py(), np.int64).reshape(-1, 3).T
+            cover(a[q][j] + lo, a[q][j] + hi - 1 + length)
     gone = np.cumsum(step[:-1]) > 0
     lead = gone.copy()
     lead[1:] &= ~gone[:-1]
@@ -387,21 +419,32 @@ def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, with_text:
     bounds = np.append(t.lo, len(t.buf))
     kept = [t.buf[a:b][~gone[a:b]].tobytes() for a, b in zip(t.lo.tolist(), t.hi.tolist())]
     cols = [docs.column("doc_id"), pa.array(t.hi - t.lo), pa.array(kit.per_text(bounds, gone).astype(np.int64)), pa.array(kit.per_text(bounds, lead).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-    if with_text:
+    if len(schema) > 5:
         cols.append(pa.array([x.decode("utf-8", "replace") for x in kept], pa.large_string()))
     return pa.table(cols, schema=schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with_text what is left (kept; a cut character shows as U+FFFD)."""
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("__text"))
-    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    blocks = buckets = int(total // BLOCK_BYTES) + 1
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(blocks)))
-    asked = rows.groupBy("__block").applyInArrow(kit.one(lambda t: _ask(t, length, buckets)), ASK_DDL)
-    told = asked.groupBy("bucket").applyInArrow(kit.one(_answer), TELL_DDL)
-    sent = rows.groupBy("__block").cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets)), ASK_DDL)
-    found = sent.groupBy("bucket").applyInArrow(kit.one(lambda t: _search(t, length, buckets)), TELL_DDL)
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    dealt = kit.Dealt(docs, text, key)
+    buckets = dealt.buckets
+
+    def answered(asked: DataFrame, level: int) -> DataFrame:
+        return kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(lambda t: _answer(t, level)), TELL_DDL))
+
+    last = told = answered(dealt.by_block().applyInArrow(kit.one(lambda t: _ask(t, None, length, buckets)), ASK_DDL), 0)
+    level = 0
+    while not last.where("split").isEmpty():
+        level += 1
+        again = told.groupBy("block").agg(F.max(F.when(F.col("step") == level - 1, F.col("split"))).alias("more"))
+        told_ = told.join(again.where("more").select("block"), "block", "left_semi")
+        last = answered(dealt.by_block().cogroup(told_.groupBy("block")).applyInArrow(kit.two(lambda a, b: _ask(a, b, length, buckets) if b.num_rows else ASK.empty_table()), ASK_DDL), level)
+        told = told.unionByName(last)
+    kit.forget(docs.sparkSession)
+    sent = dealt.by_block().cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets)), ASK_DDL)
+    found = dealt.by(sent, "bucket").applyInArrow(kit.one(lambda t: _search(t, length)), TELL_DDL)
+    fields = [("doc_id", dealt.arrow), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]
+    schema = pa.schema([*fields, ("kept", pa.large_string())] if with_text else fields)
+    out = f"doc_id {dealt.ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     both = told.unionByName(found)
-    return rows.groupBy("__block").cogroup(both.groupBy("block")).applyInArrow(kit.two(lambda a, b: _cover(a, b, length, buckets, with_text)), out)
+    return dealt.by_block().cogroup(both.groupBy("block")).applyInArrow(kit.two(lambda a, b: _cover(a, b, length, buckets, schema)), out)

@@ -238,10 +238,12 @@ def brute_suffix(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot", "block"), [(200, 4096, 3 << 20), (200, 2, 5000), (37, 4096, 4000), (6, 3, 9000)])
-def test_suffix(docs, rows, none, monkeypatch, length, hot, block):
+@pytest.mark.parametrize(("length", "hot", "local", "block"), [(200, 4096, 1024, 3 << 20), (200, 2, 1024, 5000), (200, 1, 1, 20000), (37, 4096, 2, 4000), (6, 3, 1024, 9000)])
+def test_suffix(docs, rows, none, monkeypatch, length, hot, local, block):
+    """With few stretches a hash, so that hashes are split again and again, results are the same."""
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix, "LOCAL", local)
+    monkeypatch.setattr(kit, "BLOCK_BYTES", block)
     got = Counter(tuple(r) for r in suffix.dedup(docs, length).collect())
     assert got == brute_suffix(rows, length)
     assert suffix.dedup(none).count() == 0
