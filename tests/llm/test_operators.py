@@ -328,11 +328,11 @@ def test_chaining(spark, none):
     made += [(20 + k, " ".join(passage) + f" {prose(rng, 30)}") for k in range(30)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     for size in (3 << 20, 2000):
-        chaining.BLOCK_BYTES = size
+        kit.BLOCK_BYTES = size
         got = {}
         for r in chaining.passages(docs).collect():
             got.setdefault(r.doc_id, []).append(r)
-        chaining.BLOCK_BYTES = 3 << 20
+        kit.BLOCK_BYTES = 3 << 20
         assert set(got) == {1, 2, 3, *range(20, 50)}
         for i, at in ((1, 50), (2, 90), (3, 0), (20, 0)):
             (r,) = got[i]
