@@ -8,7 +8,6 @@ outside space and \\t..\\r; null texts count as empty ones.
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
 import os
 import tempfile
@@ -232,6 +231,7 @@ def two(f):
     return run
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOCK_BYTES = 3 << 20  # of texts in a block; some 100 times as much memory is at work on it
 COPIES = 256  # of rows equal in id and text, how many may lie in one block
 
@@ -302,14 +302,19 @@ def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     where = where or scratch(spark)
-    df.write.mode("overwrite").parquet(where)
+    was = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # shuffle files of this write go when it is done
+    try:
+        df.write.mode("overwrite").parquet(where)
+    finally:
+        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
     return spark.read.schema(df.schema).parquet(where)
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of plans that nothing refers to any more; it finds them when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def remove(spark: SparkSession, where: str) -> None:
+    """Deletes a stored table that is not read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -64,10 +64,10 @@ END_WORD = kit.mix(np.array([0x0A], U))[0]
 NONE = np.zeros(0, U)
 
 
-def uniform(key: np.ndarray, draw: int) -> np.ndarray:
-    """One number in (0, 1) for each key and draw."""
+def uniform(key: np.ndarray, draw) -> np.ndarray:
+    """A number in (0, 1) for each key and draw."""
     with np.errstate(over="ignore"):
-        x = kit.mix(key * U(0x9E3779B97F4A7C15) + U(draw) * U(0xC2B2AE3D27D4EB4F))
+        x = kit.mix(key * U(0x9E3779B97F4A7C15) + np.asarray(draw, U) * U(0xC2B2AE3D27D4EB4F))
     return ((x >> U(11)).astype(float) + 0.5) / (1 << 53)
 
 
@@ -85,17 +85,19 @@ def stirling(d: float) -> np.ndarray:
     return out
 
 
-def step(c: np.ndarray, t: int, d: float) -> np.ndarray:
-    """log of S(c, t + 1) / S(c, t), t below c."""
+def step(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of S(c, t + 1) / S(c, t); -inf where t is not below c."""
+    c, t = np.broadcast_arrays(c, t)
     table = stirling(d)
-    out = table[np.minimum(c, TOP), min(t, TOP)]
-    large = np.flatnonzero(c > TOP)
-    if len(large):
-        x = t * (TOP / c[large]) ** d
+    out = table[np.minimum(c, TOP), np.minimum(t, TOP)]
+    large = c > TOP
+    if large.any():
+        c, t = c[large], t[large]
+        x = t * (TOP / c) ** d
         low = np.clip(x.astype(np.int64), 1, TOP - 2)
         part = np.clip(x - low, 0.0, 1.0)
         law = (table[TOP, low] + np.log(low)) * (1 - part) + (table[TOP, low + 1] + np.log(low + 1)) * part
-        out[large] = law - np.log(t)
+        out[large] = np.where(t < c, law - np.log(t), -np.inf)
     return out
 
 
@@ -110,11 +112,18 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, below: np.ndarray, d:
     weight = np.zeros(len(live))
     peak, best, n = weight.copy(), -np.log(-np.log(uniform(key, sweep << 32 | 1))), 1
     while len(live):
-        weight = weight + np.log(np.maximum((rest + d * n) * below, 1e-300)) + step(c, n, d)
-        n += 1
-        found = weight - np.log(-np.log(uniform(key, sweep << 32 | n)))
-        out[live[found > best]] = n
-        best, peak = np.maximum(best, found), np.maximum(peak, weight)
+        # Few kinds that go on for long are looked at many numbers at once.
+        ts = np.arange(n, n + max(1, min(512, 2048 // len(live))))
+        with np.errstate(invalid="ignore"):
+            some = np.log(np.maximum((rest[:, None] + d * ts) * below[:, None], 1e-300)) + step(c[:, None], ts, d)
+            some = weight[:, None] + np.cumsum(some, axis=1)
+            found = some - np.log(-np.log(uniform(key[:, None], (ts + 1) | sweep << 32)))
+        top = np.argmax(found, axis=1)
+        row = np.arange(len(live))
+        better = found[row, top] > best
+        out[live[better]] = ts[top[better]] + 1
+        best, peak, weight = np.maximum(best, found[row, top]), np.maximum(peak, some.max(axis=1)), some[:, -1]
+        n = int(ts[-1]) + 1
         go = (weight > peak - 30) & (c > n)
         live, c, key, below, rest, weight, peak, best = (v[go] for v in (live, c, key, below, rest, weight, peak, best))
     return out
@@ -495,8 +504,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
     hot, buckets = _frequent(dealt.rows, hot_from), dealt.buckets
     dealt.rows = dealt.rows.withColumn("__held", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1)
     asked = dealt.by_block().applyInArrow(kit.one(lambda t: _ask(t, hot, buckets)), ASK_DDL)
-    types = kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(_merge), TYPES_DDL))
-    kit.forget(spark)
+    where = kit.scratch(spark)
+    types = kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(_merge), TYPES_DDL), where)
     sums = types.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "kinds"))).first()
     tokens, known, kinds = map(int, sums)
 
@@ -530,11 +539,11 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
     told = words.groupBy("bucket").cogroup(dealt.by(asks, "target")).applyInArrow(kit.two(lambda a, b: _first(a, b, spelling.value, kinds, known, seed + 1)), NOTE_DDL)
     pairs = types.select("bucket", "m", "n", "hm", "hn", "blocks", "pm", "ph")
     run = kit.stored(pairs.groupBy("bucket").cogroup(dealt.by(told, "target")).applyInArrow(kit.two(lambda a, b: _sampled(a, b, frequent, buckets, seed + 2)), NOTE_DDL))
-    kit.forget(spark)
     whole = totals(run.where(F.col("step") == TOTALS), "totals") if len(hot) else np.zeros((2, 0))
     words = types.select("bucket", "w", "c", "sizes", "data", "blocks", "pw")
     seated = words.groupBy("bucket").cogroup(dealt.by(run.where(F.col("step") == FOR_WORDS), "target")).applyInArrow(kit.two(lambda a, b: _seated(a, b, spelling.value, known, seed + 3)), SEATED_DDL)
     seated = kit.stored(seated)
+    kit.remove(spark, where)
     at = seated.select(F.posexplode("tables").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     tables = [int(r.x) for r in sorted(at, key=lambda r: r.i)] or [0] * SAMPLES
     customers = int(seated.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])

@@ -440,7 +440,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         told_ = told.join(again.where("more").select("block"), "block", "left_semi")
         last = answered(dealt.by_block().cogroup(told_.groupBy("block")).applyInArrow(kit.two(lambda a, b: _ask(a, b, length, buckets) if b.num_rows else ASK.empty_table()), ASK_DDL), level)
         told = told.unionByName(last)
-    kit.forget(docs.sparkSession)
     sent = dealt.by_block().cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets)), ASK_DDL)
     found = dealt.by(sent, "bucket").applyInArrow(kit.one(lambda t: _search(t, length)), TELL_DDL)
     fields = [("doc_id", dealt.arrow), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]
