@@ -13,10 +13,13 @@ passes over the texts, none of which shuffles them.
 Words are runs of letters, digits and bytes beyond ASCII, lower-cased (A-Z),
 so punctuation and case do not hide a passage.
 
-Defined cases: null and empty texts or items match nothing; an item shorter
-than the shortest mask is not searched; one with fewer than `least` words must
-match whole; repeated rows are judged alike; null ids are kept; an empty
-benchmark leaves all documents.
+A seed that occurs at even distances (a word said over and over) counts as one
+run on either side, so that equal runs cost their lengths and not the product.
+
+Defined cases: null and empty texts or items match nothing; an item with fewer
+than `least` words must match whole, and one shorter than the shortest mask is
+searched by one hash of all its words; repeated rows are judged alike; ids keep
+their type, null ones too; an empty benchmark leaves all documents.
 """
 
 from __future__ import annotations
@@ -52,50 +55,118 @@ def tokens(col: pa.Array) -> tuple[kit.Texts, np.ndarray]:
     return t, t.hashes(kit.lower_ascii(t.buf))
 
 
+def short(h: np.ndarray, doc: np.ndarray, first: np.ndarray, sizes: set, whole: bool):
+    """Hashes of so many words in a row, for items shorter than the shortest mask; whole: of whole texts only."""
+    for n in sorted(sizes):
+        if n > len(h):
+            continue
+        with np.errstate(over="ignore"):
+            s = np.full(len(h) - n + 1, 100 + n, np.uint64)
+            for j in range(n):
+                s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(s)]
+        at = first[:-1][np.diff(first) == n] if whole else np.flatnonzero(doc[: len(s)] == doc[n - 1 :])
+        yield kit.mix(s[at]), at
+
+
+def runs(seed: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple:
+    """Places of each seed in each text as even runs: seed, text, first place, how many, distance; sorted by seed."""
+    order = np.lexsort((at, doc, seed))
+    seed, doc, at = seed[order], doc[order], at[order]
+    gap = np.diff(at, prepend=0)
+    new = np.ones(len(at), bool)
+    new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
+    gap[new] = 0
+    # A run goes on while the distance stays the same; a second place sets it.
+    cut = new.copy()
+    cut[2:] |= ~new[2:] & ~new[1:-1] & (gap[2:] != gap[1:-1])
+    lead = np.flatnonzero(cut)
+    n = np.diff(np.append(lead, len(at)))
+    apart = np.where(n > 1, gap[np.minimum(lead + 1, max(0, len(at) - 1))], 0) if len(at) else n
+    return seed[lead], doc[lead], at[lead], n, apart
+
+
 def index(ids: list, texts: list) -> dict:
-    """A block of the benchmark, ready to be joined: sorted seed hashes with their places, and the items' words."""
+    """A block of the benchmark, ready to be joined: runs of seeds, sorted by hash, and the items' words."""
     t, h = tokens(pa.array(texts, pa.string()))
-    found = [*seeds(h, t.doc)]
+    size = np.diff(t.first)
+    sizes = {int(n) for n in size if 0 < n < min(map(len, MASKS))}
+    found = [*seeds(h, t.doc), *short(h, t.doc, t.first, sizes, True)]
     s = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)])
     at = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
-    order = np.argsort(s, kind="stable")
-    return {"seed": s[order], "at": at[order], "words": h, "first": t.first, "doc": t.doc, "ids": ids}
+    seed, doc, at, n, gap = runs(s, t.doc[at], at)
+    return {"seed": seed, "at": at, "n": n, "gap": gap, "words": h, "first": t.first, "doc": doc, "ids": ids, "sizes": sizes}
+
+
+CELLS = 1 << 21  # words laid side by side at once
+
+
+def _diagonals(t: kit.Texts, h: np.ndarray, ix: dict):
+    """Rows (text, item, text's word that the item's first word lies on) that share a seed; some rows come again."""
+    doc = t.doc
+    for s, at in [*seeds(h, doc), *short(h, doc, t.first, ix["sizes"], False)]:
+        lo = np.searchsorted(ix["seed"], s, "left")
+        hit = lo < len(ix["seed"])
+        hit[hit] = ix["seed"][lo[hit]] == s[hit]
+        if not hit.any():
+            continue
+        seed, d, a, n, gap = runs(s[hit], doc[at[hit]], at[hit])
+        lo, hi = np.searchsorted(ix["seed"], seed, "left"), np.searchsorted(ix["seed"], seed, "right")
+        mine = np.repeat(np.arange(len(seed)), hi - lo)
+        theirs = np.repeat(lo, hi - lo) + np.arange(len(mine)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        m, there = ix["n"][theirs], ix["at"][theirs]
+        item = ix["doc"][theirs]
+        base = a[mine] - (there - ix["first"][item])
+        n, gap, other = n[mine], gap[mine], ix["gap"][theirs]
+        even = (n > 1) & (m > 1) & (gap == other)
+        # Differences of two even runs: as many as both have, less one; of others, each with each.
+        many = np.where(even, n + m - 1, n * m)
+        ends = np.cumsum(many)
+        k = 0
+        while k < len(many):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CELLS, "right")))
+            row = np.repeat(np.arange(k, stop), many[k:stop])
+            j = np.arange(len(row)) - np.repeat(ends[k:stop] - many[k:stop] - (ends[k - 1] if k else 0), many[k:stop])
+            step = np.where(even[row], (j - (m[row] - 1)) * gap[row], (j // m[row]) * gap[row] - (j % m[row]) * other[row])
+            yield np.unique(np.stack([d[mine[row]], item[row], base[row] + step], 1), axis=0)
+            k = stop
 
 
 def matches(col: pa.Array, ix: dict, least: int = LEAST) -> dict[str, np.ndarray]:
     """Best stretch of every pair of text and item that has enough equal words: text, item, n_match, n_span, text_word, item_word."""
     t, h = tokens(col)
-    doc, pairs = t.doc, []
-    for s, at in seeds(h, doc):
-        lo = np.searchsorted(ix["seed"], s, "left")
-        hit = np.flatnonzero((lo < len(ix["seed"])) & (ix["seed"][np.minimum(lo, len(ix["seed"]) - 1)] == s)) if len(ix["seed"]) else np.zeros(0, np.int64)
-        lo, many = lo[hit], np.searchsorted(ix["seed"], s[hit], "right") - lo[hit]
-        place = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        here, there = np.repeat(at[hit], many), ix["at"][place]
-        item = ix["doc"][there]
-        # A diagonal is known by the text's word that the item's first word lies on.
-        pairs.append(np.stack([doc[here], item, here - (there - ix["first"][item])], 1))
-    pairs = np.unique(np.concatenate([*pairs, np.zeros((0, 3), np.int64)]), axis=0)
-    out = []
-    for p in range(0, len(pairs), 4096):
-        d, item, start = pairs[p : p + 4096].T
-        size = ix["first"][item + 1] - ix["first"][item]
-        col_ = np.arange(size.max())[None, :]
-        there, here = ix["first"][item][:, None] + col_, start[:, None] + col_
-        inside = (col_ < size[:, None]) & (here >= t.first[d][:, None]) & (here < t.first[d + 1][:, None])
-        equal = inside & (ix["words"][np.minimum(there, len(ix["words"]) - 1)] == h[np.clip(here, 0, len(h) - 1)])
-        score = np.cumsum(np.where(equal, 1, np.where(inside, -MISS, -(1 << 20))), axis=1)
-        base = np.minimum.accumulate(np.concatenate([np.zeros((len(d), 1), np.int64), score[:, :-1]], 1), axis=1)
-        end = np.argmax(score - base, axis=1)
-        before = np.concatenate([np.zeros((len(d), 1), np.int64), score], 1)
-        masked = np.where(np.arange(before.shape[1])[None, :] <= end[:, None], before, 1 << 40)
-        begin = masked.shape[1] - 1 - np.argmin(masked[:, ::-1], axis=1)
-        sums = np.concatenate([np.zeros((len(d), 1), np.int64), np.cumsum(equal, 1)], 1)
-        row = np.arange(len(d))
+    pairs = np.concatenate([np.zeros((0, 3), np.int64), *_diagonals(t, h, ix)])
+    pairs = np.unique(pairs, axis=0)
+    # Only where both lie is looked at, so a pair costs no more than the shorter of the two.
+    size = ix["first"][pairs[:, 1] + 1] - ix["first"][pairs[:, 1]]
+    low = np.maximum(0, t.first[pairs[:, 0]] - pairs[:, 2])
+    wide = np.minimum(size, t.first[pairs[:, 0] + 1] - pairs[:, 2]) - low
+    order = np.argsort(wide, kind="stable")
+    pairs, size, low, wide = pairs[order], size[order], low[order], wide[order]
+    out, p = [], 0
+    while p < len(pairs):
+        # Rows of like width; the last is the widest.
+        q = min(len(pairs), p + max(1, CELLS // int(wide[min(len(pairs) - 1, p + CELLS // int(wide[p]))])))
+        (d, item, start), w = pairs[p:q].T, int(wide[q - 1])
+        col_ = np.arange(w)[None, :]
+        inside = col_ < wide[p:q, None]
+        there = np.minimum((ix["first"][item] + low[p:q])[:, None] + col_, len(ix["words"]) - 1)
+        here = np.minimum((start + low[p:q])[:, None] + col_, len(h) - 1)
+        equal = inside & (ix["words"][there] == h[here])
+        score = np.zeros((q - p, w + 1), np.int32)
+        np.cumsum(np.where(equal, 1, np.where(inside, -MISS, 0)), axis=1, out=score[:, 1:])
+        base = np.minimum.accumulate(score[:, :-1], axis=1)
+        end = np.argmax(np.where(inside, score[:, 1:] - base, -(1 << 20)), axis=1)
+        masked = np.where(np.arange(w + 1)[None, :] <= end[:, None], score, 1 << 30)
+        begin = w - np.argmin(masked[:, ::-1], axis=1)
+        sums = np.zeros((q - p, w + 1), np.int32)
+        np.cumsum(equal, axis=1, out=sums[:, 1:])
+        row = np.arange(q - p)
         n = sums[row, end + 1] - sums[row, begin]
-        good = n >= np.minimum(least, size)
-        out.append(np.stack([d, item, n, end + 1 - begin, start + begin - t.first[d], begin], 1)[good])
-    rows = np.concatenate([*out, np.zeros((0, 6), np.int64)])
+        good = n >= np.minimum(least, size[p:q])
+        begin_ = begin + low[p:q]
+        out.append(np.stack([d, item, n, end + 1 - begin, start + begin_ - t.first[d], begin_], 1)[good])
+        p = q
+    rows = np.concatenate([np.zeros((0, 6), np.int64), *out])
     rows = rows[np.lexsort((rows[:, 4], -rows[:, 2], rows[:, 1], rows[:, 0]))]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
@@ -105,8 +176,8 @@ def matches(col: pa.Array, ix: dict, least: int = LEAST) -> dict[str, np.ndarray
 def blocks(bench: DataFrame, text: str, key: str, block_words: int):
     """The benchmark's items, in turn, as indexes of at most block_words words (a longer item stands alone)."""
     ids, texts, size = [], [], 0
-    for i, x in bench.select(bench[f"`{key}`"].cast("long"), bench[f"`{text}`"].cast("string")).toLocalIterator():
-        n = len((x or "").split())
+    for i, x in bench.select(bench[f"`{key}`"], bench[f"`{text}`"].cast("string")).toLocalIterator():
+        n = len(tokens(pa.array([x], pa.string()))[0].ws)
         if ids and size + n > block_words:
             yield index(ids, texts)
             ids, texts, size = [], [], 0
@@ -120,29 +191,31 @@ def blocks(bench: DataFrame, text: str, key: str, block_words: int):
 def find(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", bench_text: str = "text", bench_key: str = "item_id", least: int = LEAST, block_words: int = 1_000_000) -> DataFrame:
     """A row for each pair of document and item that share a passage: doc_id, item_id, n_match (equal words), n_span (words of the stretch), doc_word and item_word (where it begins)."""
     spark = docs.sparkSession
-    kit.small_batches(spark)
-    source = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"))
-    schema = "doc_id long, item_id long, n_match long, n_span long, doc_word long, item_word long"
-    out = spark.createDataFrame([], schema)
+    (ddl, arrow), (item_ddl, item_arrow) = kit.id_types(docs, key), kit.id_types(bench, bench_key)
+    source = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"))
+    schema = f"doc_id {ddl}, item_id {item_ddl}, n_match long, n_span long, doc_word long, item_word long"
+    out = None
     for ix in blocks(bench, bench_text, bench_key, block_words):
+        if out is not None:
+            out = kit.stored(out)  # one block at a time in the executors' memory
         sent = spark.sparkContext.broadcast(ix)
 
         def run(batches, sent=sent):
             for batch in batches:
                 for part in kit.slices(batch, "__text"):
                     m = matches(part.column("__text"), sent.value, least)
-                    items = pa.array([sent.value["ids"][i] for i in m["item"].tolist()], pa.int64())
+                    items = pa.array([sent.value["ids"][i] for i in m["item"].tolist()], item_arrow)
                     cols = [part.column("doc_id").take(pa.array(m["text"])), items, *(pa.array(m[c]) for c in ("n_match", "n_span", "text_word", "item_word"))]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_match", "n_span", "doc_word", "item_word"])
 
-        out = out.unionByName(source.mapInArrow(kit.trimmed(run), schema))
-    return out
+        found = source.mapInArrow(kit.trimmed(run), schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", bench_text: str = "text", bench_key: str = "item_id", least: int = LEAST, block_words: int = 1_000_000) -> DataFrame:
     """The rows that share no passage with any item, with their columns; nothing is shuffled."""
     spark = docs.sparkSession
-    kit.small_batches(spark)
     out = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{text}`"].cast("string").alias("__text"))
     for k, ix in enumerate(blocks(bench, bench_text, bench_key, block_words)):
         sent = spark.sparkContext.broadcast(ix)

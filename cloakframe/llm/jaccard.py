@@ -12,7 +12,8 @@ The result has one row per document, with its group (linked texts, directly or
 not) and the number of documents it is linked to; pairs are counted where they
 are compared and never become rows.  Large buckets and families are cut into
 pieces, and every two pieces meet in a task of their own, so no task holds a
-whole one.  With 32 bands of 4 values a pair at exactly 0.8 meets in no bucket
+whole one; in buckets, pieces and a leader of each are joined first, and only
+what is not in the largest component then meets the rest.  With 32 bands of 4 values a pair at exactly 0.8 meets in no bucket
 with probability 5e-8; the tolerance adds less than 1e-7.
 
 Defined cases: a text of one to four words has one shingle of all of them; a
@@ -324,25 +325,67 @@ def _family_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "n": pa.array(n_, pa.int64())})
 
 
+LOT_BYTES = 32 << 20  # of rows that one call works on
+
+
+def _lots(members: DataFrame, group: str, size) -> int:
+    """How many lots hold a group's rows, with all copies that its pieces make; size: bytes of a row."""
+    per = members.groupBy(group).agg(F.count("*").alias("n"), F.sum(size).alias("b")).where("n > 1")
+    total = per.agg(F.sum(F.col("b") * F.ceil(F.col("n") / PIECE))).first()[0] or 0
+    return int(total // LOT_BYTES) + 1
+
+
 def _lot(lots: int, *cols: str):
     return F.pmod(F.xxhash64(*cols), F.lit(lots)).alias("lot")
 
 
+def _piece(cid: str, pieces) -> F.Column:
+    return F.pmod(F.xxhash64(cid, F.lit(7)), pieces).cast("int")
+
+
 def _pieces(members: DataFrame, group: str, cid: str = "cid") -> DataFrame:
     """Rows of groups of two or more, with piece pairs (p, q) and part, the row's own piece.
 
     A group of up to PIECE rows is one piece; a larger one has as many as it needs, and its rows go to each pair that has their piece.
     """
     sizes = members.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1").withColumn("__m", F.ceil(F.col("__n") / PIECE).cast("int"))
-    rows = members.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(cid, F.lit(7)), F.col("__m")).cast("int")).drop("__n")
+    rows = members.join(sizes, group).withColumn("part", _piece(cid, F.col("__m"))).drop("__n")
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
     return rows.withColumn("p", F.least("part", "__o")).withColumn("q", F.greatest("part", "__o")).drop("__m", "__o")
 
 
+def _alone(members: DataFrame) -> DataFrame:
+    """Rows of buckets of two or more, each in its own piece only; and of buckets of several pieces, a leader of each piece once more, in groups of leaders."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").withColumn("__m", F.ceil(F.col("__n") / PIECE).cast("int"))
+    rows = members.join(sizes, "bucket").withColumn("part", _piece("cid", F.col("__m")))
+    leaders = rows.where("__m > 1").groupBy("bucket", "part", "__m").agg(F.min("cid").alias("cid"))
+    leaders = leaders.withColumn("part", -1 - F.pmod(F.xxhash64("cid"), F.ceil(F.col("__m") / PIECE)).cast("int"))
+    rows = rows.select("bucket", "cid", "part").unionByName(leaders.select("bucket", "cid", "part"))
+    return rows.withColumn("p", F.col("part")).withColumn("q", F.col("part"))
+
+
+def _rest(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of buckets of several pieces, the pairs of pieces that must still meet.
+
+    Rows that are in the bucket's largest component so far need not meet one
+    another; the others meet each other and all of those.
+    """
+    big = members.groupBy("bucket").agg(F.count("*").alias("__n")).where(F.col("__n") > PIECE)
+    rows = members.join(big.select("bucket"), "bucket").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"))
+    main = main.select("bucket", F.col("x.comp").alias("__main"), F.ceil(F.col("x.n") / PIECE).cast("int").alias("__m"), F.ceil((F.col("all") - F.col("x.n")) / PIECE).cast("int").alias("__r")).where("__r > 0")
+    rows = rows.join(main, "bucket").withColumn("__in", F.col("comp") == F.col("__main"))
+    inner = rows.where("__in").withColumn("part", -1 - _piece("cid", F.col("__m"))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("__r") - 1)))
+    outer = rows.where("not __in").withColumn("part", _piece("cid", F.col("__r"))).withColumn("q", F.explode(F.sequence(-F.col("__m"), F.col("__r") - 1)))
+    both = inner.unionByName(outer).select("bucket", "cid", "part", F.least("part", "q").alias("p"), F.greatest("part", "q").alias("q"))
+    return both
+
+
 def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, two keys of the shingle set, its size and MinHash values, and a hash of the text, of every row; stored."""
-    kit.small_batches(docs.sparkSession)
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("tkey"))
+    ddl, _ = kit.id_types(docs, key)
+    rows = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("tkey"))
 
     def run(batches):
         for batch in batches:
@@ -357,7 +400,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 cols = [part.column("doc_id"), pa.array(one), pa.array(two), pa.array(n.astype(np.int64)), part.column("tkey"), pa.array([sig[i].tobytes() if n[i] else None for i in range(len(n))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "cid", "cid2", "n", "tkey", "sig"])
 
-    return kit.stored(rows.mapInArrow(kit.trimmed(run), "doc_id long, cid long, cid2 long, n long, tkey long, sig binary"))
+    return kit.stored(rows.mapInArrow(kit.trimmed(run), f"doc_id {ddl}, cid long, cid2 long, n long, tkey long, sig binary"))
 
 
 def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -365,15 +408,27 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = describe(docs, text, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tkey"))
     classes = rows.where("n > 0").groupBy("cid", "cid2").agg(F.count("*").alias("many"), first.alias("rep"), F.first("sig").alias("sig"))
-    classes = kit.stored(classes.select("cid", "many", "rep", "sig"))
+    # A class is known by one number, which must be its own.
+    salt, keyed = 0, kit.stored(classes.withColumnRenamed("cid", "cid1"))
+    while not (classes := keyed.withColumn("cid", F.xxhash64("cid1", "cid2", F.lit(salt)))).groupBy("cid").count().where("count > 1").isEmpty():
+        salt += 1
     # Bands: four 16-bit values each.
     values = F.hex("sig")
     bands = classes.select("cid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(values, b * 4 * ROWS + 1, F.lit(4 * ROWS)))).alias("band", "v"))
     bands = bands.select("cid", F.xxhash64("band", "v").alias("bucket"))
-    meeting = _pieces(bands, "bucket").join(classes.select("cid", "sig"), "cid")
-    lots = classes.count() * BANDS // 100_000 + 1  # buckets are worked on in lots, so that small ones cost little
-    edges = meeting.groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(kit.one(_bucket_edges), "a long, b long")
-    families = kit.stored(components(edges).withColumnRenamed("node", "cid").join(classes, "cid"))
+    signed = classes.select("cid", "sig")
+
+    def edges(meeting: DataFrame, lots: int) -> DataFrame:
+        return meeting.join(signed, "cid").groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(kit.one(_bucket_edges), "a long, b long")
+
+    # Buckets are worked on in lots, so that small ones cost little.
+    lots = classes.count() * BANDS // 100_000 + 1
+    first = edges(_alone(bands), lots)
+    if not bands.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).isEmpty():
+        first = kit.stored(first)
+        rest = kit.stored(_rest(bands, components(first)))
+        first = first.unionByName(edges(rest, rest.count() // 100_000 + 1))
+    families = kit.stored(components(first).withColumnRenamed("node", "cid").join(classes.drop("cid1", "cid2"), "cid"))
 
     def shingled(batches):
         for batch in batches:
@@ -382,19 +437,19 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
                 packed = pa.array([s[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cid", "comp", "many", "sig")), packed], names=["cid", "comp", "many", "sig", "shingles"])
 
-    texts = docs.select(docs[f"`{key}`"].cast("long").alias("__id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
+    texts = docs.select(docs[f"`{key}`"].alias("__id"), docs[f"`{text}`"].cast("string").alias("__text"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
     wanted = families.join(texts, (F.col("rep.tkey") == F.col("__tkey")) & F.col("rep.doc_id").eqNullSafe(F.col("__id")))
     members = wanted.select("cid", "comp", "many", "sig", "__text").mapInArrow(kit.trimmed(shingled), "cid long, comp long, many long, sig binary, shingles binary").dropDuplicates(["cid"])
     members = kit.stored(members)
-    lots = members.count() // 1000 + 1
+    lots = _lots(members, "comp", F.octet_length("shingles") + 300)
     found = kit.stored(_pieces(members, "comp").groupBy(_lot(lots, "comp", "p", "q")).applyInArrow(kit.one(_family_links), "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null")).withColumnRenamed("node", "cid")
     named = groups.join(classes.select("cid", "rep"), "cid")
     named = named.join(named.groupBy("comp").agg(F.min("rep").alias("lead")), "comp").select("cid", "lead").join(links, "cid")
-    info = classes.select("cid", "many", "rep").join(named, "cid", "left")
-    info = kit.stored(info.select("cid", F.coalesce("lead", "rep").alias("lead"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links")))
-    full = rows.where("n > 0").join(info, "cid").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("class_id"), "n_links", F.col("lead.tkey").alias("lead_tkey"))
+    info = classes.select("cid1", "cid2", "cid", "many", "rep").join(named, "cid", "left")
+    info = kit.stored(info.select(F.col("cid1").alias("cid"), "cid2", F.coalesce("lead", "rep").alias("lead"), (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links")))
+    full = rows.where("n > 0").join(info, ["cid", "cid2"]).select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("lead.doc_id").alias("class_id"), "n_links", F.col("lead.tkey").alias("lead_tkey"))
     return full.unionByName(rows.where("n = 0").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("tkey").alias("lead_tkey")))
 
 
@@ -410,7 +465,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """
     stay = _groups(docs, text, key).where("class_id <=> doc_id and tkey = lead_tkey").groupBy("doc_id", "tkey").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
     stay = kit.stored(stay)
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{key}`"].cast("long").alias("__id"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{key}`"].alias("__id"), F.xxhash64(docs[f"`{text}`"].cast("string")).alias("__tkey"))
     kept = packed.join(stay.select("doc_id", "tkey"), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__tkey") == F.col("tkey")), "left_semi")
     again = stay.where("rows > 1 and n > 0")
     if again.isEmpty():

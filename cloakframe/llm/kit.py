@@ -244,6 +244,11 @@ def id_types(docs: DataFrame, key: str) -> tuple[str, pa.DataType]:
     return kind.simpleString(), to_arrow_type(kind)
 
 
+def buckets_of(blocks: int) -> int:
+    """More blocks would make messages between blocks and buckets smaller, so buckets grow with the root of their number."""
+    return min(blocks, max(256, math.isqrt(169 * blocks)))
+
+
 class Dealt:
     """Rows (doc_id, __text) dealt to blocks of about BLOCK_BYTES by a hash of both.
 
@@ -259,8 +264,7 @@ class Dealt:
         same = keyed.groupBy("doc_id", "__tkey").agg(F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("bytes"))
         total, most = same.agg(F.sum("bytes"), F.max("n")).first()
         self.blocks = int((total or 0) // (block_bytes or BLOCK_BYTES)) + 1
-        # More blocks make messages smaller, so buckets grow with the root of their number.
-        self.buckets = min(self.blocks, max(256, math.isqrt(169 * self.blocks)))
+        self.buckets = buckets_of(self.blocks)
         self.parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) >> 26)
         rows = rows.withColumn("__salt", F.lit(0))
         if (most or 0) > COPIES:

@@ -101,21 +101,27 @@ def step(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, below: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> np.ndarray:
+def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, below: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int, parent=None) -> np.ndarray:
     """New numbers of tables of all kinds: c customers, now at t tables of the restaurant's total; below: chance of the kind's parent.
 
+    parent: strength and customers of the parent's restaurant, where a kind's tables are customers: they leave with it, and each that comes makes the next one likelier.
+
     The number with the greatest log weight plus Gumbel noise is a draw from the weights; each is looked at until they have fallen by 30 from their peak.
     """
     out = np.minimum(c, 1)
     live = np.flatnonzero(c > 1)
-    c, key, below, rest = c[live], key[live], below[live], theta + d * (total[live] - t[live])
+    t, parent = t[live], None if parent is None else np.broadcast_to(parent, len(out))[live]
+    c, key, below, rest = c[live], key[live], below[live], theta + d * (total[live] - t)
+    if parent is not None:
+        below, parent = below * parent - t, parent - t
     weight = np.zeros(len(live))
     peak, best, n = weight.copy(), -np.log(-np.log(uniform(key, sweep << 32 | 1))), 1
     while len(live):
         # Few kinds that go on for long are looked at many numbers at once.
         ts = np.arange(n, n + max(1, min(512, 2048 // len(live))))
         with np.errstate(invalid="ignore"):
-            some = np.log(np.maximum((rest[:, None] + d * ts) * below[:, None], 1e-300)) + step(c[:, None], ts, d)
+            chance_ = below[:, None] if parent is None else np.maximum(below[:, None] + ts, 1e-6) / (parent[:, None] + ts)
+            some = np.log(np.maximum((rest[:, None] + d * ts) * chance_, 1e-300)) + step(c[:, None], ts, d)
             some = weight[:, None] + np.cumsum(some, axis=1)
             found = some - np.log(-np.log(uniform(key[:, None], (ts + 1) | sweep << 32)))
         top = np.argmax(found, axis=1)
@@ -126,6 +132,7 @@ def seat(c: np.ndarray, t: np.ndarray, total: np.ndarray, below: np.ndarray, d:
         n = int(ts[-1]) + 1
         go = (weight > peak - 30) & (c > n)
         live, c, key, below, rest, weight, peak, best = (v[go] for v in (live, c, key, below, rest, weight, peak, best))
+        parent = None if parent is None else parent[go]
     return out
 
 
@@ -152,9 +159,10 @@ class Spelling:
             t0 = np.minimum(c0, 1) if sweep == 0 else seat(c0, t0, np.full(256, t0.sum()), np.full(256, 1 / 256), *SPELL[0], low[:256].astype(U), 3 * (seed + sweep))
             p0 = chance(c0, t0, c0.sum(), t0.sum(), 1 / 256, *SPELL[0])
             tables1 = np.bincount(low >> 8, t1, 256)[low >> 8]
-            t1 = seat(c1, np.minimum(t1, c1), tables1, p0[low & 255], *SPELL[1], low.astype(U) + U(1 << 20), 3 * (seed + sweep) + 1)
+            t1 = seat(c1, np.minimum(t1, c1), tables1, p0[low & 255], *SPELL[1], low.astype(U) + U(1 << 20), 3 * (seed + sweep) + 1, SPELL[0][1] + c0.sum())
             p1 = chance(c1, t1, np.bincount(low >> 8, c1, 256)[low >> 8], np.bincount(low >> 8, t1, 256)[low >> 8], p0[low & 255], *SPELL[1])
-            t2 = seat(c2, t2, np.bincount(rest, t2, 1 << 16)[rest], p1[near], *SPELL[2], kinds.astype(U) + U(1 << 30), 3 * (seed + sweep) + 2)
+            parents = SPELL[1][1] + np.bincount(low >> 8, c1, 256)[near >> 8]
+            t2 = seat(c2, t2, np.bincount(rest, t2, 1 << 16)[rest], p1[near], *SPELL[2], kinds.astype(U) + U(1 << 30), 3 * (seed + sweep) + 2, parents)
             if sweep >= BURN:
                 d, theta = SPELL[2]
                 customers = theta + np.bincount(rest, c2, 1 << 16)
@@ -305,7 +313,7 @@ class Pairs:
         out[many] = p[np.searchsorted(second, self.second[many])]
         return out
 
-    def sample(self, below: np.ndarray, frequent: np.ndarray, seed: int):
+    def sample(self, below: np.ndarray, parent: float, frequent: np.ndarray, seed: int):
         """Runs the sweeps; (averaged customers less discounts, customers and averaged tables of each restaurant, last tables).
 
         frequent: tables of the restaurants of frequent words in all buckets, at the start.
@@ -317,7 +325,7 @@ class Pairs:
         others = np.concatenate([np.zeros(self.own), frequent]) - np.where(np.arange(size) < self.own, 0, start)
         own, total = np.zeros(len(t)), np.zeros(size)
         for sweep in range(BURN + SAMPLES):
-            t = seat(self.n, t, (others + tables)[self.rest], below, d, theta, self.key, (seed << 8) + sweep)
+            t = seat(self.n, t, (others + tables)[self.rest], below, d, theta, self.key, (seed << 8) + sweep, parent)
             tables = np.bincount(self.rest, t, size)
             if sweep >= BURN:
                 own += (self.n - d * t) / SAMPLES
@@ -378,14 +386,14 @@ def _first(words: pa.Table, asked: pa.Table, spelling: Spelling, kinds: int, kno
     return _rows(out, NOTE)
 
 
-def _sampled(types: pa.Table, told: pa.Table, frequent: np.ndarray, buckets: int, seed: int) -> pa.Table:
+def _sampled(types: pa.Table, told: pa.Table, kinds: int, frequent: np.ndarray, buckets: int, seed: int) -> pa.Table:
     """Runs the sweeps of a bucket's pairs; answers to the blocks, last tables to the buckets of words, totals of frequent words."""
     if not types.num_rows:
         return NOTE.empty_table()
     row = types.to_pylist()[0]
     pairs = Pairs(row)
     below = pairs.below([(told["sender"][i].as_py(), told["a"][i].as_py()) for i in range(told.num_rows)], buckets)
-    own, customers, total, t = pairs.sample(below, frequent, seed)
+    own, customers, total, t = pairs.sample(below, WORD[1] + kinds, frequent, seed)
     out = [(b, FOR_WORDS, row["bucket"], w, n, None, None, None) for b, w, n, _ in pairs.message(t, buckets, False)]
     for block, pm, ph in zip(row["blocks"], row["pm"], row["ph"]):
         at, hot = (np.cumsum(kit.unsqueeze(x, np.uint32), dtype=np.int64) for x in (pm, ph))
@@ -538,7 +546,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
     asks = types.select("bucket", "m", "n", "hm", "hn").mapInArrow(kit.trimmed(lambda b: _each(b, lambda x: _requests(x, buckets), NOTE)), NOTE_DDL)
     told = words.groupBy("bucket").cogroup(dealt.by(asks, "target")).applyInArrow(kit.two(lambda a, b: _first(a, b, spelling.value, kinds, known, seed + 1)), NOTE_DDL)
     pairs = types.select("bucket", "m", "n", "hm", "hn", "blocks", "pm", "ph")
-    run = kit.stored(pairs.groupBy("bucket").cogroup(dealt.by(told, "target")).applyInArrow(kit.two(lambda a, b: _sampled(a, b, frequent, buckets, seed + 2)), NOTE_DDL))
+    run = kit.stored(pairs.groupBy("bucket").cogroup(dealt.by(told, "target")).applyInArrow(kit.two(lambda a, b: _sampled(a, b, kinds, frequent, buckets, seed + 2)), NOTE_DDL))
     whole = totals(run.where(F.col("step") == TOTALS), "totals") if len(hot) else np.zeros((2, 0))
     words = types.select("bucket", "w", "c", "sizes", "data", "blocks", "pw")
     seated = words.groupBy("bucket").cogroup(dealt.by(run.where(F.col("step") == FOR_WORDS), "target")).applyInArrow(kit.two(lambda a, b: _seated(a, b, spelling.value, known, seed + 3)), SEATED_DDL)

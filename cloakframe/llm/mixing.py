@@ -28,31 +28,40 @@ def subset(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     """How many of each length sum to the reachable value nearest to the goal (the lower of two).
 
     Bounded knapsack: counts are split in powers of two, reachable sums are the
-    bits of an integer, and the choice is traced back through the stages.
+    bits of an integer, and each sum keeps the stage that reached it first, by
+    which the choice is traced back: the memory is that of one array of sums.
+    All is divided by the lengths' common divisor first.
     """
     take = np.zeros(len(lengths), np.int64)
-    reach, stages, over = 1, [], int(lengths.max(initial=0))
-    limit = (1 << (goal + over + 1)) - 1
-    for i in np.argsort(-lengths, kind="stable"):
-        size, left, k = int(lengths[i]), int(min(counts[i], (goal + over) // max(1, lengths[i]))), 1
-        while left > 0 and size > 0:
+    some = np.flatnonzero((lengths > 0) & (counts > 0))
+    if not len(some) or goal <= 0:
+        return take
+    unit = int(np.gcd.reduce(lengths[some]))
+    size_of, whole = lengths[some] // unit, goal / unit
+    goal, over = goal // unit, int(size_of.max())
+    best = goal if whole - goal <= 0.5 else goal + 1
+    room = goal + over + 1
+    reach, limit, stages, first = 1, (1 << room) - 1, [], np.full(room, -1, np.int32)
+    for i in np.argsort(-size_of, kind="stable"):
+        size, left, k = int(size_of[i]), int(min(counts[some[i]], room // size_of[i])), 1
+        while left > 0:
             m = min(k, left)
-            stages.append((int(i), m, reach))
-            reach |= (reach << (m * size)) & limit
+            new = reach << (m * size) & limit & ~reach
+            if not new:
+                break  # what this length adds is there already
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8), count=room, bitorder="little")
+            first[bits.astype(bool)] = len(stages)
+            stages.append((int(some[i]), m, m * size))
+            reach |= new
             left, k = left - m, 2 * k
-        if reach >> goal & 1:
+        if reach >> best & 1:
             break
-    low = goal
-    if not reach >> goal & 1:
-        low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-        above = reach >> goal
-        high = goal + (above & -above).bit_length() - 1 if above else None
-        if high is not None and high - goal < goal - low:
-            low = high
-    for i, m, before in reversed(stages):
-        if not before >> low & 1:
-            take[i] += m
-            low -= m * int(lengths[i])
+    at = np.append(0, np.flatnonzero(first >= 0))
+    low = int(at[np.argmin(np.abs(at - whole))])  # the lower of two that are as near
+    while low:
+        i, m, size = stages[first[low]]
+        take[i] += m
+        low -= size
     return take
 
 
@@ -150,7 +159,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"), docs[f"`{key}`"].alias("__k"), docs[f"`{source}`"].cast("string").alias("__s"), size.alias("__z"))
     both = whole.join(decided, F.col("__k").eqNullSafe(F.col("doc_id")) & F.col("__s").eqNullSafe(F.col("source")) & (F.col("__z") == F.col("size")))
     unique = both.where("n = 1").select("__row", "times")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("__row")))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.to_json("__row"))))
     shared = both.where("n > 1").withColumn("__i", rank - 1).withColumn("each", F.floor(F.col("times") / F.col("n")))
     shared = shared.select("__row", (F.col("each") + F.when(F.col("__i") < F.col("times") - F.col("each") * F.col("n"), 1).otherwise(0)).alias("times"))
     return unique.unionByName(shared).where("times > 0").withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("__row.*")

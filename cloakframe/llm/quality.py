@@ -99,7 +99,6 @@ def measure(col: pa.Array, bands: Bands, min_words: int, repeat_percent: int) ->
 
 def judge(docs: DataFrame, text: str = "text", bands: Bands = Bands(), min_words: int = 20, repeat_percent: int = 30, keep_columns: list[str] | None = None) -> DataFrame:
     """The columns asked for (default: all), then STATS, base_failed, ratio, bad_chunks and kept for every row."""
-    kit.small_batches(docs.sparkSession)
     results = [*((c, T.LongType()) for c in STATS), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()), ("bad_chunks", T.DoubleType()), ("kept", T.BooleanType())]
     names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in dict(results)]
     source = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text}`"].cast("string").alias("__text"))

@@ -228,16 +228,19 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
     gather in one task.  Shards hold about shard_ids ids each.
     """
     spark = docs.sparkSession
-    kit.small_batches(spark)
+    ddl, arrow = kit.id_types(docs, key)
     vocabulary = max(encoder(path).size, end_id + 1)
     small = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
     tie = F.xxhash64("__key", "__text")
-    source = docs.select(docs[f"`{key}`"].cast("long").alias("__key"), docs[f"`{text}`"].cast("string").alias("__text"))
+    source = docs.select(docs[f"`{key}`"].alias("__key"), docs[f"`{text}`"].cast("string").alias("__text"))
     # Ranges are cut at some 64 keys for each, from a hash sample, so that texts are encoded once; every row is dealt by the cuts.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = max(1, docs.count() // (64 * parts))
-    sample = sorted((k is not None, k or 0, h) for k, h in source.select("__key", tie).where(F.pmod(tie, F.lit(every)) == 0).collect())
+    # Equal rows have one hash, so they come as one row and its number; one that is hot stands for as many cuts as it needs, all of the same place.
+    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("__text"))).first()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) >> 26)
+    every = max(1, rows // (64 * parts))
+    some = source.select("__key", tie.alias("h")).where(F.pmod("h", F.lit(every)) == 0).groupBy("__key", "h").agg(F.count("*").alias("n"))
+    sample = sorted((k is not None, k, h) for k, h, n in some.collect() for _ in range(max(1, min(n, 64 * parts * n // max(1, rows)))))
     cuts = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     def encoded(batches):
@@ -245,10 +248,10 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
             for part in kit.slices(batch, "__text", 2 << 20):
                 ids, b = encode(part.column("__text"), path, end_id)
                 ids = ids.astype(small)
-                where = [bisect_right(cuts, (k is not None, k or 0, h)) for k, h in zip(part.column("__key").to_pylist(), part.column("__tie").to_pylist())]
+                where = [bisect_right(cuts, (k is not None, k, h)) for k, h in zip(part.column("__key").to_pylist(), part.column("__tie").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__tie"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary()), pa.array(where, pa.int32())], names=["__key", "__tie", "__ids", "__part"])
 
-    rows = source.withColumn("__tie", tie).mapInArrow(kit.trimmed(encoded), "__key long, __tie long, __ids binary, __part int")
+    rows = source.withColumn("__tie", tie).mapInArrow(kit.trimmed(encoded), f"__key {ddl}, __tie long, __ids binary, __part int")
     rows = rows.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions(F.col("__key").asc_nulls_first(), "__tie").select("__key", "__ids", F.col("__part").cast("long"))
 
     def shards(batches):
@@ -258,7 +261,7 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
             ids = [np.frombuffer(x, small) for _, x in held]
             bounds = np.cumsum([0, *map(len, ids)])
             data = pack(np.concatenate(ids), bounds, vocabulary, block)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([int(bounds[-1])], pa.int64()), pa.array([[k for k, _ in held]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["part", "shard", "before", "n_ids", "doc_ids", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([before], pa.int64()), pa.array([int(bounds[-1])], pa.int64()), pa.array([[k for k, _ in held]], pa.list_(arrow)), pa.array([data], pa.binary())], names=["part", "shard", "before", "n_ids", "doc_ids", "file"])
 
         for batch in batches:
             for k, x, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -271,7 +274,7 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
         if held:
             yield out()
 
-    files = rows.mapInArrow(kit.trimmed(shards), "part long, shard long, before long, n_ids long, doc_ids array<long>, file binary")
+    files = rows.mapInArrow(kit.trimmed(shards), f"part long, shard long, before long, n_ids long, doc_ids array<{ddl}>, file binary")
     return kit.stored(files, where)
 
 
@@ -281,15 +284,20 @@ def read(files: DataFrame) -> DataFrame:
     totals = sorted((r.part, int(r.n)) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     base = dict(zip((p for p, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist()))
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = files.schema["doc_ids"].dataType.elementType
+    arrow = to_arrow_type(kind)
+
     def unpacked(batches):
         for batch in batches:
             for part, before, keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 r = Reader(data.as_buffer())
                 ids, b = r.ids(0, r.n).astype("<u4"), r.bounds
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(b[:-1].tolist(), b[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(base[part] + before + b[:-1]), pa.array(np.diff(b)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(base[part] + before + b[:-1]), pa.array(np.diff(b)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("part", "before", "doc_ids", "file").mapInArrow(kit.trimmed(unpacked), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("part", "before", "doc_ids", "file").mapInArrow(kit.trimmed(unpacked), f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def export(files: DataFrame, folder: str) -> list[str]:

@@ -73,33 +73,48 @@ def _fitting(rules: dict, path: str):
     return []
 
 
+def native(url: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """(host, path, turned host) of a url."""
+    host, path = (F.coalesce(F.regexp_extract(url, _URL.pattern, k), F.lit("")) for k in (1, 2))
+    host = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = F.when(host != "", F.concat(F.concat_ws("\x01", F.reverse(F.split(host, "\\."))), F.lit("\x01"))).otherwise("")
+    return host, path, key
+
+
+def _range(cuts: list[str], place: F.Column) -> F.Column:
+    """How many of the sorted cuts are not above the place; a binary search."""
+    if not cuts:
+        return F.lit(0)
+    every = F.array(*map(F.lit, cuts))
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.element_at(every, mid + 1) <= place
+        go = acc["lo"] < acc["hi"]
+        return F.struct(F.when(go & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(go & ~below, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda acc: acc["lo"])
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", key: str = "page_id", ranges: int | None = None) -> DataFrame:
-    """key, host, path, rule, verdict of every row. rules: host, path, verdict (a host without dots at its ends, lower case)."""
+    """key, host, path, rule, verdict of every row. rules: host, path, verdict (a host without dots at its ends, lower case).
+
+    All but the sweep is native.
+    """
     spark = pages.sparkSession
-    kit.small_batches(spark, 5000)
     kind = pages.schema[key].dataType
-    ranges = ranges or max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def keyed(batches):
-        for batch in batches:
-            hp = [split(u) for u in batch.column("__url").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([turned(h) for h, _ in hp], pa.string()), pa.array([h for h, _ in hp], pa.string()), pa.array([p for _, p in hp], pa.string())], names=["__id", "k", "host", "path"])
-
+    host, path, turned_host = native(F.col("__url"))
     source = pages.select(pages[f"`{key}`"].alias("__id"), pages[f"`{url}`"].cast("string").alias("__url"))
-    schema = T.StructType([T.StructField("__id", kind), *(T.StructField(c, T.StringType()) for c in ("k", "host", "path"))])
-    urls = source.mapInArrow(kit.trimmed(keyed), schema).withColumn("salt", F.hex(F.xxhash64("__id")))
-    place = lambda d: F.concat(d["k"], F.lit("\x00"), d["path"], F.lit("\x00"), d["salt"])
-    # About 64 keys for each cut, whatever the number of rows; they bound the ranges only.
-    rows = pages.count()
+    urls = source.select("__id", turned_host.alias("k"), host.alias("host"), path.alias("path"))
+    place = F.concat("k", F.lit("\x00"), "path", F.lit("\x00"), F.hex(F.xxhash64("__id")))
+    # About 64 keys for each cut, whatever the number of rows; equal rows come once, with their number. They bound the ranges only.
+    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("__url"))).first()
+    ranges = ranges or max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) >> 25)
     every = max(1, rows // (64 * ranges))
-    some = pages.where(F.pmod(F.xxhash64(pages[f"`{key}`"], pages[f"`{url}`"].cast("string")), F.lit(every)) == 0)
-    some = some.select(some[f"`{key}`"].alias("__id"), some[f"`{url}`"].cast("string").alias("__url")).mapInArrow(kit.trimmed(keyed), schema).withColumn("salt", F.hex(F.xxhash64("__id")))
-    sample = sorted((r[0] for r in some.select(place(some)).collect()), key=lambda s: s.encode())
-    cuts = [sample[i * len(sample) // ranges].encode() for i in range(1, ranges)] if sample else []
-
-    @F.pandas_udf("int")
-    def range_of(s):
-        return s.map(lambda x: bisect_right(cuts, x.encode()))
+    some = urls.select(place.alias("x"), F.xxhash64("__id", "k", "path").alias("h")).where(F.pmod("h", F.lit(every)) == 0).groupBy("x").agg(F.count("*").alias("n"))
+    sample = sorted((x.encode() for x, n in some.collect() for _ in range(max(1, min(n, 64 * ranges * n // max(1, rows))))))
+    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     def spread(batches):
         """Every rule, once for each range that its interval meets."""
@@ -115,7 +130,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     null = lambda t: F.lit(None).cast(t)
     ruled = rules.select(*(rules[f"`{c}`"].cast("string").alias(c) for c in ("host", "path", "verdict"))).dropDuplicates(["host", "path"])
     ruled = ruled.mapInArrow(kit.trimmed(spread), "range int, k string, path string, rule string, verdict string").select("range", "k", F.lit(0).alias("kind"), "path", null(kind).alias("__id"), null("string").alias("host"), "rule", "verdict")
-    events = urls.select(range_of(place(urls)).alias("range"), "k", F.lit(1).alias("kind"), "path", "__id", "host", null("string").alias("rule"), null("string").alias("verdict")).unionByName(ruled)
+    events = urls.select(_range([c.decode() for c in cuts], place).cast("int").alias("range"), "k", F.lit(1).alias("kind"), "path", "__id", "host", null("string").alias("rule"), null("string").alias("verdict")).unionByName(ruled)
     # Order within a range: by key, rules before urls; a rule of a range comes before all keys it covers.
     events = events.repartition(ranges, "range").sortWithinPartitions("range", "k", "kind", "path")
 
