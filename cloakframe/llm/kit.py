@@ -246,7 +246,7 @@ def id_types(docs: DataFrame, key: str) -> tuple[str, pa.DataType]:
 
 def buckets_of(blocks: int) -> int:
     """More blocks would make messages between blocks and buckets smaller, so buckets grow with the root of their number."""
-    return min(blocks, max(256, math.isqrt(169 * blocks)))
+    return min(blocks, max(256, math.isqrt(64 * blocks)))
 
 
 class Dealt:

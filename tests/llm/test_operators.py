@@ -382,10 +382,10 @@ def test_decontamination(spark, none):
     changed = " ".join(x if i not in (7, 15) else "changed" for i, x in enumerate(w))
     made = [(1, prose(rng, 100)), (2, prose(rng, 30) + " " + items[2][1].upper() + ". " + prose(rng, 9)), (3, changed + " " + prose(rng, 40)), (4, " ".join(w[:8])), (5, None), (None, items[0][1]), (7, items[1][1]), (7, items[1][1]), (8, "one two")]
     docs, bench = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    expected = Counter([(2, 2), (3, 3), (None, 0), (7, 1), (7, 1)])
+    expected = Counter([(2, 2), (3, 3), (None, 0), (7, 1), (7, 1), (8, 90)])
     for size in (1_000_000, 25):
         assert Counter((r.doc_id, r.item_id) for r in decontam.find(docs, bench, block_words=size).collect()) == expected
-        assert sorted(str(r.doc_id) for r in decontam.clean(docs, bench, block_words=size).collect()) == ["1", "4", "5", "8"]
+        assert sorted(str(r.doc_id) for r in decontam.clean(docs, bench, block_words=size).collect()) == ["1", "4", "5"]
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find(docs, nothing).count() == 0 and decontam.clean(docs, nothing).count() == len(made)
     assert decontam.clean(none, bench).count() == decontam.find(none, bench).count() == 0
@@ -451,40 +451,99 @@ def test_lm(spark, docs, rows, none, sf):
     assert all(r.score < 0 and np.isfinite(r.score) for r in got)
     assert lm.score(none).count() == 0
     only = spark.createDataFrame([(i, "ab") for i in range(100) if held(i)], "doc_id long, text string")
-    assert {(r.train_tokens, round(r.score, 6)) for r in lm.score(only).collect()} == {(0, round(4 * np.log10(1 / 256), 6))}
+    # Two bytes and the end of the word, then the end of the text, each of probability 1/256.
+    assert {(r.train_tokens, round(r.score, 5)) for r in lm.score(only).collect()} == {(0, round(4 * np.log10(1 / 256), 5))}
     again = lm.score(docs).collect()
     key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6))
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
-def test_lm_predicts_held_out_text(spark):
-    """With enough text, held-out text is less surprising than under word counts alone; and the same in any number of blocks."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000")
-    rows = lm.score(docs).where("held_out and n_tokens > 1").collect()
-    score, base, n = (sum(r[c] for r in rows) for c in ("score", "base_score", "n_tokens"))
-    assert score > base
-    parts = lm.BLOCK_BYTES
-    lm.BLOCK_BYTES = 1_000_000
-    split = lm.score(docs).where("held_out and n_tokens > 1").collect()
-    lm.BLOCK_BYTES = parts
-    assert sum(r.base_score for r in split) == pytest.approx(base) and sum(r.score for r in split) == pytest.approx(score, rel=0.01)
-
-
-def test_restaurants():
-    rng = np.random.default_rng(1)
-    m = np.unique(rng.integers(0, 1 << 30, 3000, dtype=np.uint64) << np.uint64(34) >> np.uint64(16) << np.uint64(16))
-    n = rng.integers(0, 40, len(m))
-    base = np.full(1 << 16, 1 / 256)
-    tree, low = lm._forest(m, n, base, 0, 0)
-    for _ in range(3):
-        tree.sweep(low)
-    for k, level in enumerate(tree.levels):
-        assert (np.bincount(level.kind, level.size, len(level.c)) == level.c).all() and (level.size > 0).all()
-        assert ((level.t > 0) == (level.c > 0)).all()
-        if k + 1 < len(tree.levels):
-            nxt = tree.levels[k + 1]
-            assert (np.bincount(level.parent, level.t, len(nxt.c)) == nxt.c).all()
-    assert (tree.levels[0].c == np.bincount(tree.entry, n)).all()
-    # The root's predictions for every byte after every byte sum to one.
-    for p in lm.roots(rng.integers(0, 5, 1 << 16), 3, 2):
-        assert np.allclose(p.reshape(256, 256).sum(1), 1)
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_lm_predicts_held_out_text(spark, monkeypatch, table):
+    """Held-out text is less surprising than under word counts alone, on little text too; the same in any number of blocks, and nearly so with frequent words spread."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    rows = {r.doc_id: r for r in lm.score(docs).collect()}
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    if table == "sf0.01":
+        monkeypatch.setattr(kit, "BLOCK_BYTES", 100_000)
+        split = lm.score(docs).collect()
+        assert all(abs(r.score - rows[r.doc_id].score) < 1e-4 for r in split)
+        spread = lm.score(docs, hot_from=500).where("held_out").collect()
+        assert sum(r.score for r in spread) == pytest.approx(sum(r.score for r in held), rel=0.005)
+
+
+def test_seating_is_drawn_from_the_restaurant_process():
+    """Numbers of tables against all seatings of a few customers, counted one by one."""
+    for c, d, p, others in ((2, 0.75, 0.2, 3.0), (7, 0.5, 0.02, 40.0), (11, 0.75, 0.3, 5.0)):
+        weight = {1: (1 + d * others) * p}
+        for n in range(1, c):  # customer n + 1 takes a seat at a table, or a new one
+            new = Counter()
+            for t, w in weight.items():
+                new[t] += w * (n - d * t)
+                new[t + 1] += w * (1 + d * (others + t)) * p
+            weight = new
+        draws = 100_000
+        got = lm.seat(np.full(draws, c), np.ones(draws, np.int64), np.full(draws, others + 1), np.full(draws, p), d, 1.0, np.arange(draws, dtype=np.uint64), 5)
+        share = np.bincount(got, minlength=c + 1)[1:] / draws
+        assert np.allclose(share, [weight[t] / sum(weight.values()) for t in range(1, c + 1)], atol=0.006)
+    # The law for many customers goes on where the table ends.
+    t = np.array([1, 5, 40, 200])
+    near, far = lm.step(np.full(4, lm.TOP), t, 0.75), lm.step(np.full(4, lm.TOP + 1), t, 0.75)
+    assert np.allclose(near, far, atol=0.02)
+
+
+def test_lm_against_a_plain_sampler(spark):
+    """On a small table the probabilities are those of a model whose customers move one at a time."""
+    rng, gen = random.Random(4), random.Random(1)
+    made = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(3, 12)))) for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    (d1, s1), (d0, s0) = lm.PAIR, lm.WORD
+    names = ["", "aa", "bb", "cc", "dd"]  # the end is spelt as nothing
+    pairs = {i: [*zip(["", *t.split()], [*t.split(), ""])] for i, t in made}
+    spelt = [lm.letters(np.array([len(w)]), np.frombuffer(w.encode(), np.uint8))[0] for w in names]
+    kinds, n = np.unique(np.concatenate(spelt), return_counts=True)
+    spelling = lm.Spelling(kinds, n, 0)
+    base = {w: 10 ** spelling.log10(k).sum() for w, k in zip(names, spelt)}
+    low, up = {w: [] for w in names}, {u: {w: [] for w in names} for u in names}  # sizes of tables
+    tables = lambda x: sum(map(len, x.values()))
+    customers = lambda x: sum(map(sum, x.values()))
+
+    def p0(w):
+        return (sum(low[w]) - d0 * len(low[w]) + (s0 + d0 * tables(low)) * base[w]) / (s0 + customers(low))
+
+    def sit(sizes, d, fresh):
+        """Whether the customer opens a table."""
+        k = gen.choices(range(len(sizes) + 1), [x - d for x in sizes] + [fresh])[0]
+        if k < len(sizes):
+            sizes[k] += 1
+        else:
+            sizes.append(1)
+        return sizes[k] == 1
+
+    def leave(sizes):
+        k = gen.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        return not sizes[k] and not sizes.pop(k)
+
+    def come(u, w):
+        if sit(up[u][w], d1, (s1 + d1 * tables(up[u])) * p0(w)):
+            sit(low[w], d0, (s0 + d0 * tables(low)) * base[w])
+
+    seen = [p for i, x in pairs.items() if not held(i) for p in x]
+    for p in seen:
+        come(*p)
+    sums = Counter()
+    for sweep in range(250):
+        for u, w in seen:
+            if leave(up[u][w]):
+                leave(low[w])
+            come(u, w)
+        if sweep >= 50:
+            for u in names:
+                for w in names:
+                    sums[u, w] += (sum(up[u][w]) - d1 * len(up[u][w]) + (s1 + d1 * tables(up[u])) * p0(w)) / (s1 + customers(up[u])) / 200
+    plain = {i: sum(np.log10(sums[p]) for p in x) for i, x in pairs.items()}
+    assert all(abs(got[i] - plain[i]) < 0.08 * len(x) for i, x in pairs.items())
+    assert sum(got.values()) == pytest.approx(sum(plain.values()), rel=0.005)
