@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--text")
     a.add_argument("--manifest")
     a.add_argument("--style", action="store_true")
+    a.add_argument("--author", help="column; values that an author repeats are masked wherever they stand")
     a = sub.add_parser("profile")
     a.add_argument("source")
     a = sub.add_parser("validate")
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     x = p.parse_args(argv)
     spark = session.build()
     if x.command == "protect":
-        print(json.dumps(protect.run(spark, x.source, x.target, x.text, x.manifest, x.style)))
+        print(json.dumps(protect.run(spark, x.source, x.target, x.text, x.manifest, x.style, x.author)))
     elif x.command == "profile":
         df = files.read_csv(spark, x.source)
         for r in profile.columns(df, [c for c in df.columns if c != "row_index"]).collect():

@@ -44,10 +44,16 @@ def phrase_count(text: Column, phrase: str) -> Column:
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(rf"(?<![A-Za-z0-9_]){re.escape(phrase)}(?![A-Za-z0-9_])")), F.lit(0))
 
 
-def cue_count(text: Column, cues: dict = R.CUES) -> Column:
-    """Sum over all cue terms; terms inside others count by themselves."""
-    terms = [t for section in cues.values() for t in section]
-    return sum((phrase_count(text, t) for t in terms), F.lit(0))
+def cue_count(text: Column, terms=R.CUES["utility"]) -> Column:
+    """Sum over all cue terms; terms inside others count by themselves.
+
+    Terms that cannot overlap are counted in one pass: all single words, and longer ones unless one ends with a word that another begins with.
+    """
+    words = [t for t in terms if " " not in t]
+    rest = [t for t in terms if " " in t]
+    first, last = {t.split()[0] for t in rest}, {t.split()[-1] for t in rest}
+    passes = [words, *([rest] if not first & last and len(first) == len(rest) else [[t] for t in rest])]
+    return sum((F.coalesce(F.regexp_count(F.lower(text), F.lit(rf"(?<![A-Za-z0-9_])(?:{'|'.join(map(re.escape, p))})(?![A-Za-z0-9_])")), F.lit(0)) for p in passes if p), F.lit(0))
 
 
 def counts_for_terms(text: Column, terms) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions.text import safe_ratio
+from cloakframe.operators import ranking
 
 
 def confusion(gold: Column, predicted: Column) -> list[Column]:
@@ -38,9 +39,7 @@ def threshold_sweep(df: DataFrame, gold: Column, score: str) -> DataFrame:
     Rows are counted per score first, so the running sums see distinct scores only.
     """
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(gold, 1).otherwise(0)).alias("pos"), F.sum(F.when(gold, 0).otherwise(1)).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = counts.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    run = ranking.running_sums(counts, "threshold", ["pos", "neg"], descending=True).select("threshold", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
     return rates(run.select("threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn")))
 
 

@@ -17,10 +17,12 @@ NEVER = tuple(sorted({w for terms in (*R.TARGETS.values(), *R.CUES.values()) for
 def choose(docs: DataFrame, key: str, author: str, text: str, per_row: int = 2, length: int = 7, count: int = 2, share: float = 0.75, impact: float = 0.003) -> DataFrame:
     """key, token, concentration: up to per_row tokens of each row that are long, repeated by one author mostly, and without effect on the score."""
     marks = signals.concentration(docs, author, text, count).where((F.length("token") >= length) & (F.col("concentration") >= share) & ~F.col("token").isin(*NEVER))
-    rows = docs.select(F.col(key).alias("key"), F.col(author).alias("who"), F.explode(T.token_set(F.col(text))).alias("token"))
-    hits = rows.join(marks.select("token", "author", "concentration"), "token").where(F.col("author") == F.col("who"))
-    important = signals.token_importance(docs, key, text).where(F.col("abs_delta") > impact).select("key", "token").distinct()
-    free = hits.join(important, ["key", "token"], "left_anti")
+    # What matters to the score is left out in the row, before anything is exploded.
+    rows = signals.with_effects(docs.select(F.col(key).alias("key"), F.col(author).alias("who"), F.col(text).alias("__x")), "__x")
+    matters = F.transform(F.filter("effects", lambda x: F.abs(x["delta"]) > impact), lambda x: x["token"])
+    own = F.filter(F.array_except("__t", matters), lambda x: F.length(x) >= length)
+    rows = rows.select("key", "who", F.explode(own).alias("token"))
+    free = rows.join(marks.select("token", "author", "concentration"), "token").where(F.col("author") == F.col("who"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("concentration"), "token"))
     return free.withColumn("rank", rank).where(F.col("rank") <= per_row).select("key", "token", "concentration", "rank")
 

@@ -13,7 +13,7 @@ from cloakframe.spans import measure as M
 from cloakframe.spans import style as S
 
 
-def gate(original: Column, restated: Column, least: float = 0.35, most: float = 1.8, similarity: float = 0.5) -> list[Column]:
+def gate(original: Column, restated: Column, least: float = 0.35, most: float = 1.8, similarity: float = 0.82) -> list[Column]:
     """length_ratio, similarity (token sets), ok: whether a restatement is of the right length and near enough."""
     ratio = T.safe_ratio(F.length(restated), F.length(original), 1.0)
     near = T.jaccard(T.token_set(original), T.token_set(restated))
@@ -34,8 +34,7 @@ def templated(rows: DataFrame, key: str, positive: Column, templates: list[str],
 
 def evidence_rewrite(docs: DataFrame, key: str, text: str, baseline: Column, threshold: float = 0.5) -> DataFrame:
     """key, rewritten, predicted: positives become their evidence phrase with a full stop, negatives the baseline."""
-    phrases = signals.evidence(signals.token_importance(docs, key, text)).withColumnRenamed("key", "__k")
-    j = docs.join(phrases, F.col(key) == F.col("__k"), "left")
+    j = signals.with_evidence(docs, text)
     positive = T.keyword_score(F.col(text)) >= threshold
     return j.select(key, F.when(positive & F.col("phrase").isNotNull(), F.concat("phrase", F.lit("."))).otherwise(baseline).alias("rewritten"), positive.alias("predicted"))
 

@@ -6,30 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
+from cloakframe.operators import signals
 
 
-def drift(before: Column, after: Column, positive: Column, terms: list[str]) -> list[Column]:
-    """deviation_score, deviation_risk, lost: how much of what a row says was lost.
+def drift(rows: DataFrame, before: Column, after: Column, positive: Column, terms: list[str], keep: list[str]) -> DataFrame:
+    """keep, deviation_score, deviation_risk, lost_terms: how much of what a row says was lost.
 
     Each lost term counts 3 in positive rows and 1 in others, a fallen cue count 2 or 1, a halved length 2.
+    Both texts, their normal forms and their cues are made once, each in a projection of its own.
     """
-    lost = F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: T.contains_phrase(before, t) & ~T.contains_phrase(after, t))
-    cues = T.cue_count(before) > T.cue_count(after)
-    score = F.size(lost) * F.when(positive, 3).otherwise(1) + F.when(cues, F.when(positive, 2).otherwise(1)).otherwise(0) + F.when(F.length(after) * 2 < F.length(before), 2).otherwise(0)
-    risk = F.when(score >= 5, "high").when(score >= 3, "medium").when(score >= 1, "low").otherwise("none")
-    return [score.cast("int").alias("deviation_score"), risk.alias("deviation_risk"), F.array_join(lost, "|").alias("lost_terms")]
-
-
-def token_highlights(importance: DataFrame, k: int = 5) -> DataFrame:
-    """The k tokens of each row with the greatest effect; equal ones by token, descending (a top-k report)."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("abs_delta"), F.desc("token"), "token_index"))
-    return importance.where(F.col("abs_delta") > 0).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def cases(rows: DataFrame, audit: DataFrame, highlights: DataFrame, key: str) -> DataFrame:
-    """Rows with their audit and their highlighted tokens; rows without either stay."""
-    tokens = highlights.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), "|").alias("highlights")).withColumnRenamed("key", "__t")
-    return rows.join(audit.withColumnRenamed(key, "__a"), F.col(key) == F.col("__a"), "left").join(tokens, F.col(key) == F.col("__t"), "left").drop("__a", "__t")
+    padded = lambda c: F.concat(F.lit(" "), T.normalize_text(c), F.lit(" "))
+    rows = rows.select(*keep, positive.alias("__p"), before.alias("__b"), after.alias("__a"))
+    rows = rows.select(*keep, "__p", F.length("__b").alias("__nb"), F.length("__a").alias("__na"), padded(F.col("__b")).alias("__fb"), padded(F.col("__a")).alias("__fa"), (T.cue_count(F.col("__b")) > T.cue_count(F.col("__a"))).alias("__cues"))
+    lost = F.array_compact(F.array(*(F.when(F.contains("__fb", F.lit(f" {t} ")) & ~F.contains("__fa", F.lit(f" {t} ")), F.lit(t)) for t in terms)))
+    rows = rows.select(*keep, "__p", "__nb", "__na", "__cues", lost.alias("__lost"))
+    positive = F.col("__p")
+    score = F.size("__lost") * F.when(positive, 3).otherwise(1) + F.when(F.col("__cues"), F.when(positive, 2).otherwise(1)).otherwise(0) + F.when(F.col("__na") * 2 < F.col("__nb"), 2).otherwise(0)
+    rows = rows.select(*keep, score.cast("int").alias("deviation_score"), F.array_join("__lost", "|").alias("lost_terms"))
+    s = F.col("deviation_score")
+    return rows.select(*keep, "deviation_score", F.when(s >= 5, "high").when(s >= 3, "medium").when(s >= 1, "low").otherwise("none").alias("deviation_risk"), "lost_terms")
+
+
+def token_highlights(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """key, token_index, token, delta, rank: the k tokens of each row with the greatest effect; equal ones by token, descending (a top-k report). No shuffle."""
+    rows = signals.with_effects(df.select(F.col(key).alias("key"), F.col(text).alias("__x")), "__x")
+    top = rows.select("key", F.posexplode(signals.top_effects(k)).alias("r", "x"))
+    return top.select("key", "x.token_index", "x.token", "x.delta", (F.col("r") + 1).cast("int").alias("rank"))
+
+
+def cases(rows: DataFrame, audit: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """Rows with their audit and their highlighted tokens, without the text; rows without either stay."""
+    names = [c for c in rows.columns if c != text]
+    marked = signals.with_effects(rows, text).withColumn("__top", signals.top_effects(k))
+    marks = F.when(F.size("__top") > 0, F.array_join(F.transform("__top", lambda x: x["token"]), "|"))
+    marked = marked.select(*names, marks.alias("highlights"))
+    return marked.join(audit.withColumnRenamed(key, "__a"), F.col(key) == F.col("__a"), "left").drop("__a")
 
 
 def reviewer_stats(decisions: DataFrame, reviewer: str, kind: str, hate: str, protected: str, uncertain: str) -> DataFrame:
@@ -54,9 +65,8 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def training_frame(df: DataFrame, text: str, label: str, held_out: DataFrame, held_text: str) -> DataFrame:
-    """Distinct (text, label) rows whose normalised text is not held out and has one label only."""
-    norm = T.normalize_text(F.col(text))
-    rows = df.withColumn("__n", norm).where(F.length("__n") > 0)
-    free = rows.join(held_out.select(T.normalize_text(F.col(held_text)).alias("__n")).distinct(), "__n", "left_anti")
-    clear = free.groupBy("__n").agg(F.min(label).alias("__lo"), F.max(label).alias("__hi")).where("__lo = __hi").select("__n")
-    return free.join(clear, "__n", "left_semi").groupBy("__n", label).agg(F.min(text).alias(text)).drop("__n")
+    """Distinct (text, label) rows whose normalised text is not held out and has one label only. Hashes, not texts, are the keys."""
+    rows = df.select(F.col(text), F.col(label), T.normalize_text(F.col(text)).alias("__n")).where(F.length("__n") > 0).withColumn("__n", F.sha2("__n", 256))
+    free = rows.join(held_out.select(F.sha2(T.normalize_text(F.col(held_text)), 256).alias("__n")).distinct(), "__n", "left_anti")
+    found = free.groupBy("__n").agg(F.min(label).alias("__lo"), F.max(label).alias("__hi"), F.min(text).alias(text))
+    return found.where("__lo = __hi").select(F.col("__lo").alias(label), text)

@@ -32,34 +32,62 @@ def concentration(df: DataFrame, author: str, text: str, least: int = 2) -> Data
     return per.where(F.col("total") >= least).select("token", "total", "authors", F.col("top.author").alias("author"), F.round(F.col("top.tf") / F.col("total"), 6).alias("concentration"))
 
 
-def token_importance(df: DataFrame, key: str, text: str, terms=R.SCORE_TERMS) -> DataFrame:
-    """key, token_index, token, baseline, masked, delta, abs_delta of every token: the keyword score without that token.
+def _score(n: Column) -> Column:
+    return F.least(F.lit(0.99), F.lit(0.15) + F.lit(0.3) * n)
+
+
+def _weighed(df: DataFrame, text: str, terms=R.SCORE_TERMS) -> DataFrame:
+    """Adds __t (tokens), __n (distinct terms among them) and __once (terms that occur once).
 
     Removing one token changes the score only if it is a term that occurs once, so nothing is scored again.
     """
-    t = F.col("t")
     listed = F.array(*(F.lit(x) for x in terms))
-    score = lambda n: F.least(F.lit(0.99), F.lit(0.15) + F.lit(0.3) * n)
-    rows = df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
-    rows = rows.withColumn("hits", F.filter(t, lambda x: F.array_contains(listed, x))).withColumn("n", F.size(F.array_distinct("hits")))
-    once = F.filter(F.array_distinct("hits"), lambda x: F.size(F.filter(F.col("hits"), lambda y: y == x)) == 1)
-    rows = rows.withColumn("once", once).select("key", "n", "once", F.posexplode("t").alias("token_index", "token"))
-    masked = score(F.col("n") - F.array_contains("once", F.col("token")).cast("int"))
-    base = score(F.col("n"))
+    rows = df.withColumn("__t", tokens(F.col(text)))
+    rows = rows.withColumn("__hits", F.filter("__t", lambda x: F.array_contains(listed, x))).withColumn("__n", F.size(F.array_distinct("__hits")))
+    once = F.filter(F.array_distinct("__hits"), lambda x: F.size(F.filter(F.col("__hits"), lambda y: y == x)) == 1)
+    return rows.withColumn("__once", once).drop("__hits")
+
+
+def token_importance(df: DataFrame, key: str, text: str, terms=R.SCORE_TERMS) -> DataFrame:
+    """key, token_index, token, baseline, masked, delta, abs_delta of every token: the keyword score without that token."""
+    rows = _weighed(df.select(F.col(key).alias("key"), F.col(text).alias("__x")), "__x", terms)
+    rows = rows.select("key", F.col("__n").alias("n"), F.col("__once").alias("once"), F.posexplode("__t").alias("token_index", "token"))
+    masked, base = _score(F.col("n") - F.array_contains("once", F.col("token")).cast("int")), _score(F.col("n"))
     return rows.select("key", "token_index", "token", F.round(base, 6).alias("baseline"), F.round(masked, 6).alias("masked"), F.round(base - masked, 6).alias("delta"), F.round(F.abs(base - masked), 6).alias("abs_delta"))
 
 
-def evidence(importance: DataFrame, anchors: int = 3, radius: int = 2, least: float = 0.03, relative: float = 0.25) -> DataFrame:
-    """key, phrase, n_anchors: the tokens within `radius` of the best anchors of each row, joined in order."""
-    positive = importance.where(F.col("delta") >= least)
-    best = positive.groupBy("key").agg(F.max("delta").alias("best"))
-    kept = positive.join(best, "key").where(F.col("delta") >= relative * F.col("best"))
-    order = Window.partitionBy("key").orderBy(F.desc("delta"), F.desc("abs_delta"), "token_index")
-    chosen = kept.withColumn("r", F.row_number().over(order)).where(F.col("r") <= anchors).select("key", F.explode(F.sequence(F.col("token_index") - radius, F.col("token_index") + radius)).alias("token_index"), "r")
-    near = chosen.groupBy("key", "token_index").agg(F.max("r").alias("r"))
-    words = importance.join(near, ["key", "token_index"])
-    phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "token"))), lambda x: x["token"]), " ")
-    return words.groupBy("key").agg(phrase.alias("phrase"), F.max("r").alias("n_anchors"))
+def with_effects(df: DataFrame, text: str, terms=R.SCORE_TERMS) -> DataFrame:
+    """Adds __t (tokens) and effects: (token_index, token, delta) of the tokens that change the score. All in the row, nothing is shuffled."""
+    delta = F.round(_score(F.col("__n")) - _score(F.col("__n") - 1), 6)
+    every = F.transform("__t", lambda x, i: F.struct(i.alias("token_index"), x.alias("token")))
+    some = F.filter(every, lambda x: F.array_contains("__once", x["token"]))
+    effects = F.transform(some, lambda x: F.struct(x["token_index"].alias("token_index"), x["token"].alias("token"), F.col("__delta").alias("delta")))
+    rows = _weighed(df, text, terms).withColumn("__delta", delta)
+    return rows.withColumn("effects", F.when(F.col("__delta") != 0, effects).otherwise(F.slice(effects, 1, 0))).drop("__n", "__once", "__delta")
+
+
+def with_evidence(df: DataFrame, text: str, anchors: int = 3, radius: int = 2, least: float = 0.03, relative: float = 0.25) -> DataFrame:
+    """Adds phrase and n_anchors: the tokens within `radius` of the row's best anchors, joined in order; null and 0 where there is none."""
+    rows = with_effects(df, text)
+    rows = rows.withColumn("__good", F.filter("effects", lambda x: x["delta"] >= least))
+    rows = rows.withColumn("__best", F.array_max(F.transform("__good", lambda x: x["delta"])))
+    ranked = F.array_sort(F.transform(F.filter("__good", lambda x: x["delta"] >= relative * F.col("__best")), lambda x: F.struct((-x["delta"]).alias("d"), x["token_index"].alias("i"))))
+    rows = rows.withColumn("__at", F.transform(F.slice(ranked, 1, anchors), lambda x: x["i"]))
+    near = F.array_distinct(F.flatten(F.transform("__at", lambda a: F.sequence(F.greatest(a - radius, F.lit(0)), F.least(a + radius, F.size("__t") - 1)))))
+    phrase = F.array_join(F.transform(F.array_sort(near), lambda i: F.element_at("__t", i + 1)), " ")
+    rows = rows.withColumn("n_anchors", F.size("__at")).withColumn("phrase", F.when(F.col("n_anchors") > 0, phrase))
+    return rows.drop("__t", "__good", "__best", "__at", "effects")
+
+
+def top_effects(k: int) -> Column:
+    """The k effects of a row by size, then token, descending, then place."""
+    order = lambda a, b: F.when(F.abs(a["delta"]) != F.abs(b["delta"]), F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).otherwise(1)).when(a["token"] != b["token"], F.when(a["token"] > b["token"], -1).otherwise(1)).otherwise(a["token_index"] - b["token_index"])
+    return F.slice(F.array_sort("effects", order), 1, k)
+
+
+def evidence(df: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """key, phrase, n_anchors of the rows that have an anchor."""
+    return with_evidence(df.select(F.col(key).alias("key"), F.col(text).alias("__x")), "__x", **options).where("n_anchors > 0").select("key", "phrase", F.col("n_anchors").cast("int").alias("n_anchors"))
 
 
 def interval_merge(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:

@@ -27,9 +27,8 @@ def run(spark: SparkSession, docs: DataFrame, where: str, key: str, text: str) -
     out["predictions"] = stage(spark, where, "predictions", lambda: docs.select(key, T.keyword_score(F.col(text)).alias("score")).withColumn("predicted", F.col("score") >= 0.5))
     out["protected"] = stage(spark, where, "protected", lambda: docs.select(key, privatize.privatize(F.col(text), with_style=True)["text"].alias("protected")))
     out["importance"] = stage(spark, where, "importance", lambda: signals.token_importance(docs, key, text))
-    out["evidence"] = stage(spark, where, "evidence", lambda: signals.evidence(out["importance"]))
+    out["evidence"] = stage(spark, where, "evidence", lambda: signals.evidence(docs, key, text))
     both = docs.join(out["protected"], key).join(out["predictions"], key)
-    terms = [t for c in ("action", "emotion") for t in R.CUES[c]]
-    out["audit"] = stage(spark, where, "audit", lambda: both.select(key, *review.drift(F.col(text), F.col("protected"), F.col("predicted"), terms)))
-    out["cases"] = stage(spark, where, "cases", lambda: review.cases(out["protected"], out["audit"], review.token_highlights(out["importance"]), key))
+    out["audit"] = stage(spark, where, "audit", lambda: review.drift(both, F.col(text), F.col("protected"), F.col("predicted"), list(R.CUES["action"]), [key]))
+    out["cases"] = stage(spark, where, "cases", lambda: review.cases(docs.select(key, text).join(out["protected"], key), out["audit"], key, text))
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import resources as R
 from cloakframe.functions import text as T
-from cloakframe.operators import lowimpact, restate, rows, verify
+from cloakframe.operators import lowimpact, privatize, restate, rows, verify
 from cloakframe.plans.queries import _DRIFT, _EFFECT, _IMP, _RATES, _SCORED, _TF, _TOK, _drifted, _list, _masked_sql, _q, _scored, query, table
 
 
@@ -75,13 +75,13 @@ _VERIFIED = f"SELECT doc_id, toxic, score >= 0.5 AS p, CASE WHEN doc_id % 7 = 0
  y AS (SELECT strategy, toxic, CASE strategy WHEN 'none' THEN p WHEN 'positives' THEN p AND NOT off ELSE p <> off END AS q FROM x),
  c AS (SELECT strategy, count(*) FILTER (toxic=1 AND q) AS tp, count(*) FILTER (toxic<>1 AND q) AS fp, count(*) FILTER (toxic=1 AND NOT q) AS fn, count(*) FILTER (toxic<>1 AND NOT q) AS tn FROM y GROUP BY strategy) SELECT *, {_RATES} FROM c""")
 def verifier_strategies(spark, d):
-    """What each way of using a verifier's decisions does to the metrics."""
+    """What each way of using a verifier's decisions does to the metrics; the decisions are made up from the id."""
     return verify.compare_strategies(_scored(spark, d), F.col("toxic") == 1, F.col("score") >= 0.5, _decision("doc_id"))
 
 
 @query(f"SELECT doc_id, CASE decision WHEN 'agree' THEN 'keep' WHEN 'disagree' THEN 'flip' ELSE 'human_review' END AS action FROM ({_VERIFIED}) WHERE p AND decision <> 'agree'")
 def verifier_routes(spark, d):
-    """Positives that go to the large model, and what the verifier asks for."""
+    """Positives that go to the large model, and what the verifier asks for; the decisions are made up from the id."""
     s = _scored(spark, d)
     return s.where(verify.routed(F.col("score") >= 0.5, _decision("doc_id"), F.lit(False), "positives")).select("doc_id", verify.action(_decision("doc_id")).alias("action"))
 
@@ -117,7 +117,7 @@ _CUT = _masked_sql("text")
 _TOK2 = _TOK.replace("lower(text)", f"lower({_CUT})")
 
 
-@query(f"""SELECT doc_id, round(lr, 6) AS length_ratio, round(j, 6) AS similarity, lr BETWEEN 0.35 AND 1.8 AND j >= 0.5 AND trim({_CUT}) <> '' AS ok FROM (SELECT doc_id, text,
+@query(f"""SELECT doc_id, round(lr, 6) AS length_ratio, round(j, 6) AS similarity, lr BETWEEN 0.35 AND 1.8 AND j >= 0.82 AND trim({_CUT}) <> '' AS ok FROM (SELECT doc_id, text,
  CASE WHEN length(text) = 0 THEN 1 ELSE length({_CUT})::double / length(text) END AS lr,
  CASE WHEN len(list_distinct(list_concat({_TOK}, {_TOK2}))) = 0 THEN 1 ELSE len(list_intersect(list_distinct({_TOK}), list_distinct({_TOK2})))::double / len(list_distinct(list_concat({_TOK}, {_TOK2}))) END AS j FROM documents)""")
 def restatement_gate(spark, d):
@@ -171,3 +171,56 @@ def role_summary(spark, d):
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.sum(F.when(F.trim("text") == "", 1).otherwise(0)).cast("long").alias("blank"))
 
 
+
+
+_FORMS = {
+    "EMAIL": r"(?i)\b[a-z0-9._%+-]+@(?:[a-z0-9-]*\.)+[a-z]{2,}\b",
+    "URL": r"(?i)\b(?:h(?:tt|xx)ps?://|www\.)[^\s<>()]+",
+    "DATE": r"(?i)\b(?:\d\d?[/-]\d\d?[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d\d?,?\s+\d{2,4})\b",
+    "AGE": r"(?i)\b(?:(?:i am|i'm|aged?)\s+\d\d?(?:\s+years?\s+old)?|\d\d?[- ]year[- ]old)\b",
+    "IDENTIFIER": r"(?i)\b(?:id|case|ticket|student|user|ref)[-_:#]?[a-z0-9_-]+\b",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS entity_type, sum(len(list_filter(regexp_extract_all(text, {_q(p)}), lambda x: {chr(39) + k + chr(39)} <> 'IDENTIFIER' OR regexp_matches(x, '[0-9]'))))::bigint AS n, count(*) FILTER (len(list_filter(regexp_extract_all(text, {_q(p)}), lambda x: {chr(39) + k + chr(39)} <> 'IDENTIFIER' OR regexp_matches(x, '[0-9]'))) > 0) AS n_rows FROM documents" for k, p in _FORMS.items()))
+def identifier_form_counts(spark, d):
+    """The detectors' plain forms over all texts, by type."""
+    long = table(spark, d, "documents").select(F.explode(privatize.form_counts(F.col("text"))).alias("entity_type", "n"))
+    kinds = spark.createDataFrame([(k,) for k in privatize.FORMS], "entity_type string")
+    sums = long.groupBy("entity_type").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("n_rows"))
+    return kinds.join(sums, "entity_type", "left").select("entity_type", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+_ADDRESSES = f"regexp_extract_all(text, {_q(_MAIL)})"
+
+
+@query(f"""WITH v AS (SELECT doc_id, source, list_distinct({_ADDRESSES}) AS vs, text FROM documents), f AS (SELECT DISTINCT source, doc_id, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS n FROM (SELECT source, doc_id, unnest(vs) AS x FROM v)),
+ r AS (SELECT source, n FROM f GROUP BY ALL HAVING count(*) > 1),
+ h AS (SELECT doc_id, list(x ORDER BY length(x) DESC, x) AS xs FROM (SELECT doc_id, source, unnest(vs) AS x FROM v) JOIN r USING (source) WHERE n = regexp_replace(lower(x), '[^a-z0-9]', '', 'g') GROUP BY doc_id)
+SELECT doc_id, source, CASE WHEN xs IS NULL THEN text ELSE list_reduce(list_prepend(text, xs), lambda t, x: regexp_replace(t, '\b' || regexp_escape(x) || '\b', '[EMAIL]', 'g')) END AS text FROM v LEFT JOIN h USING (doc_id)""")
+def author_group_mask_mail(spark, d):
+    """Addresses that a source has in two rows or more, masked wherever they stand in those."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(T.ascii_bounds(_MAIL)), F.lit(0)), lambda x: F.struct(F.lit("EMAIL").alias("entity_type"), x.alias("text")))
+    return privatize.author_group_mask(table(spark, d, "documents"), "source", "text", "doc_id", found=found).drop("n_masked")
+
+
+@query()
+def simple_scrub(spark, d):
+    """The second scrubber over all texts."""
+    s = privatize.simple_scrub(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.text", "s.n")
+
+
+@query()
+def row_routing(spark, d):
+    """Where each turn goes, and why."""
+    rows = table(spark, d, "conversations").withColumn("masked", privatize.privatize(F.col("text"))["text"])
+    r = privatize.row_route(F.col("text"), F.col("masked"))
+    return rows.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.use_providers", "r.use_style", "r.review", "r.risk_level", F.array_join("r.risk_reasons", "|").alias("risk_reasons"), F.array_join("r.low_risk_reasons", "|").alias("low_risk_reasons"))
+
+
+@query()
+def strict_cleanup(spark, d):
+    """What a strict second pass still masks in masked texts."""
+    rows = table(spark, d, "documents").withColumn("masked", privatize.privatize(F.col("text"))["text"])
+    return rows.select("doc_id", privatize.strict_cleanup(F.col("masked")).alias("c")).select("doc_id", "c.text", "c.n", F.to_json("c.counts").alias("counts"))

@@ -24,20 +24,20 @@ def pick(columns: list[str], wanted: str | None, names: tuple) -> str | None:
 
 
 def protected(df: DataFrame, text: str, with_style: bool = False, author: str | None = None, index: str = "row_index") -> DataFrame:
-    """The same rows and columns with the text column rewritten."""
-    out = df.withColumn(text, privatize.privatize(F.col(text), with_style)["text"])
+    """The same rows and columns with the text column rewritten; author: values that an author repeats are masked first, wherever they stand."""
+    names = df.columns
     if author:
-        again = privatize.author_group_mask(df, author, text, index).select(index, F.col("n_masked"))
-        out = out.join(again, index, "left").drop("n_masked")
-    return out
+        masked = privatize.author_group_mask(df, author, text, index).select(F.col(index).alias("__index"), F.col("text").alias("__masked"))
+        df = df.join(masked, F.col(index) == F.col("__index"), "left").withColumn(text, F.coalesce("__masked", F.col(text)))
+    return df.withColumn(text, privatize.privatize(F.col(text), with_style)["text"]).select(*names)
 
 
-def run(spark: SparkSession, source: str, target: str, text: str | None = None, manifest: str | None = None, with_style: bool = False) -> dict:
+def run(spark: SparkSession, source: str, target: str, text: str | None = None, manifest: str | None = None, with_style: bool = False, author: str | None = None) -> dict:
     """Writes the protected CSV and, if asked for, its manifest; raises if the result differs in anything but the text.
 
     A finished run is reused if its manifest names the same input and settings.
     """
-    digest, config = files.sha256_file(source), files.stable_hash({"text": text, "with_style": with_style})
+    digest, config = files.sha256_file(source), files.stable_hash({"text": text, "with_style": with_style, "author": author})
     old = files.read_json(manifest) if manifest else None
     if old and old.get("input") == digest and old.get("config") == config and os.path.exists(target) and files.sha256_file(target) == old.get("output"):
         return old | {"reused": True}
@@ -46,7 +46,7 @@ def run(spark: SparkSession, source: str, target: str, text: str | None = None,
     column = pick(names, text, TEXT_NAMES)
     if column is None:
         raise ValueError("no text column")
-    n = files.write_csv(protected(rows, column, with_style), target, names)
+    n = files.write_csv(protected(rows, column, with_style, author), target, names)
     issues = {r.code: r.n for r in compare.validate_exact(rows, files.read_csv(spark, target), "row_index", [column]).collect()}
     if set(issues) - {"text_changed"}:
         raise ValueError(f"the result differs from its source: {issues}")

@@ -153,7 +153,7 @@ def _count_sql(col: str, term: str) -> str:
     return f"len(regexp_extract_all(lower({col}), {_q(chr(92) + 'b' + term + chr(92) + 'b')}))"
 
 
-_CUE_SQL = "SELECT doc_id, " + " + ".join(f"({_count_sql('text', t)})" for terms in R.CUES.values() for t in terms) + " AS n_cues FROM documents"
+_CUE_SQL = "SELECT doc_id, " + " + ".join(f"({_count_sql('text', t)})" for t in R.CUES["utility"]) + " AS n_cues FROM documents"
 
 
 @query(_CUE_SQL)
@@ -186,9 +186,9 @@ def style_risk_counts(spark, d):
 
 @query(f"SELECT doc_id, source FROM documents WHERE {_NORM.format('text')} NOT IN (SELECT {_NORM.format('text')} FROM benchmark)")
 def duplicate_overlap_anti_join(spark, d):
-    held = table(spark, d, "benchmark").select(T.normalize_text(F.col("text")).alias("n")).distinct()
+    held = table(spark, d, "benchmark").select(F.sha2(T.normalize_text(F.col("text")), 256).alias("n")).distinct()
     docs = table(spark, d, "documents")
-    return docs.join(held, T.normalize_text(docs.text) == held.n, "left_anti").select("doc_id", "source")
+    return docs.select("doc_id", "source", F.sha2(T.normalize_text(F.col("text")), 256).alias("n")).join(held, "n", "left_anti").select("doc_id", "source")
 
 
 @query(f"""WITH t AS (SELECT sha256({_NORM.format('text')}) AS text_hash, toxic FROM documents JOIN labels USING (doc_id) WHERE {_NORM.format('text')} <> '')
@@ -245,15 +245,14 @@ _EFFECT = f"WITH imp AS (SELECT key, token_index, token, round(baseline - masked
 SELECT key, string_agg(token, ' ' ORDER BY token_index) AS phrase, max(r) AS n_anchors FROM w GROUP BY key""")
 def evidence_window(spark, d):
     """Evidence phrases: up to three anchors of each text with two tokens on either side."""
-    return signals.evidence(signals.token_importance(table(spark, d, "documents"), "doc_id", "text"))
+    return signals.evidence(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"""{_EFFECT}, r AS (SELECT key, token_index, token, delta, row_number() OVER (PARTITION BY key ORDER BY abs(delta) DESC, token DESC, token_index) AS rank FROM imp WHERE abs(delta) > 0)
 SELECT * FROM r WHERE rank <= 5""")
 def token_highlights_topk(spark, d):
     """The five tokens of each text with the greatest effect (a top-k report)."""
-    imp = signals.token_importance(table(spark, d, "documents"), "doc_id", "text")
-    return review.token_highlights(imp).select("key", "token_index", "token", "delta", "rank")
+    return review.token_highlights(table(spark, d, "documents"), "doc_id", "text")
 
 
 _VALUES = "|".join(f"(?:{p})" for _, p in R.GUARD[:1] + R.GUARD[2:3])
@@ -314,7 +313,7 @@ _AFTER = _masked_sql(_SHORT_SQL)
 
 def _drift_sql() -> str:
     lost = [f"(contains({_PAD.format('text')}, ' {t} ') AND NOT contains({_PAD.format(_AFTER)}, ' {t} '))" for t in _DRIFT_TERMS]
-    cue = " + ".join(f"({_count_sql('{}', t)})" for terms in R.CUES.values() for t in terms)
+    cue = " + ".join(f"({_count_sql('{}', t)})" for t in R.CUES["utility"])
     return f"""SELECT doc_id, n * CASE WHEN toxic = 1 THEN 3 ELSE 1 END + CASE WHEN cb > ca THEN CASE WHEN toxic = 1 THEN 2 ELSE 1 END ELSE 0 END + CASE WHEN length({_AFTER}) * 2 < length(text) THEN 2 ELSE 0 END AS deviation_score, lost_terms
 FROM (SELECT doc_id, text, toxic, {" + ".join(f"{x}::int" for x in lost)} AS n, array_to_string(list_filter([{", ".join(f"CASE WHEN {x} THEN '{t}' END" for x, t in zip(lost, _DRIFT_TERMS))}], lambda x: x IS NOT NULL), '|') AS lost_terms,
  {cue.replace("{}", "text")} AS cb, {cue.replace("{}", _AFTER)} AS ca FROM documents JOIN labels USING (doc_id))"""
@@ -326,7 +325,7 @@ _DRIFT = f"SELECT *, CASE WHEN deviation_score >= 5 THEN 'high' WHEN deviation_s
 def _drifted(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     after = T.guard_mask(F.regexp_replace("text", T.ascii_bounds(r"\b[Tt]he\b"), "[X]"))
-    return rows.select("doc_id", *review.drift(F.col("text"), after, F.col("toxic") == 1, list(_DRIFT_TERMS)))
+    return review.drift(rows, F.col("text"), after, F.col("toxic") == 1, list(_DRIFT_TERMS), ["doc_id"])
 
 
 @query(_DRIFT)
@@ -340,9 +339,8 @@ def drift_score(spark, d):
 SELECT d.doc_id, d.source, a.deviation_score, a.deviation_risk, a.lost_terms, t.highlights FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN t ON d.doc_id = t.key""")
 def review_cases(spark, d):
     """Documents with their audit and highlighted tokens; those without either stay."""
-    docs = table(spark, d, "documents")
-    marks = review.token_highlights(signals.token_importance(docs, "doc_id", "text"))
-    return review.cases(docs.select("doc_id", "source"), _drifted(spark, d), marks, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return review.cases(docs, _drifted(spark, d), "doc_id", "text").select("doc_id", "source", "deviation_score", "deviation_risk", "lost_terms", "highlights")
 
 
 _STATS = """SELECT user_id AS reviewer, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS hate, count(*) FILTER (event_type = 'view') AS protected, count(*) FILTER (event_type = 'click') AS uncertain FROM events GROUP BY user_id"""
@@ -472,7 +470,7 @@ def row_metrics_summary(spark, d):
 
 @query()
 def rationale_report(spark, d):
-    """Whether the first words of each turn survive masking."""
+    """Whether the first words of each turn survive masking; every turn is given the same rationale, its first three words."""
     rows = table(spark, d, "conversations").withColumn("masked", privatize.privatize(F.col("text"))["text"])
     r = privatize.rationale_report(F.lit("tokens"), F.lit("[[0, 1, 2]]"), F.col("text"), F.col("masked"))
     return rows.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")

@@ -65,3 +65,59 @@ def test_bundle_reuses_stages(spark, sf, tmp_path):
     made = []
     again = bundle.stage(spark, str(tmp_path), "audit", lambda: made.append(1))
     assert again.count() == 30 and not made
+
+
+def test_protect_masks_what_an_author_repeats(spark):
+    from cloakframe.plans import protect
+
+    rows = [(1, "u", "my name is Ines Moreau. Ines Moreau left"), (2, "u", "so wrote Ines Moreau"), (3, "v", "call Bo Berg and Bo Berg"), (4, None, None), (5, "w", "a 'Ines Moreau' quote")]
+    df = spark.createDataFrame(rows, "row_index long, who string, text string")
+    plain = {r.row_index: r.text for r in protect.protected(df, "text").collect()}
+    out = protect.protected(df, "text", author="who")
+    assert out.columns == df.columns
+    got = {r.row_index: r.text for r in out.collect()}
+    assert plain[1] == "my name is [PERSON]. Ines Moreau left" and got[1] == "my name is [PERSON]. [PERSON] left"
+    assert {k: v for k, v in got.items() if k != 1} == {k: v for k, v in plain.items() if k != 1} and got[5] == "a 'Ines Moreau' quote"
+
+
+def test_running_sums(spark):
+    import random
+
+    from cloakframe.operators import ranking
+
+    rng = random.Random(2)
+    rows = sorted({rng.random() for _ in range(3000)} | {float(k) for k in range(40)})
+    made = [(x, rng.randint(0, 9), 1) for x in rows]
+    df = spark.createDataFrame(made, "x double, n int, m int")
+    for down in (False, True):
+        order = sorted(made, reverse=down)
+        expected, a, b = {}, 0, 0
+        for x, n, m in order:
+            a, b = a + n, b + m
+            expected[x] = (a, b)
+        got = ranking.running_sums(df, "x", ["n", "m"], down).collect()
+        assert {r.x: (r.upto_n, r.upto_m) for r in got} == expected and {(r.all_n, r.all_m) for r in got} == {(a, b)}
+    assert ranking.running_sums(df.limit(0), "x", ["n"]).count() == 0
+
+
+def test_cues_are_counted_in_few_passes(spark):
+    from cloakframe import resources as R
+    from cloakframe.functions import text as T
+
+    texts = ["burn down, BURNED down! attack-attack", "hates hate; not belong should leave", "", None, "shut down shut down forced out vermin_ scum"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = sum((T.phrase_count(F.col("t"), t) for t in R.CUES["utility"]), F.lit(0))
+    assert all(r.a == r.b for r in df.select(one.alias("a"), T.cue_count(F.col("t")).alias("b")).collect())
+    lapping = ("a b", "b c", "c")
+    both = df.limit(1).select(F.lit("a b c a b c").alias("t")).select(T.cue_count(F.col("t"), lapping).alias("n")).first().n
+    assert both == 6
+
+
+def test_cue_loss_and_candidates_as_columns(spark):
+    from cloakframe.operators import privatize
+
+    df = spark.createDataFrame([("write x@y.example now!!!",), ("",), (None,)], "t string")
+    got = [r.c for r in df.select(privatize.candidate_select(F.col("t")).alias("c")).collect()]
+    assert got[0].name == "style_scrubbed" and got[0].scores[0].terms["target_cue_retention"] == 1.0 and got[1].text == got[2].text == ""
+    r = df.select(privatize.row_route(F.col("t"), F.col("t")).alias("r"), privatize.strict_cleanup(F.col("t"), True).alias("s"), privatize.simple_scrub(F.col("t")).alias("p")).collect()
+    assert r[0].r.use_providers and r[0].s.text == r[0].p.text == "write [EMAIL] now!!!" and r[1].r.risk_level == "low_privacy_style_risk"
