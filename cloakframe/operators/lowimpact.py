@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe import resources as R
@@ -27,6 +27,41 @@ def choose(docs: DataFrame, key: str, author: str, text: str, per_row: int = 2,
     return free.withColumn("rank", rank).where(F.col("rank") <= per_row).select("key", "token", "concentration", "rank")
 
 
+MARKER = r"(?i)^(?:" + "|".join(R.MARKERS) + ")$"
+
+
+def _by_look(token: Column, normal: Column, length: int) -> list[tuple[Column, Column]]:
+    """What the token's look says: placeholders never, style markers and drawn-out letters always, short ones not."""
+    none = F.lit(None).cast("string")
+    drawn = F.lower(token).rlike("|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"))
+    return [(token.rlike(r"^\[[A-Z][A-Z_]*(?::[A-Za-z0-9_/-]+)?\]$"), none), (token.rlike(MARKER), F.lit("style_marker")), (drawn, F.lit("repeated_letters")), (F.length(normal) < length, none)]
+
+
+def _first(cases: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*cases[0])
+    for c, v in cases[1:]:
+        out = out.when(c, v)
+    return out
+
+
+def token_reason(token: Column, normal: Column, author_count: Column, share: Column, documents: Column, length: int = 7, count: int = 2, least: float = 0.75, rare: int = 1) -> Column:
+    """Why a token may be masked, by how it is spread over authors; null where it may not."""
+    look = _by_look(token, normal, length)
+    title = (token.rlike(r"^\p{Lu}"), F.lit(None).cast("string"))
+    return _first([*look[:3], title, look[3], ((author_count >= count) & (share >= least), F.lit("author_concentrated")), ((documents <= rare) & (F.length(normal) >= length + 2), F.lit("rare_long_token"))])
+
+
+def tfidf_reason(token: Column, normal: Column, author_count: Column, weight: Column, rank: Column, length: int = 7, count: int = 2, least: float = 0.06, top: int = 25) -> Column:
+    """author_tfidf where the token marks its author by weight and rank."""
+    return _first([*_by_look(token, normal, length), ((author_count >= count) & (weight >= least) & (rank <= top), F.lit("author_tfidf"))])
+
+
+def cluster_reason(token: Column, normal: Column, author_count: Column, weight: Column, rank: Column, mass: Column, share: Column, cluster_rank: Column, length: int = 7, count: int = 2, least: float = 0.06, top: int = 25, mass_from: float = 0.0, share_from: float = 0.75, cluster_top: int = 3) -> Column:
+    """semantic_cluster where the token marks its author, and its cluster does too."""
+    marks = (author_count >= count) & (weight >= least) & (rank <= top) & (mass >= mass_from) & (share >= share_from) & (cluster_rank <= cluster_top)
+    return _first([*_by_look(token, normal, length), (marks, F.lit("semantic_cluster"))])
+
+
 def masked(docs: DataFrame, key: str, author: str, text: str, threshold: float = 0.5, drift: float = 0.1, **options) -> DataFrame:
     """key, text, n_masked, reverted: tokens masked as [TERM]; a row whose label would flip or whose score drifts keeps its text."""
     tokens = choose(docs, key, author, text, **options).groupBy("key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))

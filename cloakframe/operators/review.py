@@ -51,6 +51,51 @@ def reviewer_stats(decisions: DataFrame, reviewer: str, kind: str, hate: str, pr
     return stats.withColumn("points", points)
 
 
+#: Badge, title, counter and how many of it are needed, in order.
+TITLES = (
+    ("CS", "Context Scout", "total", 5), ("RS", "Review Sentinel", "total", 10), ("PS", "Protector of Speech", "protected", 5), ("HB", "Hate Basher", "hate", 5), ("QC", "Queue Champion", "total", 25), ("SG", "Speech Guardian", "total", 50),
+)
+
+
+def standings(stats: DataFrame, streak: str | None = None) -> DataFrame:
+    """Adds points (with a streak, 5 for each), badges (joined) and the title of the last one unlocked."""
+    points = 10 * F.col("total") + 4 * F.col("hate") + 3 * F.col("protected") + 2 * F.col("uncertain") + (5 * F.col(streak) if streak else 0)
+    won = F.array_compact(F.array(*(F.when(F.col(c) >= n, F.struct(F.lit(b).alias("badge"), F.lit(t).alias("title"))) for b, t, c, n in TITLES)))
+    rows = stats.withColumn("points", points).withColumn("__won", won)
+    title = F.when(F.size("__won") > 0, F.element_at("__won", -1)["title"]).otherwise("New Reviewer")
+    return rows.withColumn("title", title).withColumn("badges", F.array_join(F.transform("__won", lambda x: x["badge"]), "|")).drop("__won")
+
+
+def merged_stats(base: DataFrame, session: DataFrame) -> DataFrame:
+    """Counters of both tables added up by reviewer."""
+    names = ("total", "hate", "protected", "uncertain")
+    return base.select("reviewer", *names).unionByName(session.select("reviewer", *names)).groupBy("reviewer").agg(*(F.sum(c).cast("long").alias(c) for c in names))
+
+
+def votes(hate: Column, not_hate: Column, uncertain: Column) -> list[Column]:
+    """total, and each share in whole percent (halves up), as text."""
+    total = hate + not_hate + uncertain
+    share = lambda v: F.concat(F.when(total > 0, F.floor(v * 100 / total + 0.5)).otherwise(0).cast("string"), F.lit("%"))
+    return [total.alias("total"), share(hate).alias("hate_share"), share(not_hate).alias("not_hate_share"), share(uncertain).alias("uncertain_share")]
+
+
+def normal_item(rows: DataFrame, order: str) -> DataFrame:
+    """Review items with every field in its place: id, source, protected_text, restatement, label, score, risk, decision.
+
+    Fields that are missing come from the next best one; unknown labels are not_hate, unknown risks medium.
+    """
+    has = set(rows.columns)
+    first = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in has), F.lit(""))
+    case = F.concat(F.lit("case-"), F.col(order).cast("string"))
+    ids = [F.col(n).cast("string") for n in ("id",) if n in has]
+    sources = [F.col(n).cast("string") for n in ("source", "id") if n in has]
+    risk, score = first("risk"), F.col("score").cast("double") if "score" in has else F.lit(None)
+    return rows.select(
+        F.coalesce(*ids, case).alias("id"), F.coalesce(*sources, case).alias("source"), first("protected_text", "scrubbed_text", "text").alias("protected_text"), first("restatement", "protected_text", "text").alias("restatement"),
+        F.when(first("label") == "hate", "hate").otherwise("not_hate").alias("label"), F.coalesce(score, F.lit(0.0)).alias("score"), F.when(risk.isin("low", "medium", "high"), risk).otherwise("medium").alias("risk"), F.lit("pending").alias("decision"),
+    )
+
+
 def leaderboard(stats: DataFrame, k: int = 20) -> DataFrame:
     """The first k reviewers by points, then name (a top-k report)."""
     top = stats.orderBy(F.desc("points"), "reviewer").limit(k)
