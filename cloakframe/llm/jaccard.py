@@ -256,7 +256,7 @@ def _large_bucket(sig: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarra
 
 
 def _bucket_edges(t: pa.Table) -> pa.Table:
-    """Edges that join what is similar in each bucket, as a forest."""
+    """Edges that join what is similar in each bucket: of every tree, its least class with each of the others."""
     sig, cid, part = _matrix(t.column("sig")), t.column("cid").to_numpy(), t.column("part").to_numpy()
     order, lo, hi = _groups_of(t, "p", "q", "bucket")
     lo, hi = np.array(lo), np.array(hi)
@@ -272,7 +272,9 @@ def _bucket_edges(t: pa.Table) -> pa.Table:
         p, q = t.column("p")[int(rows[0])].as_py(), t.column("q")[int(rows[0])].as_py()
         x, y = rows[part[rows] == p], rows[part[rows] == q]
         out += _large_bucket(sig, node, x, y, p == q, up)
-    return pa.table({"a": nodes[[a for a, _ in out]].astype(np.int64), "b": nodes[[b for _, b in out]].astype(np.int64)})
+    top = _roots(up, up)
+    some = np.flatnonzero(top != np.arange(len(top)))
+    return pa.table({"a": nodes[some].astype(np.int64), "b": nodes[top[some]].astype(np.int64)})
 
 
 def _family_links(t: pa.Table) -> pa.Table:
@@ -325,7 +327,7 @@ def _family_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64()), "n": pa.array(n_, pa.int64())})
 
 
-LOT_BYTES = 32 << 20  # of rows that one call works on
+LOT_BYTES = 4 << 20  # of rows that one call works on
 
 
 def _lots(members: DataFrame, group: str, size) -> int:
@@ -354,24 +356,30 @@ def _pieces(members: DataFrame, group: str, cid: str = "cid") -> DataFrame:
     return rows.withColumn("p", F.least("part", "__o")).withColumn("q", F.greatest("part", "__o")).drop("__m", "__o")
 
 
-def _alone(members: DataFrame) -> DataFrame:
+def _alone(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows of buckets of two or more, each in its own piece only; and of buckets of several pieces, a leader of each piece once more, in groups of leaders."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1").withColumn("__m", F.ceil(F.col("__n") / PIECE).cast("int"))
+    sizes = sizes.withColumn("__m", F.ceil(F.col("__n") / PIECE).cast("int"))
     rows = members.join(sizes, "bucket").withColumn("part", _piece("cid", F.col("__m")))
-    leaders = rows.where("__m > 1").groupBy("bucket", "part", "__m").agg(F.min("cid").alias("cid"))
+    # Few buckets are that large; their rows are looked for among all once more.
+    large = members.join(sizes.where("__m > 1"), "bucket").withColumn("part", _piece("cid", F.col("__m")))
+    leaders = large.groupBy("bucket", "part", "__m").agg(F.min("cid").alias("cid"))
     leaders = leaders.withColumn("part", -1 - F.pmod(F.xxhash64("cid"), F.ceil(F.col("__m") / PIECE)).cast("int"))
     rows = rows.select("bucket", "cid", "part").unionByName(leaders.select("bucket", "cid", "part"))
     return rows.withColumn("p", F.col("part")).withColumn("q", F.col("part"))
 
 
-def _rest(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, sizes: DataFrame, stars: DataFrame) -> DataFrame:
     """Of buckets of several pieces, the pairs of pieces that must still meet.
 
-    Rows that are in the bucket's largest component so far need not meet one
-    another; the others meet each other and all of those.
+    Rows that are known to be in the bucket's largest tree need not meet one
+    another; the others meet each other and all of those.  What is known: a
+    row's least neighbour, and that one's, as leaders are the least of a piece.
     """
-    big = members.groupBy("bucket").agg(F.count("*").alias("__n")).where(F.col("__n") > PIECE)
-    rows = members.join(big.select("bucket"), "bucket").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    up = stars.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("__b"))
+    far = up.select(F.col("__a").alias("__c"), F.col("__b").alias("__d"))
+    rows = members.join(sizes.where(F.col("__n") > PIECE).select("bucket"), "bucket")
+    rows = rows.join(up, F.col("cid") == F.col("__a"), "left").join(far, F.col("__b") == F.col("__c"), "left")
+    rows = rows.withColumn("comp", F.coalesce("__d", "__b", "cid")).drop("__a", "__b", "__c", "__d")
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"))
     main = main.select("bucket", F.col("x.comp").alias("__main"), F.ceil(F.col("x.n") / PIECE).cast("int").alias("__m"), F.ceil((F.col("all") - F.col("x.n")) / PIECE).cast("int").alias("__r")).where("__r > 0")
@@ -410,7 +418,11 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
     classes = rows.where("n > 0").groupBy("cid", "cid2").agg(F.count("*").alias("many"), first.alias("rep"), F.first("sig").alias("sig"))
     # A class is known by one number, which must be its own.
     salt, keyed = 0, kit.stored(classes.withColumnRenamed("cid", "cid1"))
-    while not (classes := keyed.withColumn("cid", F.xxhash64("cid1", "cid2", F.lit(salt)))).groupBy("cid").count().where("count > 1").isEmpty():
+    while True:
+        classes = keyed.withColumn("cid", F.xxhash64("cid1", "cid2", F.lit(salt)))
+        n_classes, n_keys = classes.agg(F.count("*"), F.countDistinct("cid")).first()
+        if n_classes == n_keys:
+            break
         salt += 1
     # Bands: four 16-bit values each.
     values = F.hex("sig")
@@ -422,12 +434,14 @@ def _groups(docs: DataFrame, text: str, key: str) -> DataFrame:
         return meeting.join(signed, "cid").groupBy(_lot(lots, "bucket", "p", "q")).applyInArrow(kit.one(_bucket_edges), "a long, b long")
 
     # Buckets are worked on in lots, so that small ones cost little.
-    lots = classes.count() * BANDS // 100_000 + 1
-    first = edges(_alone(bands), lots)
-    if not bands.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PIECE).isEmpty():
-        first = kit.stored(first)
-        rest = kit.stored(_rest(bands, components(first)))
-        first = first.unionByName(edges(rest, rest.count() // 100_000 + 1))
+    lots = n_classes * BANDS // 40_000 + 1
+    sizes = kit.stored(bands.groupBy("bucket").agg(F.count("*").alias("__n")).where("__n > 1"))
+    if sizes.where(F.col("__n") > PIECE).isEmpty():
+        first = edges(bands.join(sizes.select("bucket"), "bucket").select("bucket", "cid", *(F.lit(0).alias(c) for c in ("part", "p", "q"))), lots)
+    else:
+        first = kit.stored(edges(_alone(bands, sizes), lots))
+        rest = kit.stored(_rest(bands, sizes, first))
+        first = first.unionByName(edges(rest, rest.count() // 40_000 + 1))
     families = kit.stored(components(first).withColumnRenamed("node", "cid").join(classes.drop("cid1", "cid2"), "cid"))
 
     def shingled(batches):
