@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,52 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.find(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_mixing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_id_output, op10_benchmark_decontamination)}
+def _bounded(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(kit.bounded(spark), sf_dir)
+
+    return run
+
+
+_ALL = (op1_html_extraction, op2_lm_scoring, op3_mixing, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_url_filters, op7_quality_rules, op8_substring_dedup, op9_token_id_output, op10_benchmark_decontamination)
+QUERIES = {f.__name__: _bounded(f) for f in _ALL}
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: all but the method's verdict."""
+    return op7_quality_rules(spark, sf_dir).drop("kept")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: all but what is taken."""
+    rows = op3_mixing(spark, sf_dir)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+QUERIES |= {f.__name__: _bounded(f) for f in (quality_rule_counts, mixing_targets)}
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _HOST = r"regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)([^?#]*)', 1)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = " UNION ALL ".join(f"SELECT '{h}' AS h, '{p}' AS p, '{v}' AS v" for h, p, v in RULES)
 ORACLE = {
+    "quality_rule_counts": rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+     k AS (SELECT n, i, list_slice(w, i, i + 7) AS g FROM (SELECT n, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 7)),
+     r AS (SELECT n, g FROM k GROUP BY ALL HAVING count(*) > 1),
+     p AS (SELECT n, count(DISTINCT i + j) AS c FROM k JOIN r USING (n, g), (SELECT unnest(range(8)) AS j) GROUP BY n),
+     l AS (SELECT n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c, 0) AS n_repeat_words,
+       len(w) < 20 OR 100 * coalesce(c, 0) > 30 * len(w) AS base_failed
+FROM d JOIN l USING (n) LEFT JOIN p USING (n)""",
+    "mixing_targets": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+     s AS (SELECT source, sum(size)::bigint AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::int + 1] AS w FROM d GROUP BY source),
+     c AS (SELECT *, 2 * source_size AS cap, 2.0 * source_size / w AS r, sum(source_size) OVER () * 1.5 AS total FROM s),
+     o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY r, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY r, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left, row_number() OVER (ORDER BY r, source) AS k FROM c),
+     m AS (SELECT arg_min((total - before) / w_left, k) FILTER ((total - before) / w_left <= r) AS level FROM o)
+SELECT doc_id, size, source_size, round(least(cap, level * w)::double, 3) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, m""",
     "op6_url_filters": f"""
 WITH u AS (SELECT row_number() OVER () AS n, page_id, {_LOWER.format(_HOST)} AS host, {_HOST[:-4]}, 2) AS path FROM pages),
      r AS ({_FITS}),

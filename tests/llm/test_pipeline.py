@@ -79,3 +79,15 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_companions_against_sql(spark, sf):
+    """The columns that SQL can say."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("quality_rule_counts", "mixing_targets"):
+        got = queries.QUERIES[name](spark, sf)
+        expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE[name]})").fetchall()
+        assert Counter(map(tuple, got.collect())) == Counter(expected)
