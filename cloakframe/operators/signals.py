@@ -100,9 +100,21 @@ def interval_merge(df: DataFrame, by: list[str], start: str, end: str) -> DataFr
 
 
 def runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Ranges [first, last] of consecutive integers in each group (gaps and islands)."""
-    island = F.col(value) - F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    return df.select(*by, value).distinct().withColumn("__i", island).groupBy(*by, "__i").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("__i")
+    """Ranges [first, last] of consecutive integers in each group (gaps and islands).
+
+    A run begins where the number before is missing and ends where the next one is; both are looked up by
+    group and number, so that a hot group is spread, and only the ends of runs are put in order.
+    """
+    rows = df.select(*by, F.col(value).alias("__v")).distinct()
+
+    def ends(step: int, name: str) -> DataFrame:
+        other = rows.select(*(F.col(c).alias(f"__{c}") for c in by), (F.col("__v") + step).alias("__w"))
+        alone = rows.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__v") == F.col("__w")], "left_anti")
+        return alone.select(*by, F.col("__v").alias(name), F.row_number().over(Window.partitionBy(*by).orderBy("__v")).alias("__k"))
+
+    last = ends(-1, "last").select(*(F.col(c).alias(f"__{c}") for c in by), "last", F.col("__k").alias("__n"))
+    pairs = ends(1, "first").join(last, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__k") == F.col("__n")])
+    return pairs.select(*by, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 def repeated_values(df: DataFrame, author: str, key: str, values: Column, least: int = 2) -> DataFrame:
