@@ -97,7 +97,7 @@ def index(ids: list, texts: list) -> dict:
     return {"seed": seed, "at": at, "n": n, "gap": gap, "words": h, "first": t.first, "doc": doc, "ids": ids, "sizes": sizes}
 
 
-CELLS = 1 << 21  # words laid side by side at once
+CELLS = 1 << 18  # words laid side by side at once
 
 
 def _diagonals(t: kit.Texts, h: np.ndarray, ix: dict):

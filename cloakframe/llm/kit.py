@@ -184,6 +184,10 @@ def crc_mod(doc_ids: list, m: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % m for i in doc_ids], np.int64)
 
 
+#: What an operator keeps in a Python worker between tasks, as functions that drop it; workers serve other operators next.
+CACHES: list = []
+
+
 def trim(powers: bool = True) -> None:
     """Gives free memory back; Python workers wait for their next task with what they hold."""
     if powers:
@@ -195,10 +199,11 @@ def trim(powers: bool = True) -> None:
         pass  # another C library
 
 
-def trimmed(run):
-    """A function over batches that gives memory back at its end."""
+def trimmed(run, own=None):
+    """A function over batches that gives memory back at its end, and first what other operators have kept; own: the cache that is its own."""
 
     def inner(batches):
+        drop(own)
         try:
             yield from run(batches)
         finally:
@@ -207,10 +212,17 @@ def trimmed(run):
     return inner
 
 
+def drop(own=None) -> None:
+    for clear in CACHES:
+        if clear is not own:
+            clear()
+
+
 def one(f):
     """A function of a group's table that gives memory back after each."""
 
     def run(table):
+        drop()
         try:
             return f(table)
         finally:
@@ -223,6 +235,7 @@ def two(f):
     """The same for two tables."""
 
     def run(left, right):
+        drop()
         try:
             return f(left, right)
         finally:
@@ -231,6 +244,7 @@ def two(f):
     return run
 
 
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOCK_BYTES = 3 << 20  # of texts in a block; some 100 times as much memory is at work on it
 COPIES = 256  # of rows equal in id and text, how many may lie in one block
@@ -285,6 +299,12 @@ class Dealt:
         return messages.repartition(self.parts, column).groupBy(column)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """For applications, not operators: sets the bytes of a batch that a Python worker gets, for plans that run after the call that made them."""
+    spark.conf.set(BATCH_BYTES, BATCH)
+    return spark
+
+
 def scratch(spark: SparkSession, keep: bool = False) -> str:
     """A new folder below the one the cluster shares (spark.checkpoint.dir), removed when the application ends unless it is kept.
 
@@ -306,12 +326,16 @@ def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     where = where or scratch(spark)
-    was = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")  # shuffle files of this write go when it is done
+    # Shuffle files of this write go when it is done, and Python workers get small batches; the session's own settings come back.
+    ours = {CLEAN_UP: "true", BATCH_BYTES: BATCH}
+    was = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(where)
     finally:
-        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -101,7 +101,7 @@ class Reader:
 class Encoder:
     """Token ids of pieces of text, by the hash of their bytes; kept in flat arrays, so that a known piece makes no Python object."""
 
-    def __init__(self, path: str, entries: int = 3 << 19):
+    def __init__(self, path: str, entries: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -158,11 +158,19 @@ _LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _BLANK = _LEAD | (np.arange(256) <= 0x20) | (np.arange(256) == 0x7F)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    encoder.cache_clear()
+    _added.cache_clear()
+
+
+kit.CACHES.append(forget)
+
+
 def encode(col: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with its end id, and their bounds.
 
@@ -245,13 +253,13 @@ def write(docs: DataFrame, path: str, end_id: int, where: str, text: str = "text
 
     def encoded(batches):
         for batch in batches:
-            for part in kit.slices(batch, "__text", 2 << 20):
+            for part in kit.slices(batch, "__text", 1 << 20):
                 ids, b = encode(part.column("__text"), path, end_id)
                 ids = ids.astype(small)
                 where = [bisect_right(cuts, (k is not None, k, h)) for k, h in zip(part.column("__key").to_pylist(), part.column("__tie").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__tie"), pa.array([ids[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist())], pa.binary()), pa.array(where, pa.int32())], names=["__key", "__tie", "__ids", "__part"])
 
-    rows = source.withColumn("__tie", tie).mapInArrow(kit.trimmed(encoded), f"__key {ddl}, __tie long, __ids binary, __part int")
+    rows = source.withColumn("__tie", tie).mapInArrow(kit.trimmed(encoded, forget), f"__key {ddl}, __tie long, __ids binary, __part int")
     rows = rows.repartitionById(len(cuts) + 1, F.col("__part")).sortWithinPartitions(F.col("__key").asc_nulls_first(), "__tie").select("__key", "__ids", F.col("__part").cast("long"))
 
     def shards(batches):
