@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 what a stage returns as Parquet to the folder that the cluster shares and the
 next stage reads it, so that a lost executor never costs more than a stage.
+As the application, it sets the bytes that a Python worker gets at once.
 """
 
 from __future__ import annotations
@@ -14,26 +15,31 @@ from cloakframe.llm import decontam, jaccard, kit, mixing, quality, queries, tok
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands or the base rules reject go."""
+    kit.bounded(spark)
     return quality.keep(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    kit.bounded(spark)
     return jaccard.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    kit.bounded(spark)
     return decontam.clean(docs, kit.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document taken twice stands twice."""
+    kit.bounded(spark)
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token files are written and read back: doc_id, start, n_tokens, ids_crc32 of every document of the mix."""
+    kit.bounded(spark)
     return tokens.read(tokens.write(docs, queries.tokenizer_path(), queries.END_ID, kit.scratch(spark, keep=True)))
 
 
