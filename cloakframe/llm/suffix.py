@@ -25,6 +25,7 @@ left of the window is added, on the right where the window has as much there,
 else on the left.  Windows in a row share these bytes too, so stretches are
 halved, and equal windows still meet.  That is repeated while there are such
 hashes, until the whole window is known, of which there is one stretch only.
+Hashes that a sample shows to be such are split from the start.
 
 Equal stretches are merged in the block before anything is sent, so a passage
 or a group of copies costs each block one entry, however many rows hold it.
@@ -50,7 +51,9 @@ LENGTH, K = 200, 40
 CHUNK = 2 << 20  # bytes of one transform, unless one hash has more
 HOT, LOCAL = 4096, 1024
 UNIQUE, AGAIN, SEND, SPLIT = 0, 1, 2, 4
-RANGES = 100
+EARLY, RANGES = 50, 100  # steps of answers: levels from 0 on, those of early hashes from 50 on, ranges
+SAMPLE, SEEN = 256, 8  # one text of so many is looked at for early hashes: with so many distinct stretches there
+MOST_EARLY = 1 << 16  # the others are split when they are told to be
 
 
 class Stretches:
@@ -99,11 +102,22 @@ class Stretches:
             x = (self.sums[a + n] - self.sums[a]) * kit.powers(kit._PINV, len(self.sums))[a]
             return kit.mix(x ^ (n.astype(U) * U(kit._Q)))
 
-    def levels(self, told: pa.Table | None, buckets: int) -> list["Level"]:
-        """The distinct stretches, and those that hashes with too many of them were split to, with what is known of them."""
-        out = [Level(self, self.m, self.a, self.n)]
-        while told is not None and out[-1].judge(told, len(out) - 1, buckets) and (out[-1].verdict & SPLIT).any():
-            out.append(out[-1].split())
+    def levels(self, told: pa.Table | None, buckets: int, early: np.ndarray) -> list["Level"]:
+        """The distinct stretches, and those that hashes with too many of them were split to, with what is known of them.
+
+        Hashes of `early` are split from the start, so two rows of levels go on side by side.
+        """
+        at = np.minimum(np.searchsorted(early, self.m), max(0, len(early) - 1))
+        known = early[at] == self.m if len(early) else np.zeros(len(self.m), bool)
+        first = Level(self, self.m[known], self.a[known], self.n[known])
+        first.verdict = np.full(len(first.em), SPLIT, np.uint8)
+        out = []
+        for step, level in ((0, Level(self, self.m[~known], self.a[~known], self.n[~known])), (EARLY, first.split() if known.any() else None)):
+            while level is not None:
+                level.step = step
+                out.append(level)
+                level.open = told is None or not level.judge(told, step, buckets)
+                level, step = (level.split() if not level.open and (level.verdict & SPLIT).any() else None), step + 1
         return out
 
     def anchors(self, m: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +205,8 @@ def _undelta(b: bytes) -> np.ndarray:
     return np.cumsum(kit.unsqueeze(b, U), dtype=U)
 
 
-ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("m", pa.binary()), ("c", pa.binary()), ("flags", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
-ASK_DDL = "bucket long, block long, m binary, c binary, flags binary, size binary, data binary"
+ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("level", pa.int64()), ("m", pa.binary()), ("c", pa.binary()), ("flags", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
+ASK_DDL = "bucket long, block long, level long, m binary, c binary, flags binary, size binary, data binary"
 TELL = pa.schema([("block", pa.int64()), ("step", pa.int64()), ("bucket", pa.int64()), ("flags", pa.binary()), ("ranges", pa.binary()), ("split", pa.bool_())])
 TELL_DDL = "block long, step long, bucket long, flags binary, ranges binary, split boolean"
 
@@ -201,21 +215,23 @@ def _rows(rows: list, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _ask(docs: pa.Table, told: pa.Table | None, length: int, buckets: int) -> pa.Table:
-    """The entries of the last level; none if no hash of the level before must be split."""
+def _ask(docs: pa.Table, told: pa.Table | None, length: int, buckets: int, early: np.ndarray) -> pa.Table:
+    """The entries of levels that are not judged yet."""
     if not docs.num_rows or told is not None and not any(told["split"].to_pylist()):
         return ASK.empty_table()
-    block, levels = docs.column("__block")[0].as_py(), Stretches(kit.Texts(docs.column("__text")), length).levels(told, buckets)
-    x = levels[-1]
-    flags = (x.many * 1 + x.inner * 2 + x.crowded * 4).astype(np.uint8)[x.told]
-    m, c = x.em[x.told], x.ec[x.told]
-    return _rows([(b, block, _delta(m[q]), kit.squeeze(c[q]), kit.squeeze(flags[q]), None, None) for b, q in _by_bucket(m, buckets)], ASK)
+    block, rows = docs.column("__block")[0].as_py(), []
+    for x in Stretches(kit.Texts(docs.column("__text")), length).levels(told, buckets, early):
+        if x.open:
+            flags = (x.many * 1 + x.inner * 2 + x.crowded * 4).astype(np.uint8)[x.told]
+            m, c = x.em[x.told], x.ec[x.told]
+            rows += [(b, block, x.step, _delta(m[q]), kit.squeeze(c[q]), kit.squeeze(flags[q]), None, None) for b, q in _by_bucket(m, buckets)]
+    return _rows(rows, ASK)
 
 
-def _answer(asked: pa.Table, level: int) -> pa.Table:
+def _answer(asked: pa.Table) -> pa.Table:
     """For each entry: UNIQUE, AGAIN (all of it is repeated), SEND (its bytes are needed from this block), SPLIT."""
     # Who sends a stretch must not depend on the order in which blocks arrive.
-    asked = asked.take(np.argsort(asked["block"].to_numpy()))
+    asked = asked.take(np.lexsort((asked["level"].to_numpy(), asked["block"].to_numpy())))
     sizes, parts = [], []
     for i in range(asked.num_rows):
         m, c, f = _undelta(asked["m"][i].as_py()), kit.unsqueeze(asked["c"][i].as_py(), U), kit.unsqueeze(asked["flags"][i].as_py(), np.uint8)
@@ -236,7 +252,7 @@ def _answer(asked: pa.Table, level: int) -> pa.Table:
     out = np.empty(len(m), np.uint8)
     out[order] = verdict
     edges = np.cumsum([0, *sizes])
-    return _rows([(asked["block"][i].as_py(), level, asked["bucket"][i].as_py(), kit.squeeze(v), None, bool((v & SPLIT).any())) for i in range(asked.num_rows) for v in [out[edges[i] : edges[i + 1]]]], TELL)
+    return _rows([(asked["block"][i].as_py(), asked["level"][i].as_py(), asked["bucket"][i].as_py(), kit.squeeze(v), None, bool((v & SPLIT).any())) for i in range(asked.num_rows) for v in [out[edges[i] : edges[i + 1]]]], TELL)
 
 
 def _sent(levels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -250,15 +266,15 @@ def _sent(levels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return m[order], a[order], n[order], again[order]
 
 
-def _send(docs: pa.Table, told: pa.Table, length: int, buckets: int) -> pa.Table:
+def _send(docs: pa.Table, told: pa.Table, length: int, buckets: int, early: np.ndarray) -> pa.Table:
     if not docs.num_rows:
         return ASK.empty_table()
     s = Stretches(kit.Texts(docs.column("__text")), length)
     block, rows = docs.column("__block")[0].as_py(), []
-    m, a, n, again = _sent(s.levels(told, buckets))
+    m, a, n, again = _sent(s.levels(told, buckets, early))
     for b, q in _by_bucket(m, buckets):
         at = np.repeat(a[q] - (np.cumsum(n[q]) - n[q]), n[q]) + np.arange(n[q].sum())
-        rows.append((b, block, _delta(m[q]), None, kit.squeeze(again[q]), kit.squeeze(n[q]), kit.squeeze(s.t.buf[at], 3)))
+        rows.append((b, block, 0, _delta(m[q]), None, kit.squeeze(again[q]), kit.squeeze(n[q]), kit.squeeze(s.t.buf[at], 3)))
     return _rows(rows, ASK)
 
 
@@ -391,11 +407,11 @@ def _search(asked: pa.Table, length: int) -> pa.Table:
     return _rows(rows, TELL)
 
 
-def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, schema: pa.Schema) -> pa.Table:
+def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, early: np.ndarray, schema: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return schema.empty_table()
     t = kit.Texts(docs.column("__text"))
-    levels = Stretches(t, length).levels(told, buckets)
+    levels = Stretches(t, length).levels(told, buckets, early)
     step = np.zeros(len(t.buf) + 1, np.int32)
 
     def cover(lo, hi):
@@ -424,26 +440,44 @@ def _cover(docs: pa.Table, told: pa.Table, length: int, buckets: int, schema: pa
     return pa.table(cols, schema=schema)
 
 
+def _early(rows: DataFrame, length: int) -> np.ndarray:
+    """Hashes, sorted, that have many distinct stretches in a sample of the texts: they will have to be split.
+
+    The sample saves a pass over the texts; which hashes are in it changes no result.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in kit.slices(batch, "__text"):
+                s = Stretches(kit.Texts(part.column(0)), length)
+                x = Level(s, s.m, s.a, s.n)
+                yield pa.RecordBatch.from_arrays([pa.array(x.em.view(np.int64)), pa.array(x.ec.view(np.int64))], names=["m", "c"])
+
+    some = rows.where(F.pmod(F.xxhash64("__text"), F.lit(SAMPLE)) == 0).select("__text")
+    many = some.mapInArrow(kit.trimmed(run), "m long, c long").distinct().groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    return np.sort(np.array([r.m for r in many.orderBy(F.desc("n"), "m").limit(MOST_EARLY).collect()], np.int64).view(U))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with_text what is left (kept; a cut character shows as U+FFFD)."""
     dealt = kit.Dealt(docs, text, key)
     buckets = dealt.buckets
 
-    def answered(asked: DataFrame, level: int) -> DataFrame:
-        return kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(lambda t: _answer(t, level)), TELL_DDL))
+    early = _early(dealt.rows, length)
 
-    last = told = answered(dealt.by_block().applyInArrow(kit.one(lambda t: _ask(t, None, length, buckets)), ASK_DDL), 0)
-    level = 0
+    def answered(asked: DataFrame) -> DataFrame:
+        return kit.stored(dealt.by(asked, "bucket").applyInArrow(kit.one(_answer), TELL_DDL))
+
+    last = told = answered(dealt.by_block().applyInArrow(kit.one(lambda t: _ask(t, None, length, buckets, early)), ASK_DDL))
     while not last.where("split").isEmpty():
-        level += 1
-        again = told.groupBy("block").agg(F.max(F.when(F.col("step") == level - 1, F.col("split"))).alias("more"))
-        told_ = told.join(again.where("more").select("block"), "block", "left_semi")
-        last = answered(dealt.by_block().cogroup(told_.groupBy("block")).applyInArrow(kit.two(lambda a, b: _ask(a, b, length, buckets) if b.num_rows else ASK.empty_table()), ASK_DDL), level)
+        # Only blocks with something new to split are asked again.
+        again = told.join(last.where("split").select("block").distinct(), "block", "left_semi")
+        last = answered(dealt.by_block().cogroup(again.groupBy("block")).applyInArrow(kit.two(lambda a, b: _ask(a, b, length, buckets, early) if b.num_rows else ASK.empty_table()), ASK_DDL))
         told = told.unionByName(last)
-    sent = dealt.by_block().cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets)), ASK_DDL)
+    sent = dealt.by_block().cogroup(told.groupBy("block")).applyInArrow(kit.two(lambda a, b: _send(a, b, length, buckets, early)), ASK_DDL)
     found = dealt.by(sent, "bucket").applyInArrow(kit.one(lambda t: _search(t, length)), TELL_DDL)
     fields = [("doc_id", dealt.arrow), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]
     schema = pa.schema([*fields, ("kept", pa.large_string())] if with_text else fields)
     out = f"doc_id {dealt.ddl}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     both = told.unionByName(found)
-    return dealt.by_block().cogroup(both.groupBy("block")).applyInArrow(kit.two(lambda a, b: _cover(a, b, length, buckets, schema)), out)
+    return dealt.by_block().cogroup(both.groupBy("block")).applyInArrow(kit.two(lambda a, b: _cover(a, b, length, buckets, early, schema)), out)

@@ -139,7 +139,7 @@ def test_buckets_grow_with_the_root_of_the_blocks(spark):
     text = " ".join(vocabulary[int(k) % 30_000] for k in gen.zipf(1.2, 400_000))
     docs = pa.table({"doc_id": [1], "__text": [text], "__block": pa.array([0]), "__held": [False]})
     buckets = {blocks: kit.buckets_of(blocks) for blocks in (170, 10_000)}
-    for f in (lambda n: suffix._ask(docs, None, 200, n), lambda n: chaining._tell(docs, n), lambda n: lm._ask(docs, lm.NONE, n)):
+    for f in (lambda n: suffix._ask(docs, None, 200, n, np.zeros(0, np.uint64)), lambda n: chaining._tell(docs, n), lambda n: lm._ask(docs, lm.NONE, n)):
         size = {b: f(n) for b, n in buckets.items()}
         size = {b: sum(len(x.as_py()) for c in t.column_names if pa.types.is_binary(t.schema.field(c).type) for x in t[c] if x.is_valid) + 60 * t.num_rows for b, t in size.items()}
         assert size[10_000] < 1.2 * size[170], size
@@ -322,3 +322,15 @@ def test_packed_rows_with_map_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,string>")
     assert mixing.mix(docs).columns == docs.columns
     assert quality.keep(docs, min_words=1).where(F.col("doc_id") > 0).count() >= 0
+
+
+def test_operators_leave_the_session_alone(spark, texts):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", kit.BATCH_BYTES, kit.CLEAN_UP, "spark.sql.shuffle.partitions")
+    was = {n: spark.conf.get(n, None) for n in names}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    html.extract(docs.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html")).count()
+    suffix.dedup(docs).count()
+    quality.keep(docs).count()
+    with pytest.raises(Exception, match="no such"):
+        kit.stored(docs.select(F.raise_error(F.lit("no such")).alias("x")))
+    assert {n: spark.conf.get(n, None) for n in names} == was

@@ -244,8 +244,10 @@ def test_suffix(docs, rows, none, monkeypatch, length, hot, local, block):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "LOCAL", local)
     monkeypatch.setattr(kit, "BLOCK_BYTES", block)
-    got = Counter(tuple(r) for r in suffix.dedup(docs, length).collect())
-    assert got == brute_suffix(rows, length)
+    for sample, seen in ((256, 8), (1, 2), (2, 1)):  # hashes that are split from the start: none, many
+        monkeypatch.setattr(suffix, "SAMPLE", sample)
+        monkeypatch.setattr(suffix, "SEEN", seen)
+        assert Counter(tuple(r) for r in suffix.dedup(docs, length).collect()) == brute_suffix(rows, length)
     assert suffix.dedup(none).count() == 0
 
 
