@@ -36,16 +36,21 @@ def _score(n: Column) -> Column:
     return F.least(F.lit(0.99), F.lit(0.15) + F.lit(0.3) * n)
 
 
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns whose values are made once: a generator of one row stands between the projections, so that Spark does not put the expressions into lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _weighed(df: DataFrame, text: str, terms=R.SCORE_TERMS) -> DataFrame:
     """Adds __t (tokens), __n (distinct terms among them) and __once (terms that occur once).
 
     Removing one token changes the score only if it is a term that occurs once, so nothing is scored again.
     """
     listed = F.array(*(F.lit(x) for x in terms))
-    rows = df.withColumn("__t", tokens(F.col(text)))
-    rows = rows.withColumn("__hits", F.filter("__t", lambda x: F.array_contains(listed, x))).withColumn("__n", F.size(F.array_distinct("__hits")))
+    rows = _fixed(df, __t=tokens(F.col(text)))
+    rows = _fixed(rows, __hits=F.filter("__t", lambda x: F.array_contains(listed, x)))
     once = F.filter(F.array_distinct("__hits"), lambda x: F.size(F.filter(F.col("__hits"), lambda y: y == x)) == 1)
-    return rows.withColumn("__once", once).drop("__hits")
+    return _fixed(rows, __n=F.size(F.array_distinct("__hits")), __once=once).drop("__hits")
 
 
 def token_importance(df: DataFrame, key: str, text: str, terms=R.SCORE_TERMS) -> DataFrame:
@@ -62,17 +67,17 @@ def with_effects(df: DataFrame, text: str, terms=R.SCORE_TERMS) -> DataFrame:
     every = F.transform("__t", lambda x, i: F.struct(i.alias("token_index"), x.alias("token")))
     some = F.filter(every, lambda x: F.array_contains("__once", x["token"]))
     effects = F.transform(some, lambda x: F.struct(x["token_index"].alias("token_index"), x["token"].alias("token"), F.col("__delta").alias("delta")))
-    rows = _weighed(df, text, terms).withColumn("__delta", delta)
-    return rows.withColumn("effects", F.when(F.col("__delta") != 0, effects).otherwise(F.slice(effects, 1, 0))).drop("__n", "__once", "__delta")
+    rows = _fixed(_weighed(df, text, terms), __delta=delta)
+    return _fixed(rows, effects=F.when(F.col("__delta") != 0, effects).otherwise(F.slice(effects, 1, 0))).drop("__n", "__once", "__delta")
 
 
 def with_evidence(df: DataFrame, text: str, anchors: int = 3, radius: int = 2, least: float = 0.03, relative: float = 0.25) -> DataFrame:
     """Adds phrase and n_anchors: the tokens within `radius` of the row's best anchors, joined in order; null and 0 where there is none."""
     rows = with_effects(df, text)
-    rows = rows.withColumn("__good", F.filter("effects", lambda x: x["delta"] >= least))
-    rows = rows.withColumn("__best", F.array_max(F.transform("__good", lambda x: x["delta"])))
+    rows = _fixed(rows, __good=F.filter("effects", lambda x: x["delta"] >= least))
+    rows = _fixed(rows, __best=F.array_max(F.transform("__good", lambda x: x["delta"])))
     ranked = F.array_sort(F.transform(F.filter("__good", lambda x: x["delta"] >= relative * F.col("__best")), lambda x: F.struct((-x["delta"]).alias("d"), x["token_index"].alias("i"))))
-    rows = rows.withColumn("__at", F.transform(F.slice(ranked, 1, anchors), lambda x: x["i"]))
+    rows = _fixed(rows, __at=F.transform(F.slice(ranked, 1, anchors), lambda x: x["i"]))
     near = F.array_distinct(F.flatten(F.transform("__at", lambda a: F.sequence(F.greatest(a - radius, F.lit(0)), F.least(a + radius, F.size("__t") - 1)))))
     phrase = F.array_join(F.transform(F.array_sort(near), lambda i: F.element_at("__t", i + 1)), " ")
     rows = rows.withColumn("n_anchors", F.size("__at")).withColumn("phrase", F.when(F.col("n_anchors") > 0, phrase))
