@@ -237,7 +237,7 @@ def test_trees_prune_and_agree():
         if len(part):
             assert tree.sums[j].tolist() == part.sum(0).tolist() and int(tree.squares[j]) == int((part * part).sum())
             assert (np.sqrt(((part - tree.centre[j]) ** 2).sum(1)) <= tree.radius[j]).all()
-    centroids = x[[int(np.flatnonzero(x[:, 0] // 1000 == v)[0]) for v in range(8)]]
+    centroids = x[[int(np.flatnonzero((x[:, 0] + 500) // 1000 == v)[0]) for v in range(8)]]
     whole, owners, leaves = balls.visit(tree, centroids)
     assert len(leaves) < len(bounds) / 8  # most balls go whole
     cluster, distance = balls.assigned(tree, centroids)
