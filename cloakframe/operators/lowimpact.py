@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import resources as R
 from cloakframe.functions import text as T
+from cloakframe.resources import patterns
 from cloakframe.operators import signals
 
 NEVER = tuple(sorted({w for terms in (*R.TARGETS.values(), *R.CUES.values()) for t in terms for w in t.split()}))
@@ -34,7 +35,7 @@ def _by_look(token: Column, normal: Column, length: int) -> list[tuple[Column, C
     """What the token's look says: placeholders never, style markers and drawn-out letters always, short ones not."""
     none = F.lit(None).cast("string")
     drawn = F.lower(token).rlike("|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"))
-    return [(token.rlike(r"^\[[A-Z][A-Z_]*(?::[A-Za-z0-9_/-]+)?\]$"), none), (token.rlike(MARKER), F.lit("style_marker")), (drawn, F.lit("repeated_letters")), (F.length(normal) < length, none)]
+    return [(token.rlike(f"^{patterns.PLACEHOLDER}$"), none), (token.rlike(MARKER), F.lit("style_marker")), (drawn, F.lit("repeated_letters")), (F.length(normal) < length, none)]
 
 
 def _first(cases: list[tuple[Column, Column]]) -> Column:

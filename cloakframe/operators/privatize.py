@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions import text as T
+from cloakframe.resources import patterns
 from cloakframe.spans import detect as D
 from cloakframe.spans import measure as M
 from cloakframe.spans import style as S
@@ -101,16 +105,17 @@ def simple_scrub(text: Column) -> Column:
     return _udf(lambda t: dict(zip(("text", "n"), D.simple(t))), "text string, n int", text)
 
 
-FORMS = {"EMAIL": D._MAIL, "URL": D._LINK, "DATE": D._DAY, "AGE": D._YEARS, "IDENTIFIER": D._NUMBERED}
+#: The plain forms of identifiers, letters in either case.
+FORMS = {"EMAIL": (D._MAIL.pattern,), "URL": (patterns.URL,), "DATE": (patterns.DATE,), "AGE": patterns.AGE, "IDENTIFIER": (patterns.IDENTIFIER,)}
 
 
-def form_counts(text: Column) -> Column:
-    """How often each of the plain forms shows, before anything is merged; map by type."""
+def form_counts(text: Column) -> dict[str, Column]:
+    """How often each of the plain forms shows, before anything is merged. Native."""
 
-    def run(t):
-        return {k: n for k, p in FORMS.items() if (n := sum(k != "IDENTIFIER" or any(c.isdigit() for c in m[1]) for m in p.finditer(t)))}
+    def count(pattern: str) -> Column:
+        return F.coalesce(F.regexp_count(text, F.lit("(?i)" + T.ascii_bounds(pattern))), F.lit(0)).cast("long")
 
-    return _udf(run, "map<string,int>", text)
+    return {k: functools.reduce(operator.add, map(count, ps)) for k, ps in FORMS.items()}
 
 
 def strict_cleanup(text: Column, direct_only: bool = False) -> Column:

@@ -173,25 +173,17 @@ def role_summary(spark, d):
 
 
 
-_FORMS = {
-    "EMAIL": r"(?i)\b[a-z0-9._%+-]+@(?:[a-z0-9-]*\.)+[a-z]{2,}\b",
-    "URL": r"(?i)\b(?:h(?:tt|xx)ps?://|www\.)[^\s<>()]+",
-    "DATE": r"(?i)\b(?:\d\d?[/-]\d\d?[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d\d?,?\s+\d{2,4})\b",
-    "AGE": r"(?i)\b(?:(?:i am|i'm|aged?)\s+\d\d?(?:\s+years?\s+old)?|\d\d?[- ]year[- ]old)\b",
-    "IDENTIFIER": r"(?i)\b(?:id|case|ticket|student|user|ref)[-_:#]?[a-z0-9_-]+\b",
-}
+def _form_sql(kind: str) -> str:
+    n = " + ".join(f"len(regexp_extract_all(text, {_q('(?i)' + p)}))" for p in privatize.FORMS[kind])
+    return f"SELECT '{kind}' AS entity_type, coalesce(sum({n}), 0)::bigint AS n, count(*) FILTER ({n} > 0) AS n_rows FROM documents"
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS entity_type, sum(len(list_filter(regexp_extract_all(text, {_q(p)}), lambda x: {chr(39) + k + chr(39)} <> 'IDENTIFIER' OR regexp_matches(x, '[0-9]'))))::bigint AS n, count(*) FILTER (len(list_filter(regexp_extract_all(text, {_q(p)}), lambda x: {chr(39) + k + chr(39)} <> 'IDENTIFIER' OR regexp_matches(x, '[0-9]'))) > 0) AS n_rows FROM documents" for k, p in _FORMS.items()))
+@query(" UNION ALL ".join(map(_form_sql, privatize.FORMS)))
 def identifier_form_counts(spark, d):
     """The detectors' plain forms over all texts, by type."""
-    long = table(spark, d, "documents").select(F.explode(privatize.form_counts(F.col("text"))).alias("entity_type", "n"))
-    kinds = spark.createDataFrame([(k,) for k in privatize.FORMS], "entity_type string")
-    sums = long.groupBy("entity_type").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("n_rows"))
-    return kinds.join(sums, "entity_type", "left").select("entity_type", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
-
-
-_ADDRESSES = f"regexp_extract_all(text, {_q(_MAIL)})"
+    counts = privatize.form_counts(F.col("text"))
+    rows = table(spark, d, "documents").select(F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), n.alias("n")) for k, n in counts.items()))).alias("x")).select("x.*")
+    return rows.groupBy("entity_type").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("n_rows"))
 
 
 @query(f"""WITH v AS (SELECT doc_id, source, list_distinct({_ADDRESSES}) AS vs, text FROM documents), f AS (SELECT DISTINCT source, doc_id, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS n FROM (SELECT source, doc_id, unnest(vs) AS x FROM v)),

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from cloakframe.sources import exact_csv
 
 
 def assert_utf8(path: str) -> None:
@@ -28,43 +28,16 @@ def assert_utf8(path: str) -> None:
         decoder.decode(b"", final=True)
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).limit(1).first()
-    if line is None:
-        raise ValueError(f"{path}: a header is needed")
-    return next(csv.reader([line[0].removeprefix("﻿")]))
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as strings, an empty cell as '', with row_index (1, 2, ...) in file order.
-
-    The index is the file order of one file: partitions of a scan keep it, and
-    the count of rows before each partition is added to the place inside it.
-    """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(spark, path)])
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).fillna("")
-    local = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    starts = local.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.select(F.col("__p").alias("__q"), before.alias("__before"), "__first")
-    return local.join(starts, F.col("__p") == F.col("__q")).withColumn("row_index", F.col("__before") + F.col("__i") - F.col("__first") + 1).drop("__p", "__q", "__i", "__before", "__first")
+    """All cells as strings, an empty cell as '', with row_index (1, 2, ...) in file order; ranges of the file are read in parallel."""
+    df = exact_csv.read(spark, path)
+    return df.select(*(df[f"`{c}`"] for c in df.columns[1:]), df[df.columns[0]]) if len(set(df.columns)) == len(df.columns) else df
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], index: str = "row_index") -> int:
-    """One file in row order with the given columns, CRLF line ends and minimal quoting; missing columns are empty. Returns the number of rows.
-
-    Rows stream through the driver a partition at a time, since one exact file is asked for; distributed output goes to df.write.
-    """
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    n = 0
-    picked = df.orderBy(index).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(columns)
-        for n, row in enumerate(picked.toLocalIterator(), 1):
-            w.writerow(row)
-    assert_utf8(path)
-    return n
+    """One file in row order with the given columns, CRLF line ends and minimal quoting; missing columns are empty. Returns the number of rows."""
+    exact_csv.write(df, path, columns, index)
+    return df.count()
 
 
 def write_json(path: str, value, sort_keys: bool = False) -> None:
