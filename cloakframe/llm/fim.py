@@ -21,10 +21,10 @@ case; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,67 +33,78 @@ from pyspark.sql import types as T
 from cloakframe.llm import kit
 
 SENTINELS = ("<P>", "<S>", "<M>")
-PIECE = re.compile(r"\S{1,64}\s?|\s{1,64}")
-WINDOW, KNOWN = 1 << 18, 1 << 17  # code points looked at at once; pieces remembered, after which it begins anew
+WINDOW, KNOWN, TOGETHER = 1 << 18, 1 << 20, 256  # code points looked at at once; pieces remembered, after which it begins anew; pieces split at once
+NONE = 0xFFFFFFFF  # in place of the second code point of a piece that has one
 
 
 class Offsets:
-    """Code-point offsets of texts by the Split pre-tokenizer."""
+    """Code-point offsets of texts by the Split pre-tokenizer. A piece is a number: its code points, the first one lowest."""
 
     def __init__(self):
         from tokenizers import Regex, pre_tokenizers
 
         self._split = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
-        self._known: dict[str, tuple[int, int]] = {}
-
-    def of(self, piece: str) -> list[tuple[int, int]]:
-        """(from, to) of each code point of a piece."""
-        return [at for _, at in self._split.pre_tokenize_str(piece)]
-
-    def _size(self, piece: str) -> tuple[int, int]:
-        """Length of a piece's offset array, and where its last offset ends."""
-        got = self._known.get(piece)
-        if got is None:
-            if len(self._known) >= KNOWN:
-                self._known.clear()
-            at = self.of(piece)
-            got = self._known[piece] = len(at), at[-1][1]
-        return got
-
-    def sizes(self, text: str) -> list[tuple[int, int]]:
-        return [self._size(p) for p in PIECE.findall(text)]
-
-    def windows(self, text: str) -> list[tuple[int, int]]:
-        """Of each window of the text: length of its offset array, and where its last offset ends."""
-        out = []
-        for i in range(0, len(text), WINDOW):
-            sizes = self.sizes(text[i : i + WINDOW])
-            out.append((sum(n for n, _ in sizes), sum(end for _, end in sizes)))
-        return out
-
-    def at(self, text: str, windows: list[tuple[int, int]], rank: int) -> int:
-        """The offset of a rank; the rank n is the end of the text."""
-        many, ends = ([0, *accumulate(w[k] for w in windows)] for k in (0, 1))
-        if rank >= many[-1]:
-            return ends[-1]
-        w = bisect_right(many, rank) - 1
-        rank, base = rank - many[w], ends[w]
-        for piece in PIECE.finditer(text, base, base + windows[w][1]):
-            n, end = self._size(piece[0])
-            if rank < n:
-                return base + self.of(piece[0])[rank][0]
-            rank, base = rank - n, base + end
-        raise AssertionError("offsets of pieces and windows differ")
+        self._known: dict[int, int] = {}
+        self._last: tuple[str, np.ndarray] = "", np.zeros(0, np.int64)
+
+    def of(self, text: str) -> list[tuple[int, int]]:
+        """(from, to) of each code point of a text."""
+        return [at for _, at in self._split.pre_tokenize_str(text)]
+
+    def _learn(self, pieces: list[int]) -> None:
+        """Lengths of the offset arrays of pieces, many of which are split as one text."""
+        if len(self._known) >= KNOWN:
+            self._known.clear()
+        for i in range(0, len(pieces), TOGETHER):
+            some = [chr(p & NONE) + (chr(p >> 32) if p >> 32 != NONE else "") for p in pieces[i : i + TOGETHER]]
+            begins = [a for a, _ in self.of("".join(some))]
+            edges = [bisect_left(begins, x) for x in accumulate(map(len, some))]
+            self._known.update(zip(pieces[i : i + TOGETHER], (b - a for a, b in zip([0, *edges], edges))))
+
+    def edges(self, window: str) -> np.ndarray:
+        """Of each piece of a window, the length of the offset array up to its end."""
+        if window is not self._last[0]:
+            points = np.frombuffer(window.encode("utf-32-le"), np.uint32)
+            points = np.append(points, np.uint32(NONE)) if len(points) % 2 else points
+            pieces, at = np.unique(points.view(np.uint64), return_inverse=True)
+            pieces = pieces.tolist()
+            new = [p for p in pieces if p not in self._known]
+            if new:
+                self._learn(new)
+                if not all(map(self._known.__contains__, pieces)):
+                    self._learn(pieces)  # it began anew
+            sizes = np.array([self._known[p] for p in pieces], np.int64)
+            self._last = window, np.cumsum(sizes[at.reshape(-1)])
+        return self._last[1]
+
+    def windows(self, text: str) -> list[int]:
+        """Of each window of the text, the length of its offset array."""
+        return [int(self.edges(text[i : i + WINDOW])[-1]) for i in range(0, len(text), WINDOW)]
+
+    def at(self, text: str, ends: list[int], rank: int) -> int:
+        """The offset of a rank, by the sums of the windows' lengths; the rank n is the end of the text.
+
+        Every code point is isolated, so the array of what is before a piece is as long as what is before it.
+        """
+        if not ends or rank >= ends[-1]:
+            return ends[-1] if ends else 0
+        w = bisect_right(ends, rank)
+        base = ends[w - 1] if w else 0
+        window = text[base : ends[w]]
+        edges = self.edges(window)
+        k = int(np.searchsorted(edges, rank - base, "right"))
+        low = int(edges[k - 1]) if k else 0
+        return base + low + self.of(window[low : int(edges[k])])[rank - base - low][0]
 
 
 def cut(offsets: Offsets, text: str, h: tuple, rate: int, spm: int, sentinels: tuple = SENTINELS) -> tuple:
     """(n, form, code points of prefix and of middle, output) of a text with its four draws."""
-    windows = offsets.windows(text)
-    n = sum(k for k, _ in windows)
+    ends = list(accumulate(offsets.windows(text)))
+    n = ends[-1] if ends else 0
     if not n or h[2] % 100 >= rate or any(s in text for s in sentinels):
         return n, "plain", None, None, text
     low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
-    a, b = offsets.at(text, windows, low), offsets.at(text, windows, high)
+    a, b = offsets.at(text, ends, low), offsets.at(text, ends, high)
     prefix, middle, suffix = text[:a], text[a:b], text[b:]
     p, s, m = sentinels
     if h[3] % 100 < spm:
