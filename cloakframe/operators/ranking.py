@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakframe.operators.scans import running_sums  # noqa: F401  it has stood here
+
 
 def hashed_rank(df: DataFrame, group: str, key: Column, name: str = "rank") -> DataFrame:
     """Ranks rows of each group (from 0) by the sha256 of a key.
@@ -21,28 +23,6 @@ def hashed_rank(df: DataFrame, group: str, key: Column, name: str = "rank") -> D
     return joined.withColumn(name, (F.col("__start") + inner).cast("long")).drop("__h", "__b", "__g", "__c", "__start")
 
 
-RANGES = 256
-
-
-def running_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """Adds upto_c and all_c for each c of sums: its sum up to and with the row in the order of a numeric column, and over all rows.
-
-    Rows are put in at most RANGES ranges by approximate quantiles; sums of the ranges (a row for each) give where
-    each begins, and only rows of one range are sorted together. Rows that share a value should be one row.
-    """
-    at = [k / RANGES for k in range(1, RANGES)]
-    cuts = sorted(set(df.select(F.percentile_approx(F.col(order).cast("double"), at, 10_000)).first()[0] or []))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("__range", (-place if descending else place))
-    own = Window.partitionBy("__range").orderBy(F.desc(order) if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    # A row for each range: at most RANGES of them are sorted in one task and sent to all others.
-    per = rows.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
-    every, before = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select(F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in sums), *(F.sum(f"__{c}").over(every).alias(f"all_{c}") for c in sums))
-    rows = rows.select("*", *(F.sum(c).over(own).alias(f"__own_{c}") for c in sums)).join(F.broadcast(starts), F.col("__range") == F.col("__r"))
-    return rows.select(*df.columns, *((F.col(f"__before_{c}") + F.col(f"__own_{c}")).alias(f"upto_{c}") for c in sums), *(f"all_{c}" for c in sums))
-
-
 def stratified_kfold(df: DataFrame, label: str, key: Column, folds: int = 5) -> DataFrame:
     """Fold of every row; each label is dealt evenly."""
     return hashed_rank(df, label, key).withColumn("fold", (F.col("rank") % folds).cast("int")).drop("rank")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.operators.scans import overlap_semi  # noqa: F401  it has stood here
+
 SENSITIVE = frozenset(("user", "author", "email", "mail", "phone", "name", "handle", "username", "ip"))
 
 
@@ -72,15 +74,3 @@ def matches_filter(kind: str, risk: Column, label: Column) -> Column:
 def window(df: DataFrame, index: str, offset: int, limit: int) -> DataFrame:
     """Rows offset + 1 to offset + limit by their 1-based index; no sort, and the bounds reach the scan."""
     return df.where(F.col(index).between(offset + 1, offset + limit))
-
-
-def overlap_semi(left: DataFrame, right: DataFrame, by: list[str], start: str, end: str, width: int = 256) -> DataFrame:
-    """Left rows whose half-open interval overlaps one of right's in the same group.
-
-    Both sides are cut at multiples of width, so the join is on equal cells; each group is spread over its cells.
-    """
-    cells = lambda: F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(start), F.col(end) - 1)) / width))).alias("__cell")
-    a = left.withColumn("__id", F.monotonically_increasing_id()).select("*", cells())
-    b = right.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(start).alias("__s"), F.col(end).alias("__e"), cells().alias("__c"))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__cell") == F.col("__c"), F.col(start) < F.col("__e"), F.col("__s") < F.col(end)]
-    return a.join(b, on, "left_semi").dropDuplicates(["__id"]).drop("__id", "__cell")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cloakframe import resources as R
 from cloakframe.functions.text import tokens
+from cloakframe.operators.scans import merged as interval_merge  # noqa: F401  they have stood here
+from cloakframe.operators.scans import runs  # noqa: F401
 
 
 def token_counts(df: DataFrame, author: str, text: str) -> DataFrame:
@@ -95,33 +97,6 @@ def evidence(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     return with_evidence(df.select(F.col(key).alias("key"), F.col(text).alias("__x")), "__x", **options).where("n_anchors > 0").select("key", "phrase", F.col("n_anchors").cast("int").alias("n_anchors"))
 
 
-def interval_merge(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching intervals of each group as one: by, start, end, n."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    marked = marked.withColumn("__group", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "__group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("__group")
-
-
-def runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Ranges [first, last] of consecutive integers in each group (gaps and islands).
-
-    A run begins where the number before is missing and ends where the next one is; both are looked up by
-    group and number, so that a hot group is spread, and only the ends of runs are put in order.
-    """
-    rows = df.select(*by, F.col(value).alias("__v")).distinct()
-
-    def ends(step: int, name: str) -> DataFrame:
-        other = rows.select(*(F.col(c).alias(f"__{c}") for c in by), (F.col("__v") + step).alias("__w"))
-        alone = rows.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__v") == F.col("__w")], "left_anti")
-        return alone.select(*by, F.col("__v").alias(name), F.row_number().over(Window.partitionBy(*by).orderBy("__v")).alias("__k"))
-
-    last = ends(-1, "last").select(*(F.col(c).alias(f"__{c}") for c in by), "last", F.col("__k").alias("__n"))
-    pairs = ends(1, "first").join(last, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__k") == F.col("__n")])
-    return pairs.select(*by, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
-
-
 def repeated_values(df: DataFrame, author: str, key: str, values: Column, least: int = 2) -> DataFrame:
     """author, value, n_rows: values that an author has in at least `least` rows."""
     long = df.select(F.col(author).alias("author"), F.col(key).alias("k"), F.explode(F.array_distinct(values)).alias("value"))
