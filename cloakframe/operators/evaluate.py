@@ -33,6 +33,17 @@ def classification_metrics(df: DataFrame, gold: Column, predicted: Column, by: t
     return rates(df.groupBy(*by).agg(*confusion(gold, predicted)))
 
 
+def grid(df: DataFrame, gold: Column, predicted: Column, sets: list[list[str]]) -> DataFrame:
+    """Metrics of all combinations of columns at once, such as of models, data sets, splits and rules: those of every set, with its subtotals.
+
+    Columns that a set leaves out are null; level (a bit for each column left out, the last column lowest) tells
+    them from nulls of the data. One shuffle, of counts that are added up before it.
+    """
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    counted = df.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(*confusion(gold, predicted), F.grouping_id().alias("level"))
+    return rates(counted.select(*names, F.col("level").cast("int").alias("level"), "tp", "fp", "fn", "tn"))
+
+
 def threshold_sweep(df: DataFrame, gold: Column, score: str) -> DataFrame:
     """One row per distinct score as threshold (score >= threshold is positive), with its metrics.
 

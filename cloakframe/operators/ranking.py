@@ -14,7 +14,7 @@ def hashed_rank(df: DataFrame, group: str, key: Column, name: str = "rank") -> D
     The first three hex digits are counted for each group; only rows that share
     them are sorted together, so a group may hold any share of all rows.
     """
-    rows = df.withColumn("__h", F.sha2(key.cast("string"), 256)).withColumn("__b", F.substring("__h", 1, 3))
+    rows = df.withColumn("__h", F.sha2(F.coalesce(key.cast("string"), F.lit("")), 256)).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy(group, "__b").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), before.alias("__start"))

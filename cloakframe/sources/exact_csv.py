@@ -94,6 +94,8 @@ def effect(blocks: Iterator[bytes]) -> tuple[list[int], list[int]]:
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
