@@ -97,13 +97,77 @@ def index(ids: list, texts: list) -> dict:
     return {"seed": seed, "at": at, "n": n, "gap": gap, "words": h, "first": t.first, "doc": doc, "ids": ids, "sizes": sizes}
 
 
-CELLS = 1 << 18  # words laid side by side at once
-
-
-def _diagonals(t: kit.Texts, h: np.ndarray, ix: dict):
-    """Rows (text, item, text's word that the item's first word lies on) that share a seed; some rows come again."""
+CELLS = 1 << 18  # words laid side by side, or hits looked at, at once
+
+
+def promising(h: np.ndarray, words: np.ndarray, here: np.ndarray, there: np.ndarray, text: tuple, item: tuple, mask: str, need: np.ndarray) -> np.ndarray:
+    """Whether a stretch around each hit may have enough equal words; here and there: its first words, text and item: (first word, end) of each.
+
+    Both ends are followed word by word, each until what is lost there outweighs the hit and what the other end has
+    brought, or the words are enough. A chance hit is given up after three words on either side.
+    """
+    free = np.flatnonzero(np.array(list(mask)) == "0")
+    equal = mask.count("1") + (h[here[:, None] + free] == words[there[:, None] + free]).sum(1)
+    ok, row = np.zeros(len(here), bool), np.arange(len(here))
+    off, score, gain, ended = np.zeros((2, len(row)), np.int64), np.zeros((2, len(row)), np.int64), np.zeros((2, len(row)), np.int64), np.zeros((2, len(row)), bool)
+    while len(row):
+        moved = np.zeros(len(row), bool)
+        for side in (0, 1):
+            k = np.flatnonzero(~ended[side] & (score[side] + gain[1 - side] + mask.count("1") > 0))
+            off[side, k] += 1
+            step = off[side, k] + (len(mask) - 1) if side else -off[side, k]
+            x, y, r = here[row[k]] + step, there[row[k]] + step, row[k]
+            inside = (x >= text[0][r]) & (x < text[1][r]) & (y >= item[0][r]) & (y < item[1][r])
+            ended[side, k[~inside]] = True
+            k = k[inside]
+            same = h[x[inside]] == words[y[inside]]
+            equal[row[k]] += same
+            score[side, k] += np.where(same, 1, -MISS)
+            gain[side, k] = np.maximum(gain[side, k], score[side, k])
+            moved[k] = True
+        enough = equal[row] >= need[row]
+        ok[row[enough]] = True
+        stays = moved & ~enough
+        row, off, score, gain, ended = row[stays], off[:, stays], score[:, stays], gain[:, stays], ended[:, stays]
+    return ok
+
+
+DEPTH = 8  # words on either side of a hit that are looked at for all hits alike
+
+
+def chance(h: np.ndarray, words: np.ndarray, here: np.ndarray, there: np.ndarray, mask: str, need: np.ndarray) -> np.ndarray:
+    """Hits that `promising` would give up within a few words of either side, found for many at once.
+
+    Words beyond a text's or an item's bounds are compared too; at worst they let a hit stay.
+    """
+    size, ones = len(here), mask.count("1")
+    free = [j for j, c in enumerate(mask) if c == "0"]
+    equal = np.full(size, ones, np.int8)
+    for j in free:
+        equal += h.take(here + j, mode="clip") == words.take(there + j, mode="clip")
+    sides = [[h.take(here + o, mode="clip") == words.take(there + o, mode="clip") for o in offs] for offs in (range(-1, -DEPTH - 1, -1), range(len(mask), len(mask) + DEPTH))]
+
+    def follow(same: list, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(most that is gained, equal words passed, whether the way ended)"""
+        going, score, gain, passed = np.ones(size, bool), np.zeros(size, np.int8), np.zeros(size, np.int8), np.zeros(size, np.int8)
+        for x in same:
+            score += np.where(x, 1, -MISS).astype(np.int8)
+            passed += x & going
+            gain = np.where(going, np.maximum(gain, score), gain)
+            going &= score + budget > 0
+        return gain, passed, ~going
+
+    left, _, _ = follow(sides[0], np.full(size, ones, np.int8))
+    right, more, ended = follow(sides[1], left + np.int8(ones))
+    again, less, over = follow(sides[0], right + np.int8(ones))
+    return ended & over & (again == left) & (equal + more + less < need)
+
+
+def _diagonals(t: kit.Texts, h: np.ndarray, ix: dict, least: int):
+    """Rows (text, item, text's word that the item's first word lies on) that share a seed and may share enough words; some rows come again."""
     doc = t.doc
-    for s, at in [*seeds(h, doc), *short(h, doc, t.first, ix["sizes"], False)]:
+    masks = [m for m in MASKS if len(m) <= len(h)] + ["1" * n for n in sorted(ix["sizes"]) if n <= len(h)]
+    for mask, (s, at) in zip(masks, [*seeds(h, doc), *short(h, doc, t.first, ix["sizes"], False)], strict=True):
         lo = np.searchsorted(ix["seed"], s, "left")
         hit = lo < len(ix["seed"])
         hit[hit] = ix["seed"][lo[hit]] == s[hit]
@@ -111,30 +175,75 @@ def _diagonals(t: kit.Texts, h: np.ndarray, ix: dict):
             continue
         seed, d, a, n, gap = runs(s[hit], doc[at[hit]], at[hit])
         lo, hi = np.searchsorted(ix["seed"], seed, "left"), np.searchsorted(ix["seed"], seed, "right")
-        mine = np.repeat(np.arange(len(seed)), hi - lo)
-        theirs = np.repeat(lo, hi - lo) + np.arange(len(mine)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        m, there = ix["n"][theirs], ix["at"][theirs]
-        item = ix["doc"][theirs]
-        base = a[mine] - (there - ix["first"][item])
-        n, gap, other = n[mine], gap[mine], ix["gap"][theirs]
-        even = (n > 1) & (m > 1) & (gap == other)
-        # Differences of two even runs: as many as both have, less one; of others, each with each.
-        many = np.where(even, n + m - 1, n * m)
-        ends = np.cumsum(many)
-        k = 0
-        while k < len(many):
-            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CELLS, "right")))
-            row = np.repeat(np.arange(k, stop), many[k:stop])
-            j = np.arange(len(row)) - np.repeat(ends[k:stop] - many[k:stop] - (ends[k - 1] if k else 0), many[k:stop])
+        # Pairs of runs are made in lots too: a seed may have very many on both sides.
+        pairs = np.cumsum(hi - lo)
+        p = 0
+        while p < len(seed):
+            q = max(p + 1, int(np.searchsorted(pairs, (pairs[p - 1] if p else 0) + CELLS, "right")))
+            yield from _lots(t, h, ix, least, mask, lo[p:q], hi[p:q], d[p:q], a[p:q], n[p:q], gap[p:q])
+            p = q
+
+
+def _good(t: kit.Texts, h: np.ndarray, ix: dict, least: int, mask: str, texts: np.ndarray, items: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which hits (first words x in a text and y in an item) may lie in a stretch with enough equal words."""
+    first, last = ix["first"][items], ix["first"][items + 1]
+    need = np.minimum(least, last - first)
+    good = ~chance(h, ix["words"], x, y, mask, need)
+    k = np.flatnonzero(good)
+    good[k] = promising(h, ix["words"], x[k], y[k], (t.first[texts[k]], t.first[texts[k] + 1]), (first[k], last[k]), mask, need[k])
+    return good
+
+
+def _lots(t: kit.Texts, h: np.ndarray, ix: dict, least: int, mask: str, lo: np.ndarray, hi: np.ndarray, d: np.ndarray, a: np.ndarray, n: np.ndarray, gap: np.ndarray):
+    """Diagonals of some runs of a seed in the texts, each with all runs lo to hi of the items."""
+    mine = np.repeat(np.arange(len(lo)), hi - lo)
+    theirs = np.repeat(lo, hi - lo) + np.arange(len(mine)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    m, there = ix["n"][theirs], ix["at"][theirs]
+    item = ix["doc"][theirs]
+    base = a[mine] - (there - ix["first"][item])
+    n, gap, other = n[mine], gap[mine], ix["gap"][theirs]
+    even = (n > 1) & (m > 1) & (gap == other)
+    # Differences of two even runs: as many as both have, less one; of others, each with each.
+    many = np.where(even, n + m - 1, n * m)
+    ones = np.flatnonzero(many == 1)
+    for p in range(0, len(ones), CELLS):
+        r = ones[p : p + CELLS]
+        x, y = a[mine[r]], there[r]
+        if "0" not in mask:  # one hit of a run of equal words is enough
+            begins = (h.take(x - 1, mode="clip") != ix["words"].take(y - 1, mode="clip")) | (x == t.first[d[mine[r]]]) | (y == ix["first"][item[r]])
+            r, x, y = r[begins], x[begins], y[begins]
+        r = r[_good(t, h, ix, least, mask, d[mine[r]], item[r], x, y)]
+        if len(r):
+            yield np.unique(np.stack([d[mine[r]], item[r], base[r]], 1), axis=0)
+    rest = np.flatnonzero(many > 1)
+    mine, m, there, item, base, n, gap, other, even, many = (v[rest] for v in (mine, m, there, item, base, n, gap, other, even, many))
+    ends = np.cumsum(many)
+    k = 0
+    while k < len(many):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + CELLS, "right")))
+        # A pair of runs that is a lot by itself may be of any size, so it is cut too.
+        begin, total = (ends[k - 1] if k else 0), ends[stop - 1] - (ends[k - 1] if k else 0)
+        for part in range(0, int(total), CELLS):
+            at = np.arange(part, min(int(total), part + CELLS))
+            row = k + np.searchsorted(ends[k:stop] - begin, at, "right")
+            j = at - (ends[row] - many[row] - begin)
             step = np.where(even[row], (j - (m[row] - 1)) * gap[row], (j // m[row]) * gap[row] - (j % m[row]) * other[row])
-            yield np.unique(np.stack([d[mine[row]], item[row], base[row] + step], 1), axis=0)
-            k = stop
+            single = np.flatnonzero(~even[row])
+            r = row[single]
+            x, y = a[mine[r]] + (j[single] // m[r]) * gap[r], there[r] + (j[single] % m[r]) * other[r]
+            good = even[row]
+            good[single] = _good(t, h, ix, least, mask, d[mine[r]], item[r], x, y)
+            row, step = row[good], step[good]
+            found = np.stack([d[mine[row]], item[row], base[row] + step], 1)
+            if len(found):
+                yield np.unique(found, axis=0)
+        k = stop
 
 
 def matches(col: pa.Array, ix: dict, least: int = LEAST) -> dict[str, np.ndarray]:
     """Best stretch of every pair of text and item that has enough equal words: text, item, n_match, n_span, text_word, item_word."""
     t, h = tokens(col)
-    pairs = np.concatenate([np.zeros((0, 3), np.int64), *_diagonals(t, h, ix)])
+    pairs = np.concatenate([np.zeros((0, 3), np.int64), *_diagonals(t, h, ix, least)])
     pairs = np.unique(pairs, axis=0)
     # Only where both lie is looked at, so a pair costs no more than the shorter of the two.
     size = ix["first"][pairs[:, 1] + 1] - ix["first"][pairs[:, 1]]
@@ -213,6 +322,43 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def report(docs: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", bench_text: str = "text", bench_key: str = "item_id", least: int = LEAST, block_words: int = 1_000_000) -> DataFrame:
+    """A row for each document that shares a passage with an item: doc_id, n_items (how many items), and the longest match: item_id, n_match, n_span, doc_word, item_word.
+
+    However many copies of a passage documents and items hold, there is a row for a document and none for a pair.
+    """
+    spark = docs.sparkSession
+    (ddl, arrow), (item_ddl, item_arrow) = kit.id_types(docs, key), kit.id_types(bench, bench_key)
+    numbers = ("n_items", "n_match", "n_span", "doc_word", "item_word")
+    names = ["doc_id", "__text", "item_id", *numbers]
+    schema = f"doc_id {ddl}, __text string, item_id {item_ddl}, " + ", ".join(f"{c} long" for c in numbers)
+    zero = [F.lit(0).cast("long").alias(c) for c in numbers]
+    out = docs.select(docs[f"`{key}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"), F.lit(None).cast(item_ddl).alias("item_id"), *zero)
+    for k, ix in enumerate(blocks(bench, bench_text, bench_key, block_words)):
+        sent = spark.sparkContext.broadcast(ix)
+        if k:
+            out = kit.stored(out)  # one block at a time in the executors' memory
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                for part in kit.slices(batch, "__text"):
+                    m = matches(part.column("__text"), sent.value, least)
+                    was = {c: part.column(c).to_numpy().copy() for c in numbers}
+                    np.add.at(was["n_items"], m["text"], 1)
+                    order = np.lexsort((m["item"], -m["n_match"], m["text"]))
+                    lead = order[np.unique(m["text"][order], return_index=True)[1]]
+                    lead = lead[m["n_match"][lead] > was["n_match"][m["text"][lead]]]
+                    at, ids = m["text"][lead], part.column("item_id").to_pylist()
+                    for i, j in zip(at.tolist(), m["item"][lead].tolist()):
+                        ids[i] = sent.value["ids"][j]
+                    for c, d in (("n_match", "n_match"), ("n_span", "n_span"), ("doc_word", "text_word"), ("item_word", "item_word")):
+                        was[c][at] = m[d][lead]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__text"), pa.array(ids, item_arrow), *(pa.array(was[c]) for c in numbers)], names=names)
+
+        out = out.mapInArrow(kit.trimmed(run), schema)
+    return out.where("n_items > 0").drop("__text")
+
+
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", bench_text: str = "text", bench_key: str = "item_id", least: int = LEAST, block_words: int = 1_000_000) -> DataFrame:
     """The rows that share no passage with any item, with their columns; nothing is shuffled."""
     spark = docs.sparkSession

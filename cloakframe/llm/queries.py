@@ -58,7 +58,7 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark"))
+    return decontam.report(kit.table(spark, sf_dir, "documents"), kit.table(spark, sf_dir, "benchmark"))
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

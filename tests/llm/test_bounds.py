@@ -334,3 +334,50 @@ def test_operators_leave_the_session_alone(spark, texts):
     with pytest.raises(Exception, match="no such"):
         kit.stored(docs.select(F.raise_error(F.lit("no such")).alias("x")))
     assert {n: spark.conf.get(n, None) for n in names} == was
+
+
+def test_a_common_phrase_costs_its_places():
+    """A text that says a phrase of six words over and over, against many items that say it once: nothing to find, little to pay."""
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrase = "one two three four five six"
+    items = [" ".join([word() for _ in range(rng.randint(8, 20))] + [phrase] + [word() for _ in range(12)]) for _ in range(2000)]
+    text = " ".join(phrase + " " + " ".join(word() for _ in range(rng.randint(3, 6))) for _ in range(1500))
+    ix = decontam.index([*range(2000)], items)
+    start = time.process_time()
+    assert len(decontam.matches(pa.array([text]), ix)["text"]) == 0
+    assert time.process_time() - start < 8  # every place with every item side by side took 65 s
+    whole = text + " " + items[7]
+    assert decontam.matches(pa.array([whole]), ix)["item"].tolist() == [7]
+
+
+def test_chance_hits_are_only_those_that_are_given_up():
+    rng = np.random.default_rng(3)
+    h, words = (rng.integers(0, 3, n).astype(np.uint64) for n in (400, 300))
+    for mask in decontam.MASKS:
+        ones = np.flatnonzero(np.array(list(mask)) == "1")
+        here, there = np.divmod(np.arange((400 - len(mask)) * (300 - len(mask))), 300 - len(mask))
+        hit = (h[here[:, None] + ones] == words[there[:, None] + ones]).all(1)
+        here, there = here[hit], there[hit]
+        need = np.full(len(here), 12)
+        kept = decontam.promising(h, words, here, there, (np.zeros_like(here), np.full_like(here, 400)), (np.zeros_like(here), np.full_like(here, 300)), mask, need)
+        gone = decontam.chance(h, words, here, there, mask, need)
+        inner = (here >= 12) & (there >= 12) & (here < 370) & (there < 270)
+        assert not (gone & kept & inner).any() and gone[inner].any()
+
+
+def test_report_has_a_row_a_document(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(25))
+    items = [(k, " ".join(word() for _ in range(4)) + " " + passage) for k in range(40)] + [(99, "another " * 3 + " ".join(word() for _ in range(30))), (100, None)]
+    docs = [(k, word() + " " + passage + " " + word()) for k in range(50)] + [(None, items[40][1] + " " + passage), (60, "clean text of no benchmark at all"), (61, None), (7, word() + " " + passage)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = decontam.find(*frames).collect()
+    for size in (1_000_000, 300):
+        got = decontam.report(*frames, block_words=size).collect()
+        assert len(got) == 52 and sum(r.n_items for r in got) == len(pairs) == 52 * 40 + 1
+        for r in got:
+            best = max(p.n_match for p in pairs if p.doc_id == r.doc_id)
+            assert r.n_match == best and any((p.doc_id, p.item_id, p.n_match, p.n_span, p.doc_word, p.item_word) == (r.doc_id, r.item_id, r.n_match, r.n_span, r.doc_word, r.item_word) for p in pairs)
+    assert decontam.report(frames[0], frames[1].limit(0)).count() == decontam.report(frames[0].limit(0), frames[1]).count() == 0
