@@ -7,7 +7,8 @@ document go along.  One pass over the texts, no shuffle.
 
 Defined cases: a null text is empty; an empty text has ratio null and only the
 base rule judges it; null ids stay; repeated rows are judged alike; columns of
-the input that clash with a result column are replaced by the result.
+the input that clash with a result column, whatever their case, are replaced by
+the result.
 """
 
 from __future__ import annotations
@@ -100,18 +101,22 @@ def measure(col: pa.Array, bands: Bands, min_words: int, repeat_percent: int) ->
 def judge(docs: DataFrame, text: str = "text", bands: Bands = Bands(), min_words: int = 20, repeat_percent: int = 30, keep_columns: list[str] | None = None) -> DataFrame:
     """The columns asked for (default: all), then STATS, base_failed, ratio, bad_chunks and kept for every row."""
     results = [*((c, T.LongType()) for c in STATS), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()), ("bad_chunks", T.DoubleType()), ("kept", T.BooleanType())]
-    names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in dict(results)]
-    source = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([*(source.schema[c] for c in names), *(T.StructField(c, k) for c, k in results)])
+    taken = {c.lower() for c, _ in results}
+    names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c.lower() not in taken]
+    # The row travels as one struct, so that no column of it can clash with what is added.
+    row = F.struct(*(docs[f"`{c}`"] for c in names)) if names else F.struct(F.lit(None).alias("__none"))
+    source = docs.select(row.alias("__row"), docs[f"`{text}`"].cast("string").alias("__text"))
+    schema = T.StructType([source.schema["__row"], *(T.StructField(c, k) for c, k in results)])
 
     def run(batches):
         for batch in batches:
             for part in kit.slices(batch, "__text"):
                 m = measure(part.column("__text"), bands, min_words, repeat_percent)
                 cols = [pa.array(m[c], from_pandas=c == "ratio") for c, _ in results]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *cols], names=[*names, *(c for c, _ in results)])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), *cols], names=["__row", *(c for c, _ in results)])
 
-    return source.mapInArrow(kit.trimmed(run), schema)
+    done = source.mapInArrow(kit.trimmed(run), schema)
+    return done.select(*(F.col("__row")[c].alias(c) for c in names), *(c for c, _ in results))
 
 
 def keep(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -381,3 +381,11 @@ def test_report_has_a_row_a_document(spark):
             best = max(p.n_match for p in pairs if p.doc_id == r.doc_id)
             assert r.n_match == best and any((p.doc_id, p.item_id, p.n_match, p.n_span, p.doc_word, p.item_word) == (r.doc_id, r.item_id, r.n_match, r.n_span, r.doc_word, r.item_word) for p in pairs)
     assert decontam.report(frames[0], frames[1].limit(0)).count() == decontam.report(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_quality_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words", 5, 6, "r")], "doc_id long, text string, __text int, N_Words int, __row string")
+    out = quality.judge(docs)
+    assert out.columns[:4] == ["doc_id", "text", "__text", "__row"] and [c.lower() for c in out.columns].count("n_words") == 1
+    assert (out.first()["__text"], out.first()["n_words"], out.first()["__row"]) == (5, 2, "r")
+    assert quality.keep(docs, min_words=1).columns == docs.columns
