@@ -389,3 +389,65 @@ def test_quality_columns_of_any_name(spark):
     assert out.columns[:4] == ["doc_id", "text", "__text", "__row"] and [c.lower() for c in out.columns].count("n_words") == 1
     assert (out.first()["__text"], out.first()["n_words"], out.first()["__row"]) == (5, 2, "r")
     assert quality.keep(docs, min_words=1).columns == docs.columns
+
+
+def quoted(order, edits=0, pairs=20, seed=11):
+    """Pairs of documents that share a passage of 60 words, and of each passage all quotations of 9 words, in documents of their own."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    wholes, quotes = [], []
+    for k in range(pairs):
+        passage = [word() for _ in range(60)]
+        for _ in range(2):
+            own = [word() if edits and j % edits == edits - 1 else w for j, w in enumerate(passage)]
+            wholes.append((k, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
+        for a in range(0, 52, 4):
+            quotes.append(" ".join([word() for _ in range(15)] + passage[a : a + 9] + [word() for _ in range(15)]))
+    rng.shuffle(quotes)
+    at = {"before": lambda i: 10_000 + i, "behind": lambda i: i, "between": lambda i: i * 7}[order]
+    docs = [(at(i), t) for i, (_, t) in enumerate(wholes)] + [(1000 + i if order != "between" else i * 2 + 1 if (i * 2 + 1) % 7 else 10_000 + i, t) for i, t in enumerate(quotes)]
+    return docs, {at(i) for i in range(len(wholes))}
+
+
+@pytest.mark.parametrize("order", ["before", "behind", "between"])
+def test_passages_behind_many_short_quotations(spark, order):
+    docs, wholes = quoted(order)
+    assert len({i for i, _ in docs}) == len(docs)
+    got = chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(wholes & {r.doc_id for r in got}) >= 0.95 * len(wholes)
+    assert {r.doc_id for r in got} <= wholes
+    assert all(r.word_from <= 34 and r.word_to >= 86 for r in got)
+
+
+def test_second_round_over_blocks(spark, monkeypatch):
+    docs, wholes = quoted("between")
+    monkeypatch.setattr(kit, "BLOCK_BYTES", 3000)
+    got = chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(wholes & {r.doc_id for r in got}) >= 0.95 * len(wholes) and {r.doc_id for r in got} <= wholes
+
+
+def test_passages_of_a_small_table_by_all_pairs(spark):
+    """Every document with a passage of 45 words and more that another one holds, found by trying all pairs of places."""
+    rng = random.Random(12)
+    stock = [[f"p{k}w{j}" for j in range(120)] for k in range(4)]
+    docs = []
+    for i in range(60):
+        words = [f"d{i}x{j}" for j in range(rng.randint(20, 60))]
+        for _ in range(rng.randint(0, 3)):
+            k, a, n = rng.randrange(4), rng.randrange(60), rng.choice([6, 9, 30, 45, 60])
+            at = rng.randrange(len(words))
+            words[at:at] = stock[k][a : a + n]
+        docs.append((i, " ".join(words)))
+    texts = [t.split() for _, t in docs]
+
+    def longest(a, b):
+        row, best = [0] * (len(b) + 1), 0
+        for x in a:
+            row = [0, *((row[j] + 1 if x == y else 0) for j, y in enumerate(b))]
+            best = max(best, *row)
+        return best
+
+    want = {i for i in range(60) if max(longest(texts[i], texts[j]) for j in range(60) if j != i) >= 45}
+    least = {i for i in range(60) if max(longest(texts[i], texts[j]) for j in range(60) if j != i) >= 12}
+    got = {r.doc_id for r in chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert want <= got and got <= least
