@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import text as T
 from cloakframe.resources import patterns
+from cloakframe.sources import shared
 from cloakframe.spans import detect as D
 from cloakframe.spans import measure as M
 from cloakframe.spans import style as S
@@ -161,7 +162,8 @@ def author_group_mask(docs: DataFrame, author: str, text: str, key: str, least:
     rows = docs.select(F.col(key).alias("k"), F.col(author).alias("a"), F.col(text).alias("x"), (spans(F.col(text)) if found is None else found).alias("s"))
     value = lambda s: F.struct(s["entity_type"].alias("t"), norm(s["text"]).alias("v"), s["text"].alias("raw"))
     rows = rows.withColumn("s", F.array_distinct(F.filter(F.transform("s", value), lambda s: F.length(s["v"]) >= 3)))
-    flat = rows.where(F.size("s") > 0).select("k", "a", F.explode("s").alias("s")).select("k", "a", "s.*")
+    # Stored, as it is read for repeats and for hits, and the detector is what costs.
+    flat = shared.stored(rows.where(F.size("s") > 0).select("k", "a", F.explode("s").alias("s")).select("k", "a", "s.*"))
     repeated = flat.select("a", "t", "v", "k").distinct().groupBy("a", "t", "v").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     hits = flat.alias("f").join(repeated.alias("r"), F.col("f.a").eqNullSafe(F.col("r.a")) & (F.col("f.t") == F.col("r.t")) & (F.col("f.v") == F.col("r.v")), "left_semi")
     per_row = hits.groupBy("k").agg(F.collect_set(F.struct("raw", "t")).alias("values")).withColumnRenamed("k", "__k")

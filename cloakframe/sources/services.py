@@ -54,14 +54,21 @@ def batches(values: list[str], rows: int, chars: int) -> Iterator[list[str]]:
         yield held
 
 
+#: What a service may do: be out of reach or slow, give an answer that does not parse or lacks a part.
+FAULTS = (OSError, ValueError, LookupError)
+
+
 def apply_service(df: DataFrame, text: str, factory: Factory, output: str, kind: str = "string", rows: int = 16, chars: int = 20_000, retries: int = 2, pause: float = 0.5) -> DataFrame:
-    """Adds output and status (ok, retried, failed). A batch that fails is tried again, then its rows one by one; a failed row gives null."""
+    """Adds output and status (ok, retried, failed). A batch that fails is tried again, then its rows one by one; a failed row gives null.
+
+    Only faults of services and of their answers (FAULTS) count as failures; other errors of a factory or a call end the query.
+    """
 
     def attempt(call, batch):
         for k in range(retries + 1):
             try:
                 return call(batch)
-            except Exception:
+            except FAULTS:
                 if k == retries:
                     return None
                 time.sleep(pause * (k + 1))
@@ -90,7 +97,9 @@ def apply_service(df: DataFrame, text: str, factory: Factory, output: str, kind:
 
 def with_predictions(df: DataFrame, predictions: DataFrame, key: str, index: str, columns: list[str]) -> DataFrame:
     """Left join by key, else by row position; rows that neither finds have nulls."""
-    by_key = predictions.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.struct(*columns).alias("__x"))
-    by_place = predictions.select(F.col(index).alias("__i"), F.struct(*columns).alias("__y"))
+    # One prediction a key and one a place: the last one by place, of several there the greatest.
+    found = F.max(F.struct(F.col(index).alias("__at"), *columns))
+    by_key = predictions.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(found.alias("__x"))
+    by_place = predictions.where(F.col(index).isNotNull()).groupBy(F.col(index).alias("__i")).agg(found.alias("__y"))
     j = df.join(by_key, F.col(key) == F.col("__k"), "left").join(by_place, F.col(index) == F.col("__i"), "left")
     return j.withColumn("__z", F.coalesce("__x", "__y")).select(*df.columns, *(F.col(f"__z.{c}").alias(c) for c in columns))
