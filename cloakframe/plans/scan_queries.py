@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloakframe import resources as R
 from cloakframe.functions import text as T
-from cloakframe.operators import evaluate, oof
-from cloakframe.plans.queries import _RATES, _SCORE, query, table
+from cloakframe.operators import evaluate, oof, sketches, terms
+from cloakframe.plans.queries import _RATES, _SCORE, _TOK, _count_sql, _list, query, table
 from cloakframe.sources import exact_csv, shared
+from cloakframe.sources.keyed import KeyedCache
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id, text)::bigint AS row_index, doc_id::varchar AS doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, '' AS note FROM documents")
@@ -52,3 +54,49 @@ def oof_scores(spark, d):
 def oof_threshold_sweep(spark, d):
     """Metrics of every threshold over the scores out of fold."""
     return evaluate.threshold_sweep(_out_of_fold(spark, d), F.col("label") == 1, "score")
+
+
+_LISTS = {"n_utility": sorted(R.CUES["utility"]), "n_action": sorted(R.CUES["action"])}
+
+
+@query("SELECT doc_id, " + ", ".join(f"({' + '.join(_count_sql('text', t) for t in ts)})::bigint AS {n}" for n, ts in _LISTS.items()) + " FROM documents")
+def term_index_counts(spark, d):
+    """Places of the terms of two lists in every document, from one positional index."""
+    known = spark.createDataFrame([(t, n) for n, ts in _LISTS.items() for t in ts], "term string, category string")
+    return terms.counts(table(spark, d, "documents"), "doc_id", "text", known, "category", list(_LISTS)).withColumnRenamed("key", "doc_id")
+
+
+_NEAR = _LISTS["n_action"]
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest({_TOK}) AS word FROM documents), t AS (SELECT unnest({_list(_NEAR)}) AS term)
+SELECT word, term, levenshtein(word, term)::int AS distance FROM w, t WHERE abs(length(word) - length(term)) < 2 AND levenshtein(word, term) <= 1""")
+def words_near_terms(spark, d):
+    """Words of the texts that are one edit from a term of hostile action, or are one."""
+    words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    known = spark.createDataFrame([(t,) for t in _NEAR], "term string")
+    return terms.within_one_edit(words, known, "word", "term").select(F.col("left").alias("word"), F.col("right").alias("term"), "distance")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, max(event_id) AS event_id, event_type = 'purchase' AS second FROM events GROUP BY ALL), p AS (SELECT user_id, second, max((event_id, event_type)) AS x FROM r GROUP BY ALL)
+SELECT user_id, x[1] AS event_id, x[2] AS event_type FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY second DESC) = 1""")
+def keyed_cache_upsert(spark, d):
+    """The last record of each user in a cache by key: purchases are appended after all other events, then the log is compacted."""
+    events = table(spark, d, "events").where("user_id IS NOT NULL").select("user_id", "event_id", "event_type")
+    cache = KeyedCache(spark, f"{shared.folder(spark)}/cache", "user_id long, event_id long, event_type string", "user_id")
+    cache.append(events.where("event_type <> 'purchase'"))
+    cache.append(events.where("event_type = 'purchase'"))
+    cache.compact()
+    return cache.read()
+
+
+_CELLS = {"doc_id": "doc_id", "lang": "lang", "source": "source", "n_chars": "n_chars"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER (trim({c}::varchar) = '') AS n_blank, min(try_cast({c}::varchar AS double)) AS least, max(try_cast({c}::varchar AS double)) AS most FROM documents" for c in _CELLS))
+def merged_profiles(spark, d):
+    """Profiles of the parts of a table (its languages), stored and merged: what is exact in them."""
+    docs, where = table(spark, d, "documents"), shared.folder(spark)
+    for k, part in enumerate([F.col("lang") == "en", ~F.coalesce(F.col("lang") == "en", F.lit(False))]):
+        sketches.append(docs.where(part), list(_CELLS), str(k), where)
+    return sketches.report(sketches.merged(spark.read.parquet(where))).select("column_name", "n_rows", "n_null", "n_blank", "least", "most")
