@@ -40,7 +40,11 @@ def postings(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "
     first = F.when(F.get("__s", F.lit(0)).rlike(_WORD), 1).otherwise(2)  # words and separators take turns
     begins = F.when(F.size("__s") >= first, F.sequence(first, F.size("__s"), F.lit(2))).otherwise(F.array().cast("array<int>"))
     # Terms of each place are made in the row, so that its segments are not copied for each of them.
-    made = F.flatten(F.transform(begins, lambda i: F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: i + n - 1 <= F.size("__s")), lambda n: F.struct((i - 1).alias("position"), F.array_join(F.slice("__s", i, n), "").alias("__gram")))))
+    def grams_of(n: int) -> Column:
+        fit = F.filter(begins, lambda i: i + n - 1 <= F.size("__s"))
+        return F.transform(fit, lambda i: F.struct((i - 1).alias("position"), F.concat(*(F.get("__s", i + j - 1) for j in range(n))).alias("__gram")))
+
+    made = F.concat(*map(grams_of, lengths))
     grams = rows.select("key", F.explode(made).alias("g")).select("key", "g.*")
     return grams.join(_small(known), F.col("__gram") == F.col("__term")).drop("__gram", "__term", "__n")
 
