@@ -14,6 +14,9 @@ Work is linear in the page but for what is aligned.  As in browsers, no more
 than DEPTH elements are open at once: what is nested deeper stands beside what
 it is in, with all its text.  Cells of a table are padded to columns unless
 that would make it wider than WIDEST characters; then two spaces part them.
+Both are parameters of `extract`: a table of n rows and a column of w characters
+may become n * w of them, so without a bound a page of 1 MB (half of it one cell,
+half of it rows of ten characters) becomes 25 GB.
 
 Defined cases: null and empty pages give an empty text; broken and unclosed
 mark-up is read to its end, and a tag that never ends shows as text; repeated
@@ -84,7 +87,7 @@ class Node:
         return None
 
 
-def parse(page: str) -> Node:
+def parse(page: str, deepest: int = DEPTH) -> Node:
     """The tree of a page; text lies in it as plain strings."""
     root = Node("html")
     stack, at, end = [root], 0, len(page)
@@ -105,8 +108,8 @@ def parse(page: str) -> Node:
             kid.up = up
 
     def push(node):
-        if len(stack) >= DEPTH:
-            pop_to(DEPTH - 1)
+        if len(stack) >= deepest:
+            pop_to(deepest - 1)
         add(node)
         open_.setdefault(node.name, []).append(len(stack))
         stack.append(node)
@@ -303,27 +306,42 @@ def _rows(table: Node, seen: bool):
 
 
 def _span(node: Node, name: str) -> int:
+    """Columns or rows that a cell takes; of rows 0 is all that are left of the cell's section."""
     v = node.get(name) or "1"
-    return min(max(int(v), 1), 1000) if v.isascii() and v.isdigit() else 1
+    if not (v.isascii() and v.isdigit()):
+        return 1
+    return 0 if name == "rowspan" and int(v) == 0 else min(max(int(v), 1), 1000)
 
 
-def _table(node: Node, seen: bool) -> list[str]:
+def _section(row: list) -> Node | None:
+    """The part of a table that a row's cells stand in."""
+    node = row[0][0].up if row else None
+    return node.up if node is not None and node.name == "tr" else node
+
+
+def _table(node: Node, seen: bool, widest: int | None) -> list[str]:
     captions, rows = _rows(node, seen)
-    out = [line for c, s in captions for line in _render(c, s)]
-    grid, busy = [], []  # busy: (from, to, first row in which it is free) of columns that cells of earlier rows reach into
+    out = [line for c, s in captions for line in _render(c, s, widest)]
+    grid, busy, section, ends = [], [], None, []  # busy: (from, to, first row in which it is free) of columns that cells of earlier rows reach into
     for y, row in enumerate(rows):
-        cells, x, k, more = [], 0, 0, []
+        cells, x, k, more, lasting = [], 0, 0, [], []
+        if row and _section(row) is not section:
+            section, ends = _section(row), []
         busy = [b for b in busy if b[2] > y]
+        taken = sorted(busy + ends)  # ends: what goes on to the end of the section
         for c, s in row:
-            while k < len(busy) and busy[k][0] <= x:
-                x, k = max(x, busy[k][1]), k + 1
+            while k < len(taken) and taken[k][0] <= x:
+                x, k = max(x, taken[k][1]), k + 1
             wide, tall = _span(c, "colspan"), _span(c, "rowspan")
-            cells.append((x, _render(c, s), wide))
+            cells.append((x, _render(c, s, widest), wide))
             if tall > 1:
                 more.append((x, x + wide, y + tall))
+            elif tall == 0:
+                lasting.append((x, x + wide, 0))
             x += wide
         if more:
             busy = sorted(busy + more)
+        ends += lasting
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:
@@ -334,7 +352,7 @@ def _table(node: Node, seen: bool) -> list[str]:
     place = [0]
     for x in columns:
         place.append(place[-1] + width[x] + 2)
-    aligned = place[-1] <= WIDEST
+    aligned = widest is None or place[-1] <= widest
     for cells in grid:
         at = [place[bisect_left(columns, x)] if aligned else 0 for x, _, _ in cells]
         for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
@@ -348,7 +366,7 @@ def _table(node: Node, seen: bool) -> list[str]:
     return out
 
 
-def _render(root: Node, seen: bool = True) -> list[str]:
+def _render(root: Node, seen: bool = True, widest: int | None = WIDEST) -> list[str]:
     out = _Lines()
     lists: list[list] = []  # [next number or None, indent outside]
     todo = [(root, iter(root.kids), seen, False, None)]
@@ -381,7 +399,7 @@ def _render(root: Node, seen: bool = True) -> list[str]:
             continue
         if name == "table":
             out.block(2)
-            for line in _table(kid, sees):
+            for line in _table(kid, sees, widest):
                 out.put(line) if line else None
                 out.block(1)
             out.block(2)
@@ -426,13 +444,13 @@ def _render(root: Node, seen: bool = True) -> list[str]:
     return out.done()
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, widest: int | None = WIDEST, deepest: int = DEPTH) -> str:
     """The visible text of a page."""
-    return "\n".join(_render(parse(page))) if page else ""
+    return "\n".join(_render(parse(page, deepest), True, widest)) if page else ""
 
 
-def extract(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key, text, n_lines of every row."""
+def extract(pages: DataFrame, html: str = "html", key: str = "page_id", widest: int | None = WIDEST, deepest: int = DEPTH) -> DataFrame:
+    """key, text, n_lines of every row; widest: characters of a table's columns above which they are not aligned (null: they always are); deepest: elements open at once."""
     from pyspark.sql import types as T
 
     source = pages.select(pages[f"`{key}`"], pages[f"`{html}`"].cast("string").alias("__html"))
@@ -440,7 +458,7 @@ def extract(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataF
     def run(batches):
         for batch in batches:
             for part in kit.slices(batch, "__html", 4 << 20):
-                texts = [render(x) for x in part.column(1).to_pylist()]
+                texts = [render(x, widest, deepest) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], names=[key, "text", "n_lines"])
 
     return source.mapInArrow(kit.trimmed(run), T.StructType([pages.schema[key], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType())]))

@@ -451,3 +451,21 @@ def test_passages_of_a_small_table_by_all_pairs(spark):
     least = {i for i in range(60) if max(longest(texts[i], texts[j]) for j in range(60) if j != i) >= 12}
     got = {r.doc_id for r in chaining.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert want <= got and got <= least
+
+
+def test_tables_of_any_width_may_be_aligned():
+    for n in (10, 900, 1010, 50_000):
+        page = f"<table><tr><td>{'a' * n}<td>{'b' * n}<td>c<tr><td>d<td>e<td>f</table>"
+        first, second = html.render(page, widest=None).split("\n")
+        assert first.index("b") == second.index("e") == n + 2 and first.index("c") == second.index("f") == 2 * n + 4
+        assert html.render(page, widest=2 * n + 7) == first + "\n" + second and html.render(page, widest=2 * n + 6).endswith("d  e  f")
+
+
+def test_rowspan_to_the_end_of_a_section():
+    assert html.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>").split("\n") == ["a  b", "   c", "   d"]
+    assert html.render("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>").split("\n") == ["a  b", "   c", "d  e"]
+
+
+def test_depth_is_a_parameter():
+    page = "<div>" * 600 + "deep" + "</div>" * 600
+    assert html.render(page) == html.render(page, deepest=10) == html.render(page, deepest=10_000) == "deep"
