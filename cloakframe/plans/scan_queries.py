@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cloakframe import resources as R
 from cloakframe.functions import text as T
-from cloakframe.operators import evaluate, oof, sketches, terms
-from cloakframe.plans.queries import _RATES, _SCORE, _TOK, _count_sql, _list, query, table
+from cloakframe.operators import clusters, evaluate, oof, sketches, terms
+from cloakframe.plans.queries import _RATES, _SCORE, _TOK, ORACLE, _count_sql, _list, query, table
 from cloakframe.sources import exact_csv, shared
 from cloakframe.sources.keyed import KeyedCache
 
@@ -100,3 +100,28 @@ def merged_profiles(spark, d):
     for k, part in enumerate([F.col("lang") == "en", ~F.coalesce(F.col("lang") == "en", F.lit(False))]):
         sketches.append(docs.where(part), list(_CELLS), str(k), where)
     return sketches.report(sketches.merged(spark.read.parquet(where))).select("column_name", "n_rows", "n_null", "n_blank", "least", "most")
+
+
+def _token_cluster_sql(k: int = 8, rounds: int = 5, dims: int = 32) -> str:
+    parts = [
+        f"t AS ({ORACLE['source_tfidf_rank']})",
+        "w AS MATERIALIZED (SELECT author, token, round(weight * 1000000)::bigint AS w FROM t)",
+        f"g AS (SELECT token, sum(w)::bigint AS w, list_transform(range(1, length(token) + 1), lambda i: ('0x' || substr(md5(substr('<' || token || '>', i::int, 3)), 1, 4))::int % {dims}) AS g FROM w GROUP BY token HAVING sum(w) > 0)",
+        f"n AS (SELECT token, w, list_transform(range({dims}), lambda d: len(list_filter(g, lambda x: x = d))) AS n FROM g)",
+        "m AS (SELECT *, sqrt(list_sum(list_transform(n, lambda y: y * y))) AS norm FROM n)",
+        "e AS MATERIALIZED (SELECT token, w, list_transform(n, lambda x: floor(x * 1000 / norm)::bigint) AS v FROM m)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('0:' || token), v) - 1 AS k, v AS c FROM e QUALIFY k < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT token, any_value(w) AS w, any_value(v) AS v, min((d, k))[2] AS k FROM (SELECT token, w, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint AS d FROM e, c{i}) GROUP BY token)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT k, list((s // n)::bigint ORDER BY j) AS m FROM
+      (SELECT k, j, sum(w::hugeint * v[j]) AS s, sum(w) AS n FROM a{i}, (SELECT unnest(range(1, {dims + 1})) AS j) GROUP BY ALL) GROUP BY k) USING (k))""")
+    return f"""WITH {", ".join(parts)}, r AS (SELECT author, k AS cluster, sum(w.w) AS w, array_to_string(list_slice(list(token ORDER BY w.w DESC, token), 1, 5), ' ') AS terms FROM w JOIN a{rounds} USING (token) GROUP BY ALL)
+SELECT author, cluster::int AS cluster, round(w::double / 1000000, 6) AS mass, round(w::double / (sum(w) OVER (PARTITION BY cluster))::double, 6) AS concentration, row_number() OVER (PARTITION BY author ORDER BY w DESC, cluster) AS rank, terms FROM r"""
+
+
+@query(_token_cluster_sql())
+def token_clusters(spark, d):
+    """How much of each source's TF-IDF weight falls in each cluster of its telling tokens."""
+    return clusters.author_clusters(table(spark, d, "documents"), "source", "text")
