@@ -16,8 +16,8 @@ the shared folder, since executors can write there only through Spark;
 export() puts them out as plain files.
 
 Defined cases: null and empty texts give only the end id; documents with a null
-id come first; rows that share an id stay separate, in the order of their
-hashed ids; an empty table gives no file.
+id come first; rows that share an id stay separate, in the order of the hashes of
+id and text; an empty table gives no file.
 """
 
 from __future__ import annotations
