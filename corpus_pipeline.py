@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 what a stage returns as Parquet to the folder that the cluster shares and the
 next stage reads it, so that a lost executor never costs more than a stage.
 As the application, it sets the bytes that a Python worker gets at once.
+
+Defined cases, for every stage: a null text counts as an empty one; null and
+repeated ids stay, a repeated row is a row of its own; columns besides doc_id,
+text and source are carried along, whatever their names; an empty table gives
+an empty one. All stages but the last return the columns they were given.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from cloakframe.llm import decontam, jaccard, kit, mixing, quality, queries, tok
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands or the base rules reject go."""
+    """Documents that the compression bands or the base rules reject go; an empty text has under 20 words and goes; equal rows go or stay together."""
     kit.bounded(spark)
     return quality.keep(docs)
 
@@ -26,13 +31,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go, empty ones stay; an empty benchmark leaves all."""
     kit.bounded(spark)
     return decontam.clean(docs, kit.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights; a document taken twice stands twice."""
+    """Sources are brought to their target weights; a document taken twice stands twice; a null source is a source, the last in order."""
     kit.bounded(spark)
     return mixing.mix(docs)
 
