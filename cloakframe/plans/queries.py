@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe import resources as R
 from cloakframe.functions import text as T
-from cloakframe.operators import compare, evaluate, privatize, profile, ranking, review, signals
+from cloakframe.operators import compare, evaluate, knn, privatize, profile, ranking, review, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -368,42 +368,8 @@ def latest_upsert(spark, d):
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def embedding_cosine_topk(spark, d):
     """The five nearest rows of each query vector (ids divisible by 100 are the stated query set)."""
-    import numpy as np
-    import pyarrow as pa
-
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    block = 1024
-    out = None
-    # Queries go out in blocks of a fixed size, each against all rows; every task keeps its five best.
-    held = rows.where(F.col("vec_id") % 100 == 0)
-
-    def search(queries):
-        ids = np.array([q[0] for q in queries])
-        mat = np.array([q[1] for q in queries], float)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            for b in batches:
-                own = b.column(0).to_numpy()
-                x = np.array(b.column(1).to_pylist(), float)
-                c = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ mat.T, 6)
-                c[own[:, None] == ids[None, :]] = -2
-                k = min(5, len(own))
-                order = np.lexsort((np.broadcast_to(own[:, None], c.shape), -c), axis=0)[:k]
-                q = np.broadcast_to(np.arange(len(ids)), order.shape)
-                keep = c[order, q] > -2
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(own[order[keep]]), pa.array(c[order[keep], q[keep]])], names=["query_id", "vec_id", "cosine"])
-
-        return rows.mapInArrow(run, "query_id long, vec_id long, cosine double")
-
-    got = []
-    for r in held.toLocalIterator():
-        got.append((r.vec_id, r.embedding))
-        if len(got) == block:
-            out, got = (search(got) if out is None else out.unionByName(search(got))), []
-    if got or out is None:
-        out = search(got) if out is None else out.unionByName(search(got))
-    return ranking.top_per_group(out, ["query_id"], [F.desc("cosine"), F.col("vec_id")], 5)
+    return knn.cosine_topk(rows, rows.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", 5).withColumnRenamed("id", "vec_id")
 
 
 @query("SELECT event_type, k AS key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
