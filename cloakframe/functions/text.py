@@ -107,6 +107,20 @@ def guard_mask(text: Column, patterns=R.GUARD) -> Column:
     return text
 
 
+#: What every match of a guard pattern has in it; cheap to look for, so that texts without it never meet the pattern.
+_SIGNS = {"EMAIL": lambda t: F.contains(t, F.lit("@")), "URL": lambda t: F.contains(t, F.lit("://")), "IP": lambda t: t.rlike(r"[0-9]\.[0-9]"), "CARD": lambda t: t.rlike("[0-9]{4}[ -]?[0-9]{4}"), "PHONE": lambda t: t.rlike("[0-9][0-9 ().-]{7}")}
+
+
+def guard_counts(text: Column, patterns=R.GUARD) -> dict[str, Column]:
+    """How often each kind of identifier shows; null texts have no counts."""
+
+    def count(name: str, pattern: str) -> Column:
+        n = F.regexp_count(text, F.lit(ascii_bounds(pattern)))
+        return F.when(~_SIGNS[name](text), 0).otherwise(n) if name in _SIGNS else n
+
+    return {name: count(name, pattern) for name, pattern in patterns}
+
+
 def style_risk_counts(text: Column) -> list[Column]:
     return [F.coalesce(F.regexp_count(text, F.lit(ascii_bounds(p))), F.lit(0)).cast("long").alias(n) for n, p in R.STYLE_RISK]
 

@@ -143,7 +143,7 @@ def sequential_guard_mask(spark, d):
 
 @query("SELECT source, " + ", ".join(f"sum(len(regexp_extract_all(text, {_q(p)})))::bigint AS n_{n.lower()}" for n, p in R.GUARD) + " FROM documents GROUP BY source")
 def identifier_counts_by_source(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(T.ascii_bounds(p)))).cast("long").alias(f"n_{n.lower()}") for n, p in R.GUARD))
+    return table(spark, d, "documents").groupBy("source").agg(*(F.sum(c).cast("long").alias(f"n_{n.lower()}") for n, c in T.guard_counts(F.col("text")).items()))
 
 
 _CUE_TERMS = ("the", "and", "of", "not", "is", "hate", "should", "must", "never")

@@ -57,3 +57,15 @@ def test_authors_are_masked_with_one_run_of_the_detector(spark):
     plan = privatize.author_group_mask(df, "author", "text", "id")._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("ArrowEvalPython") + physical.count("BatchEvalPython") <= 2  # the masks alone
+
+
+def test_signs_hide_no_identifier(spark):
+    from cloakframe import resources as R
+    from cloakframe.functions import text as T
+
+    texts = ["a@b.example", "see http://x.example", "10.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "+1 (555) 010-9999", "5550109999", "nothing", "", None, "1.2", "12345678"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = T.guard_counts(F.col("t"))
+    plain = {n: F.regexp_count("t", F.lit(T.ascii_bounds(p))) for n, p in R.GUARD}
+    for n in counted:
+        assert [r[0] for r in df.select(counted[n]).collect()] == [r[0] for r in df.select(plain[n]).collect()], n
