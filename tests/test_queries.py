@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cloakframe.plans import more_queries  # noqa: F401
+from cloakframe.plans import more_queries, scan_queries  # noqa: F401
 from cloakframe.plans import queries as Q
 
 
