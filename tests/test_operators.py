@@ -1,5 +1,8 @@
 """Operators on small made-up tables."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,18 @@ def test_cache_keeps_the_last_record(spark, tmp_path):
     files.append_cache(spark.createDataFrame([("a", 1, "old"), ("b", 1, "x")], "id string, seq long, v string"), path)
     files.append_cache(spark.createDataFrame([("a", 2, "new")], "id string, seq long, v string"), path)
     assert {r.id: r.v for r in files.read_cache(spark, path, "id string, seq long, v string", "id").collect()} == {"a": "new", "b": "x"}
+
+
+def test_forms_are_tried_where_their_sign_is(spark):
+    """Each form has a sign that every match holds; the counts are those of the forms alone."""
+    rng = random.Random(3)
+    bits = [*"http:// HXXPS://a.b www. wWw.x @ a@b.co .c@d.ef é _ - / 12 3 2020 1/2/2020 12-3-99 jan Sept 5, 2001 I am i'm aged 44 years old 7-year-old 12 Year id ID-7 case# ref: A-1 user_9 ( ) .".split(), "\n", *[" "] * 25]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randrange(40)))) for k in range(2000)] + [(-1, None), (-2, "")]
+    forms = {p for ps in privatize.FORMS.values() for p in ps}
+    assert set(privatize._SIGNS) == forms
+    for p in forms:
+        assert all(re.search(privatize._SIGNS[p][0], m[0]) for _, t in rows for m in re.finditer(p, t or "", re.I | re.A))
+    plain = {k: sum((F.coalesce(F.regexp_count("text", F.lit("(?i)" + T.ascii_bounds(p))), F.lit(0)) for p in ps), F.lit(0)) for k, ps in privatize.FORMS.items()}
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = df.agg(*(F.sum(n).alias(k) for k, n in privatize.form_counts(F.col("text")).items()), *(F.count_if(n != plain[k]).alias(f"bad_{k}") for k, n in privatize.form_counts(F.col("text")).items())).first()
+    assert all(got[k] > 0 and got[f"bad_{k}"] == 0 for k in privatize.FORMS)
