@@ -549,3 +549,24 @@ def test_lm_against_a_plain_sampler(spark):
     plain = {i: sum(np.log10(sums[p]) for p in x) for i, x in pairs.items()}
     assert all(abs(got[i] - plain[i]) < 0.08 * len(x) for i, x in pairs.items())
     assert sum(got.values()) == pytest.approx(sum(plain.values()), rel=0.005)
+
+
+def test_token_pieces_end_at_signs_and_lines():
+    """A word is one piece whatever sign follows it, and the ids are those of whole texts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    words = [f"w{i:x}rd" for i in range(200)]
+    tokens.forget()
+    tokens.encode(pa.array([" ".join(f"{w}{sign}" for w in words) + "." for sign in ("", ",", ".", "!?", "'s", ".\nSt", "###", ")")]), path, 2)
+    assert len(tokens.encoder(path).key) < 2 * len(words)
+    tok, rng = Tokenizer.from_file(path), random.Random(5)
+    bits = ["a", "word", "Zoë", "é", "×", "÷", "ß", "9", "42", "'", "'s", "'ll", "'tis", ",", "...", "<|", "endoftext", "|>", "<|endoftext|>", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u2003", "\u0301", "\u4e2d", "\U0001f600", "\x1c", "\x85", "_", "ª"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    for some in (texts, [t for t in texts if "<|endoftext|>" not in t]):
+        tokens.forget()
+        ids, b = tokens.encode(pa.array(some), path, 2)
+        for t, lo, hi in zip(some, b[:-1].tolist(), b[1:].tolist()):
+            assert ids[lo:hi].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], repr(t)
