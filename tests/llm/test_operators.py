@@ -570,3 +570,39 @@ def test_token_pieces_end_at_signs_and_lines():
         ids, b = tokens.encode(pa.array(some), path, 2)
         for t, lo, hi in zip(some, b[:-1].tolist(), b[1:].tolist()):
             assert ids[lo:hi].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_chaining_index():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 1), (1, 1), (3000, 7), (3000, 900), (3000, 1 << 40)):
+        seed = rng.integers(0, kinds, n).astype(np.uint64)
+        doc = np.sort(rng.integers(0, 60, n))
+        pos = np.arange(n)
+        assert (chaining.in_order(seed) == np.argsort(seed, kind="stable")).all()
+        index, held = chaining.Index(seed, doc, pos), {}
+        for s, d, p in zip(seed.tolist(), doc.tolist(), pos.tolist()):
+            held.setdefault(s, {}).setdefault(d, p)
+        want = [(s, d, p) for s in sorted(held) for d, p in list(held[s].items())[:2]]
+        assert list(zip(index.seed.tolist(), index.text.tolist(), index.pos.tolist())) == want
+        names = sorted(held)
+        assert [names[r] for r in index.rank.tolist()] == seed.tolist() and [names[r] for r in index.number.tolist()] == index.seed.tolist()
+
+
+def test_chaining_aligns_from_what_the_block_noted(monkeypatch):
+    """Seeds are hashed and chained once less: the last step has its chains from the block itself, and reads no answers of buckets."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {0: [(1, f"a b c {passage} d e")], 1: [(2, f"x {passage} y z"), (3, "other words")]}
+    blocks = {b: pa.table({"doc_id": pa.array([i for i, _ in r], pa.int64()), "__text": [t for _, t in r], "__block": pa.array([b] * len(r), pa.int32())}) for b, r in texts.items()}
+
+    def sent(tables, to):
+        t = pa.concat_tables(tables)
+        return t.filter(pa.array(t["target"].to_numpy() == to))
+
+    told = [chaining._tell(d, 1) for d in blocks.values()]
+    told = [chaining._answer(sent(told, 0))]
+    asked = [chaining._ask(d, sent(told, b), 1) for b, d in blocks.items()]
+    served = [chaining._serve(d, sent(asked, b), chaining.MSG) for b, d in blocks.items()]
+    monkeypatch.setattr(chaining, "Seeds", None)
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("word_from", "word_to", "n_equal")), ("other_id", pa.int64()), ("first", pa.bool_())])
+    got = [r for b, d in blocks.items() for r in chaining._finish(d, sent(served, b), schema).to_pylist()]
+    assert sorted((r["doc_id"], r["word_from"], r["word_to"], r["n_equal"], r["other_id"], r["first"]) for r in got) == [(1, 3, 63, 60, 2, True), (2, 1, 61, 60, 1, False)]
