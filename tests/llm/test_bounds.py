@@ -469,3 +469,59 @@ def test_rowspan_to_the_end_of_a_section():
 def test_depth_is_a_parameter():
     page = "<div>" * 600 + "deep" + "</div>" * 600
     assert html.render(page) == html.render(page, deepest=10) == html.render(page, deepest=10_000) == "deep"
+
+
+def test_distinct_values_and_their_places():
+    """As np.unique, whatever bits the values share."""
+    gen = np.random.default_rng(6)
+    wide = gen.integers(0, 1 << 63, 4000).astype(np.uint64)
+    near = (wide[gen.integers(0, 40, 4000)] & ~np.uint64(255)) + gen.integers(0, 200, 4000).astype(np.uint64)
+    whole = np.array([0, (1 << 64) - 1, 5, 0, (1 << 64) - 1, 1 << 63], np.uint64)
+    for x in (wide, wide[gen.integers(0, 50, 4000)], near, whole, whole[:1], whole[:0], np.zeros(70, np.uint64), near >> np.uint64(40), np.arange(3000, dtype=np.uint64)[::-1]):
+        values, places = kit.distinct(x)
+        expected = np.unique(x, return_inverse=True)
+        assert values.dtype == np.uint64 and np.array_equal(values, expected[0]) and np.array_equal(places, expected[1])
+
+
+def test_words_and_their_hashes():
+    """Bounds as those of the pattern, text by text; hashes as the sums that they stand for."""
+    rng = random.Random(8)
+    made = ["", " ", "a", "ab", " a", "a ", "\t\n", "né à", "", *("".join(rng.choice("aB é\n\x0b中\x85.") for _ in range(rng.randint(0, 12))) for _ in range(400))]
+    for texts_ in (made, [], [""], ["", ""], ["abc"], ["abc", "def"]):
+        t = kit.Texts(pa.array(texts_, pa.string())).words()
+        raw = [x.encode() for x in texts_]
+        spans = [(i, *m.span()) for i, x in enumerate(raw) for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)]
+        lo = t.lo.tolist()
+        assert [(d, a - lo[d], b - lo[d]) for d, a, b in zip(t.doc.tolist(), t.ws.tolist(), t.we.tolist())] == spans
+        low = kit.lower_ascii(t.buf)
+        assert low.tobytes() == b"".join(raw).lower()
+        for buf in (t.buf, low):
+            sums = [sum((b + 1) * pow(kit._P, j, 1 << 64) for j, b in enumerate(buf[x:y].tobytes())) % (1 << 64) ^ (y - x) * kit._Q % (1 << 64) for x, y in zip(t.ws.tolist(), t.we.tolist())]
+            assert np.array_equal(t.hashes(None if buf is t.buf else buf), kit.mix(np.array(sums, np.uint64)))
+
+
+def test_messages_of_a_block_share_their_packer(monkeypatch):
+    """What a message costs besides its bytes grows with the number of buckets; nothing is set up anew for each."""
+    made = Counter()
+    for name in ("ZstdCompressor", "ZstdDecompressor"):
+        kind = getattr(zstandard, name)
+        monkeypatch.setattr(zstandard, name, lambda *a, kind=kind, name=name, **b: made.update([name]) or kind(*a, **b))
+    rng = random.Random(9)
+    docs = pa.table({"doc_id": [1], "__text": [prose(rng, 4000)], "__block": pa.array([0]), "__held": [False]})
+    asked = lm._ask(docs, lm.NONE, 200)
+    assert asked.num_rows > 100
+    for i in range(asked.num_rows):
+        lm._merge(asked.slice(i, 1))
+    assert sum(made.values()) <= 4, made
+
+
+def test_spelling_by_table_or_search(monkeypatch):
+    gen = np.random.default_rng(7)
+    kinds, n = np.unique(gen.integers(0, 1 << 24, 3000) & 0x3F3F3F, return_counts=True)
+    asked = np.concatenate([kinds, gen.integers(0, 1 << 24, 3000)])
+    for rows in (lm.LOOKUP, 0):
+        monkeypatch.setattr(lm, "LOOKUP", rows)
+        x = lm.Spelling(kinds, n, 0)
+        assert np.array_equal(x.log10(asked), x.searched(asked)) and np.array_equal(x.log10(kinds), x.searched(kinds)) and not len(x.log10(kinds[:0]))
+    empty = lm.Spelling(kinds[:0], n[:0], 0)
+    assert np.allclose(empty.log10(asked), np.log10(1 / 256))
