@@ -525,3 +525,26 @@ def test_spelling_by_table_or_search(monkeypatch):
         assert np.array_equal(x.log10(asked), x.searched(asked)) and np.array_equal(x.log10(kinds), x.searched(kinds)) and not len(x.log10(kinds[:0]))
     empty = lm.Spelling(kinds[:0], n[:0], 0)
     assert np.allclose(empty.log10(asked), np.log10(1 / 256))
+
+
+def test_stages_work_on_small_pieces(spark, monkeypatch):
+    """However large the batch, a Python worker of the pipeline's stages holds little beside it."""
+    runs, trimmed = [], kit.trimmed
+    monkeypatch.setattr(kit, "trimmed", lambda run, own=None: runs.append(run) or trimmed(run, own))
+    docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(50)))], "item_id long, text string")
+    made = [lambda: quality.keep(docs), lambda: jaccard.describe(docs), lambda: decontam.clean(docs, bench), lambda: tokens.write(docs, queries.tokenizer_path(), 2, kit.scratch(spark))]
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(1000)]
+    n = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, n, n, n, pa.array(texts)], names=["__row", "doc_id", "tkey", "__key", "__tie", "__text"])
+    assert batch.column(5).nbytes > 2 << 20
+    for make in made:
+        runs.clear()
+        make()
+        assert sum(x.num_rows for x in runs[0](iter([batch.slice(0, 9)]))) == 9  # tables that are kept
+        tracemalloc.start()
+        assert sum(x.num_rows for x in runs[0](iter([batch]))) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(runs[0].__module__, peak >> 20)
+        assert peak < 20 << 20
